@@ -54,9 +54,9 @@ def wide_averages(averages: DataFrame, channel_names: dict[int, str]) -> DataFra
     )
 
 
-def cluster_context(levels: DataFrame) -> DataFrame:
+def cluster_context(levels: DataFrame, cells: DataFrame) -> DataFrame:
     """Size, share of all cells and projection centre per (level, cluster)."""
-    total = levels.filter(F.col("level") == levels.agg(F.min("level")).scalar()).agg(F.count("*")).scalar()
+    total = cells.agg(F.count("*")).scalar()
     return levels.groupBy("level", "cluster").agg(
         F.count("*").alias("n"),
         F.avg("umap2_x").alias("center_x"),
