@@ -9,3 +9,10 @@ Every operator takes DataFrames and returns a DataFrame.  The logical tables are
 
 plus the small dimensions ``channels``, ``cluster_labels`` and ``reviews``.
 """
+
+import sys
+
+from pyspark import cloudpickle
+
+# Task functions travel by value, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 # ---- fixed values -------------------------------------------------------------------------
 DEFAULT_TITLE = "Phenotype-enriched cluster"
@@ -17,6 +20,19 @@ TITLE_LENGTH = 80
 _DESCRIPTOR = r"(?s)^(.*)\(([^(]*)\)[^()]*$"
 
 
+def fixed_text(c: Column | str, digits: int) -> Column:
+    """Number text with fixed decimals, rounded on the exact binary value (halves to even).
+
+    JVM formatting rounds the shortest decimal text instead; used for small prompt tables only.
+    """
+
+    @arrow_udf(T.StringType())
+    def run(v: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else f"{x:.{digits}f}" for x in v.to_pylist()], pa.string())
+
+    return run(c)
+
+
 def descriptor(name: Column) -> Column:
     """Split ``"base (description)"`` at the last bracket pair into ``struct(base, description)``."""
     s = F.trim(F.coalesce(name, F.lit("")))

@@ -8,6 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 
@@ -40,25 +41,39 @@ def sanitise(c: Column) -> Column:
     )
 
 
-@arrow_udf("array<double>")
+@arrow_udf(T.ArrayType(T.DoubleType()))
 def unit(v: pa.Array) -> pa.Array:
     """Finite values, L2-normalised; a zero vector stays zero."""
     m = matrix(v)
     return list_column(unit_rows(np.where(np.isfinite(m), m, 0.0))) if len(v) else pa.array([], pa.list_(pa.float64()))
 
 
-@arrow_udf("array<double>")
-def unit_about(v: pa.Array, centre: pa.Array) -> pa.Array:
+def unit_about(c: Column, centre: np.ndarray) -> Column:
     """Subtract ``centre`` and normalise again."""
-    return list_column(unit_rows(matrix(v) - matrix(centre))) if len(v) else pa.array([], pa.list_(pa.float64()))
 
+    @arrow_udf(T.ArrayType(T.DoubleType()))
+    def run(v: pa.Array) -> pa.Array:
+        return list_column(unit_rows(matrix(v) - centre)) if len(v) else pa.array([], pa.list_(pa.float64()))
 
-@arrow_udf("double")
+    return run(c)
+
+
+def dot_with(c: Column | str, fixed: np.ndarray) -> Column:
+    """Dot product with one fixed vector."""
+
+    @arrow_udf(T.DoubleType())
+    def run(v: pa.Array) -> pa.Array:
+        return pa.array(matrix(v) @ fixed if len(v) else [], pa.float64())
+
+    return run(c)
+
+
+@arrow_udf(T.DoubleType())
 def dot(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(np.einsum("nd,nd->n", matrix(a), matrix(b)) if len(a) else [], pa.float64())
 
 
-@arrow_udf("double")
+@arrow_udf(T.DoubleType())
 def l2_distance(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(np.linalg.norm(matrix(a) - matrix(b), axis=1) if len(a) else [], pa.float64())
 
@@ -73,5 +88,9 @@ def representation(features: DataFrame, metric: str = "cosine") -> DataFrame:
     units = features.select("id", unit(F.col("embedding")).alias("vec"))
     if metric != "cosine_centered":
         return units
-    mean = units.agg(mean_vector(F.col("vec")).alias("m"))
-    return units.select("id", unit_about(F.col("vec"), mean.scalar()).alias("vec"))
+    return units.select("id", unit_about(F.col("vec"), overall_mean(units)).alias("vec"))
+
+
+def overall_mean(rep: DataFrame) -> np.ndarray:
+    """Mean of all vectors: one D-sized row reaches the driver."""
+    return np.array(rep.agg(mean_vector(F.col("vec"))).first()[0], dtype=np.float64)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tesselar import schemas
 from tesselar.functions import scalars
+from tesselar.functions.text import fixed_text
 from tesselar.scale import materialise, ranked
 
 MARKERS = 6
@@ -76,7 +77,8 @@ def markers(scores: DataFrame, k: int = MARKERS) -> DataFrame:
     order = Window.partitionBy("level", "cluster").orderBy(F.desc_nulls_last(F.round("z", 9)), "channel")
     size = Window.partitionBy("level", "cluster")
     placed = scores.withColumn("place", F.row_number().over(order)).withColumn("_n", F.count("*").over(size))
-    text = F.format_string("%s:%.2fσ", F.col("channel_name"), F.col("z")) if "channel_name" in scores.columns else F.format_string("%d:%.2fσ", F.col("channel"), F.col("z"))
+    name = F.col("channel_name") if "channel_name" in scores.columns else F.col("channel").cast("string")
+    text = F.concat(name, F.lit(":"), F.coalesce(fixed_text("z", 2), F.lit("nan")), F.lit("σ"))
     return placed.select(
         "level", "cluster", "channel", "avg", "z", "place",
         (F.col("place") <= k).cast("int").alias("is_high"), (F.col("place") > F.col("_n") - k).cast("int").alias("is_low"),

@@ -8,12 +8,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from tesselar.functions import scalars, vectors
-from tesselar.functions.vectors import matrix
+from tesselar.functions.vectors import list_column, matrix, unit_rows
+from tesselar.operators.histograms import fixed_bins
 from tesselar.operators.pairwise import histogram_kernel, pairwise, score_kernel
-from tesselar.scale import exact_percentiles, materialise
+from tesselar.scale import numbers, exact_percentiles, materialise
 
 EXEMPLARS = 6
 CENTROID_BINS = 60
@@ -69,22 +71,22 @@ def exemplars(scores: DataFrame, k: int = EXEMPLARS) -> DataFrame:
     return scores.select("group", "id", "similarity").withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
-def global_centre(features: DataFrame) -> DataFrame:
-    """One row: the unit mean of the unit features."""
-    units = vectors.representation(features)
-    return units.agg(vectors.mean_vector(F.col("vec")).alias("m")).select(vectors.unit(F.col("m")).alias("centre"))
+def global_centre(features: DataFrame) -> np.ndarray:
+    """The unit mean of the unit features (one vector, whatever the number of rows)."""
+    mean = vectors.overall_mean(vectors.representation(features))
+    return unit_rows(mean[None, :])[0]
 
 
 def centre_distances(features: DataFrame) -> DataFrame:
     """``(id, value)``: 1 − cosine to the global centre."""
     units = vectors.representation(features)
-    s = scalars.clip(vectors.dot("vec", global_centre(features).scalar()), -1.0, 1.0)
+    s = scalars.clip(vectors.dot_with("vec", global_centre(features)), -1.0, 1.0)
     return units.select("id", (1.0 - s).alias("value"))
 
 
 def group_difference(group_centroids: DataFrame, features: DataFrame) -> DataFrame:
     """1 − cosine of the group centroid to the global centre of the plain cosine space."""
-    s = scalars.clip(vectors.dot("centroid", global_centre(features).scalar()), -1.0, 1.0)
+    s = scalars.clip(vectors.dot_with("centroid", global_centre(features)), -1.0, 1.0)
     return group_centroids.select("group", (1.0 - s).alias("difference"))
 
 
@@ -93,13 +95,19 @@ def centroid_histogram(rep: DataFrame, group_centroids: DataFrame, bins: int = C
     q = group_centroids.select(F.col("group").cast("bigint").alias("id"), F.col("centroid").alias("vec"))
     part = pairwise(q, rep, histogram_kernel(bins), "query bigint, bin bigint, n bigint")
     counts = part.groupBy("query", "bin").agg(F.sum("n").alias("n"))
-    slots = q.select(F.col("id").alias("query"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("bigint").alias("bin"))
+    slots = q.select(F.col("id").alias("query"), numbers(bins).alias("bin"))
     return slots.join(counts, ["query", "bin"], "left").select(
         F.col("query").alias("group"), "bin", ((F.col("bin") + 0.5) / bins).alias("center"),
         F.coalesce("n", F.lit(0).cast("bigint")).alias("n"),
     )
 
 
+def centre_histogram(rep: DataFrame, features: DataFrame, bins: int = CENTRE_BINS) -> DataFrame:
+    """Counts of all rows (no sample) by similarity of ``rep`` to the global centre."""
+    y = scalars.similarity01(vectors.dot_with("vec", global_centre(features)))
+    return fixed_bins(rep.select(F.round(y, 9).alias("v")), [], "v", bins)
+
+
 def similarity_to_centroids(rep: DataFrame, group_centroids: DataFrame) -> DataFrame:
     """``(group, id, y)`` for every row and every centroid, y in [0, 1]."""
     q = group_centroids.select(F.col("group").cast("bigint").alias("id"), F.col("centroid").alias("vec"))
@@ -117,14 +125,14 @@ def similarity_medians(rep: DataFrame, scores: DataFrame, group_centroids: DataF
     return own.join(every, "group")
 
 
-@arrow_udf("array<double>")
+@arrow_udf(T.ArrayType(T.DoubleType()))
 def _leading_axis(gram: pa.Array) -> pa.Array:
     flat = matrix(gram)
     d = int(round(flat.shape[1] ** 0.5))
     _, vec = np.linalg.eigh(flat.reshape(-1, d, d))
     axis = vec[:, :, -1]
     lead = np.take_along_axis(axis, np.abs(axis).argmax(axis=1)[:, None], axis=1)
-    return vectors.list_column(axis * np.where(lead < 0, -1.0, 1.0))
+    return list_column(axis * np.where(lead < 0, -1.0, 1.0))
 
 
 def first_axis_projection(scores: DataFrame) -> DataFrame:
@@ -155,7 +163,7 @@ def _partial_gram(scores: DataFrame) -> DataFrame:
                 total[key] = total.get(key, 0) + x.T @ x
         if total:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([int(k) for k in total], pa.int64()), vectors.list_column(np.stack([t.ravel() for t in total.values()]))],
+                [pa.array([int(k) for k in total], pa.int64()), list_column(np.stack([t.ravel() for t in total.values()]))],
                 names=["group", "gram"],
             )
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselar.functions import scalars, vectors
-from tesselar.scale import one_row
+from tesselar.scale import numbers, one_row
 
 KDE_GRID = 256
 RADIAL_SAMPLES = 192
@@ -23,7 +23,7 @@ def fixed_bins(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFra
     """Counts over ``bins`` equal bins of [0, 1]; the last bin is closed, values outside drop."""
     b = F.least(F.floor(F.col(value) * bins), F.lit(bins - 1)).cast("bigint")
     counts = df.filter(F.col(value).between(0.0, 1.0)).groupBy(*keys, b.alias("bin")).agg(F.count("*").alias("n"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).cast("bigint").alias("bin")
+    every = numbers(bins).alias("bin")
     if keys:
         slots = df.select(*keys).distinct().select(*keys, every)
     else:
@@ -60,9 +60,9 @@ def random_pairs(positions: DataFrame, pairs: int, seed: int = 0) -> DataFrame:
 def anchor_histogram(features: DataFrame, anchor_id: int, bins: int = 60) -> DataFrame:
     """Cosine of one row to all others over [0, 1]."""
     units = vectors.representation(features)
-    anchor = units.filter(F.col("id") == anchor_id).select("vec").scalar()
+    anchor = np.array(units.filter(F.col("id") == anchor_id).select("vec").first()[0])
     s = units.filter(F.col("id") != anchor_id).select(
-        F.round(scalars.clip(vectors.dot("vec", anchor), 0.0, 1.0), 9).alias("v")
+        F.round(scalars.clip(vectors.dot_with("vec", anchor), 0.0, 1.0), 9).alias("v")
     )
     return fixed_bins(s, [], "v", bins)
 
@@ -119,7 +119,7 @@ def kde(counts: DataFrame, keys: list[str], grid: int = KDE_GRID, expected: Data
     points = counts.select(*keys, F.col("value").cast("double").alias("value"), F.col("n").alias("_w")).join(stats, keys)
     u = (at(F.col("i")) - F.col("value")) / F.col("bw")
     dens = (
-        points.select("*", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).alias("i"))
+        points.select("*", numbers(grid).alias("i"))
         .groupBy(*keys, "i")
         .agg(F.sum(F.col("_w") * F.exp(u * u * -0.5)).alias("_k"))
     )
@@ -132,7 +132,7 @@ def kde(counts: DataFrame, keys: list[str], grid: int = KDE_GRID, expected: Data
     empty = expected.select(*keys).distinct().join(stats, keys, "left_anti")
     zero = F.lit(0.0)
     return out.unionByName(
-        empty.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(grid - 1))).cast("bigint").alias("i")).select(
+        empty.select(*keys, numbers(grid).alias("i")).select(
             *keys, "i", (F.col("i") / (grid - 1)).alias("x"), zero.alias("y"), F.lit(0).cast("bigint").alias("n"),
             zero.alias("lo"), F.lit(1.0).alias("hi"), zero.alias("bw"),
         )
@@ -148,7 +148,7 @@ def unit_interval_kde(values: DataFrame, keys: list[str], bandwidth: Column, sam
     two = F.col("_h") * F.col("_h") * 2.0
     dens = (
         values.withColumn("_h", bandwidth)
-        .select("*", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))).cast("bigint").alias("i"))
+        .select("*", numbers(samples).alias("i"))
         .groupBy(*keys, "i")
         .agg((F.sum(F.col("n") * F.exp(-(d * d) / two) / (F.sqrt(F.lit(math.pi) * two) * F.col("size")))).alias("y"))
     )
@@ -216,7 +216,7 @@ def resampled(curves: DataFrame, keys: list[str], upper: float = scalars.FULL_RA
         .groupBy(*keys, "k")
         .agg(F.min_by(F.col("y0") * (1 - part) + F.col("y1") * part, "i").alias("d"))
     )
-    slots = curves.select(*keys).distinct().select(*keys, F.explode(F.sequence(F.lit(0), F.lit(steps))).cast("bigint").alias("k"))
+    slots = curves.select(*keys).distinct().select(*keys, numbers(steps + 1).alias("k"))
     dens = slots.join(hit, [*keys, "k"], "left").select(*keys, "k", axis.alias("x"), (F.coalesce("d", F.lit(0.0)) * (axis + 1)).alias("y"))
     dens = max_normalised(dens, keys, "y", 1e-12)
     whole = Window.partitionBy(*keys)

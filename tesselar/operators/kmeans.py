@@ -1,19 +1,28 @@
-"""Multi-level k-means on the projection."""
+"""Multi-level k-means on the projection, all levels and restarts in shared passes.
 
-from __future__ import annotations
+Fitting 5 levels × 10 restarts one by one would scan the cells more than a thousand times.  Here one
+job per iteration advances every model that has not converged: tasks return per-cluster sums, and
+only those few hundred rows reach the driver.
+"""
 
-from concurrent.futures import ThreadPoolExecutor
+from __future__ import annotations
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from tesselar import schemas
+from tesselar.functions import scalars
 from tesselar.scale import materialise
 
 SPACES = {"umap2": ["umap2_x", "umap2_y"], "umap3": ["umap3_x", "umap3_y", "umap3_z"]}
 RESTARTS = 10
+MAX_ITERATIONS = 300
+TOLERANCE = 1e-4
+SEED_SAMPLE = 20_000  # rows the starting centres are drawn from; the fit itself uses every row
 
 
 def space_columns(cells: DataFrame, space: str) -> list[str]:
@@ -24,37 +33,105 @@ def space_columns(cells: DataFrame, space: str) -> list[str]:
     return dims
 
 
+def seed_centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ starting centres."""
+    centres = [x[rng.integers(len(x))]]
+    d = ((x - centres[0]) ** 2).sum(axis=1)
+    for _ in range(1, k):
+        total = d.sum()
+        at = rng.choice(len(x), p=d / total) if total > 0 else rng.integers(len(x))
+        centres.append(x[at])
+        d = np.minimum(d, ((x - x[at]) ** 2).sum(axis=1))
+    return np.array(centres)
+
+
+def squared_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return ((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
+
+
+def _advance(data: DataFrame, dims: list[str], models: dict[int, np.ndarray]) -> dict[int, tuple]:
+    """One assignment pass: per model the cluster counts, coordinate sums and total cost."""
+    width = len(dims)
+
+    def run(batches):
+        total = {m: np.zeros((len(c), width + 2)) for m, c in models.items()}
+        for b in batches:
+            x = np.column_stack([b.column(j).to_numpy() for j in range(width)])
+            for m, c in models.items():
+                d = squared_distances(x, c)
+                near = d.argmin(axis=1)
+                weights = [np.ones(len(x)), *x.T, d[np.arange(len(x)), near]]
+                total[m] += np.column_stack([np.bincount(near, w, minlength=len(c)) for w in weights])
+        rows = [(m, i, *t[i]) for m, t in total.items() for i in range(len(t)) if t[i, 0] > 0]
+        if rows:
+            cols = list(zip(*rows))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[2:]]],
+                names=["model", "cluster", *[f"s{i}" for i in range(width + 2)]],
+            )
+
+    names = [f"s{i}" for i in range(width + 2)]
+    part = data.select(*dims).mapInArrow(run, "model bigint, cluster bigint, " + ", ".join(f"{n} double" for n in names))
+    out = {m: np.zeros((len(c), width + 2)) for m, c in models.items()}
+    for r in part.groupBy("model", "cluster").agg(*[F.sum(n).alias(n) for n in names]).collect():
+        out[r["model"]][r["cluster"]] = r[2:]
+    return out
+
+
+def fit(data: DataFrame, dims: list[str], ks: list[int]) -> list[tuple[np.ndarray, float]]:
+    """Centres and cost of one model per entry of ``ks``."""
+    h = scalars.order_hash(F.col("id"))
+    sample = np.array([r[:] for r in data.orderBy(h, "id").select(*dims).limit(SEED_SAMPLE).collect()], dtype=np.float64)
+    spread = data.agg(*[F.var_pop(d) for d in dims]).first()
+    tolerance = TOLERANCE * float(np.mean([s or 0.0 for s in spread]))
+    centres = {m: seed_centres(sample, k, np.random.default_rng(m)) for m, k in enumerate(ks)}
+    cost = dict.fromkeys(centres, float("inf"))
+    running = dict(centres)
+    for _ in range(MAX_ITERATIONS):
+        for m, t in _advance(data, dims, running).items():
+            cost[m] = t[:, -1].sum()
+            n = t[:, :1]
+            moved = np.where(n > 0, t[:, 1:-1] / np.maximum(n, 1), centres[m])
+            shift = ((moved - centres[m]) ** 2).sum()
+            centres[m] = moved
+            if shift <= tolerance:
+                running.pop(m)
+            else:
+                running[m] = moved
+        if not running:
+            break
+    return [(centres[m], cost[m]) for m in sorted(centres)]
+
+
+def nearest_centre(dims: list[str], centres: np.ndarray):
+    """Index of the nearest centre as a column; no join and no shuffle."""
+
+    @arrow_udf(T.IntegerType())
+    def run(*cols: pa.Array) -> pa.Array:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in cols])
+        return pa.array(squared_distances(x, centres).argmin(axis=1) if len(x) else [], pa.int32())
+
+    return run(*dims)
+
+
 def multilevel_kmeans(
-    cells: DataFrame,
-    space: str = "umap2",
-    level_k: dict[int, int] | None = None,
-    restarts: int = RESTARTS,
-    parallelism: int = 8,
+    cells: DataFrame, space: str = "umap2", level_k: dict[int, int] | None = None, restarts: int = RESTARTS
 ) -> DataFrame:
     """Add ``cluster_L<level>``: independent k-means per level, the cheapest of several restarts.
 
-    Level 0 is one cluster.  Fits of all levels and restarts share one written vector table and run
-    as concurrent Spark jobs.
+    Level 0 is one cluster.
     """
     level_k = dict(level_k or schemas.LEVEL_K)
     if level_k.get(0) != 1:
         raise ValueError("level 0 must be configured with k = 1")
     dims = space_columns(cells, space)
-    data = materialise(cells.select("id", array_to_vector(F.array(*[F.col(d).cast("double") for d in dims])).alias("features")), "vectors")
-    jobs = [(lvl, k, seed) for lvl, k in level_k.items() if lvl > 0 for seed in range(restarts)]
-
-    def fit(job):
-        lvl, k, seed = job
-        model = KMeans(k=k, seed=seed, featuresCol="features", predictionCol=f"cluster_L{lvl}").fit(data)
-        return lvl, model.summary.trainingCost, seed, model
-
-    best: dict[int, tuple] = {}
-    with ThreadPoolExecutor(parallelism) as pool:
-        for lvl, cost, seed, model in pool.map(fit, jobs):
-            if lvl not in best or (cost, seed) < best[lvl][:2]:
-                best[lvl] = (cost, seed, model)
-    labelled = data.withColumn("cluster_L0", F.lit(0))
-    for lvl in sorted(best):
-        labelled = best[lvl][2].transform(labelled)
-    old = [c for c in cells.columns if c.startswith("cluster_L")]
-    return cells.drop(*old).join(labelled.drop("features"), "id")
+    data = materialise(cells.select("id", *[F.col(d).cast("double").alias(d) for d in dims]), "vectors")
+    jobs = [(lvl, k) for lvl, k in sorted(level_k.items()) if lvl > 0 for _ in range(restarts)]
+    fitted = fit(data, dims, [k for _, k in jobs])
+    best: dict[int, tuple[np.ndarray, float]] = {}
+    for (lvl, _), (centres, cost) in zip(jobs, fitted):
+        if lvl not in best or cost < best[lvl][1]:
+            best[lvl] = (centres, cost)
+    labels = {"cluster_L0": F.lit(0)}
+    labels |= {f"cluster_L{lvl}": nearest_centre(dims, c) for lvl, (c, _) in best.items()}
+    return cells.drop(*[c for c in cells.columns if c.startswith("cluster_L")]).withColumns(labels)

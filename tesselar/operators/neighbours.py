@@ -6,10 +6,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from tesselar.functions import scalars, vectors
-from tesselar.functions.vectors import matrix
+from tesselar.functions.vectors import list_column, matrix
 from tesselar.operators.pairwise import nearest
 from tesselar.scale import materialise, ranked
 
@@ -29,7 +30,7 @@ def projection_vectors(cells: DataFrame) -> DataFrame:
     return cells.select("id", F.array(F.col("umap2_x"), F.col("umap2_y")).alias("vec"))
 
 
-@arrow_udf("array<double>")
+@arrow_udf(T.ArrayType(T.DoubleType()))
 def _spread(groups: pa.Array, query: pa.Array) -> pa.Array:
     counts = np.diff(groups.offsets.to_numpy())
     m = matrix(groups.flatten())
@@ -38,7 +39,7 @@ def _spread(groups: pa.Array, query: pa.Array) -> pa.Array:
     d = np.linalg.norm(m - np.repeat(mean, counts, axis=0), axis=1)
     compact = np.add.reduceat(d, starts) / counts
     diff = np.linalg.norm(matrix(query) - mean, axis=1)
-    return vectors.list_column(np.column_stack([compact, diff]))
+    return list_column(np.column_stack([compact, diff]))
 
 
 def local_structure(neighbours: DataFrame, features: DataFrame) -> DataFrame:
@@ -97,13 +98,20 @@ def percentile_reference(features, cells, k, metric="cosine", space="embedding",
 
 
 def percentile_columns(values: DataFrame, reference: DataFrame, columns: list[str]) -> DataFrame:
-    """Fraction of the (size-limited) reference at or below each value, as ``<column>_pct``."""
-    out = values
-    for c in columns:
-        ref = reference.agg(F.sort_array(F.collect_list(F.round(c, 9))).alias("r")).scalar()
-        at_most = F.size(F.filter(ref, lambda r, c=c: r <= F.round(F.col(c), 9)))
-        out = out.withColumn(f"{c}_pct", F.when(F.size(ref) > 0, at_most / F.size(ref)).otherwise(F.lit(0.0)))
-    return out
+    """Fraction of the size-limited reference sample at or below each value, as ``<column>_pct``."""
+    rows = reference.select(*[F.round(c, 9) for c in columns]).collect()
+
+    def fraction(i: int, c: str):
+        ref = np.sort(np.array([r[i] for r in rows], dtype=np.float64))
+
+        @arrow_udf(T.DoubleType())
+        def run(v: pa.Array) -> pa.Array:
+            at_most = np.searchsorted(ref, v.to_numpy(zero_copy_only=False), side="right")
+            return pa.array(at_most / max(1, len(ref)), pa.float64())
+
+        return run(F.round(c, 9))
+
+    return values.withColumns({f"{c}_pct": fraction(i, c) for i, c in enumerate(columns)})
 
 
 def fraction_at_most(probes: DataFrame, reference: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselar.functions.vectors import matrix
-from tesselar.scale import CLOSURE_LIMIT_BYTES
+from tesselar.scale import numbers, CLOSURE_LIMIT_BYTES
 
 BLOCK_ROWS = 4096
 QUERY_SLICE = 512
@@ -113,7 +113,7 @@ def pairwise(queries: DataFrame, targets: DataFrame, kernel: Kernel, schema: str
         key = F.pmod(F.xxhash64("id"), F.lit(blocks))
         return df.groupBy(key.alias(f"{name}_block")).agg(F.collect_list(F.struct("id", "vec")).alias(name))
 
-    q = packed(queries, blocks_q, "q").withColumn("t_block", F.explode(F.sequence(F.lit(0), F.lit(blocks_t - 1))).cast("bigint"))
+    q = packed(queries, blocks_q, "q").withColumn("t_block", numbers(blocks_t))
     pairs = q.join(packed(targets, blocks_t, "t"), "t_block").select("q", "t")
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

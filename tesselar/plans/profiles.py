@@ -44,17 +44,19 @@ def cluster_prompts(profile: DataFrame, context: DataFrame, k: int = clusters.MA
         F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct(key, item.alias("t"))))), lambda s: s["t"]), sep
     )
     high, low, every = F.col("is_high") == 1, F.col("is_low") == 1, F.lit(True)
-    body = m.join(profile.select("level", "cluster", "channel", "channel_name"), ["level", "cluster", "channel"]).groupBy("level", "cluster").agg(
+    named = profile.select("level", "cluster", "channel", "channel_name")
+    pairs = m.join(named, ["level", "cluster", "channel"]).withColumn("_pair", F.concat_ws("=", "channel_name", text.fixed_text("avg", 4)))
+    body = pairs.groupBy("level", "cluster").agg(
         listing(high, ", ", F.col("text"), F.col("place")).alias("top"),
         listing(low, ", ", F.col("text"), F.col("place")).alias("low"),
         listing(every, ", ", F.col("channel_name"), F.col("channel")).alias("channels"),
-        listing(every, "; ", F.format_string("%s=%.4f", "channel_name", "avg"), F.col("channel")).alias("averages"),
+        listing(every, "; ", F.col("_pair"), F.col("channel")).alias("averages"),
     )
     lines = F.concat_ws(
         "\n",
         F.concat(F.lit("- number of cells: "), F.col("n").cast("string")),
-        F.format_string("- percentage: %.2f%%", "percent"),
-        F.when(F.col("center_x").isNotNull(), F.format_string("- UMAP centroid: (%.2f, %.2f)", "center_x", "center_y")),
+        F.concat(F.lit("- percentage: "), text.fixed_text("percent", 2), F.lit("%")),
+        F.when(F.col("center_x").isNotNull(), F.concat(F.lit("- UMAP centroid: ("), text.fixed_text("center_x", 2), F.lit(", "), text.fixed_text("center_y", 2), F.lit(")"))),
     )
     ctx = context.select("level", "cluster", lines.alias("context"))
     return body.join(ctx, ["level", "cluster"], "left").select(

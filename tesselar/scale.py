@@ -44,6 +44,11 @@ def one_row(df: DataFrame) -> Column:
     return df.select(F.struct(*[F.col(c) for c in df.columns]).alias("s")).scalar()
 
 
+def numbers(n: int) -> Column:
+    """Generator of 0..n−1 as bigint."""
+    return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+
+
 def ranked(df: DataFrame, keys: list[str], order: list[str], rank_col: str = "rank") -> DataFrame:
     """0-based dense position inside each key, ordered by ``order`` (which must end in a unique id).
 
