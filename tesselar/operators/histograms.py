@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselar.functions import scalars, vectors
+from tesselar.operators.pairwise import clipped_histogram_kernel, pairwise
 from tesselar.scale import numbers, one_row
 
 KDE_GRID = 256
@@ -45,6 +46,20 @@ def pair_histogram(features: DataFrame, pairs: DataFrame, bins: int = 60) -> Dat
     return fixed_bins(sims.select(F.round("v", 9).alias("v")), [], "v", max(8, min(400, bins)))
 
 
+def all_pairs_histogram(features: DataFrame, bins: int = 60) -> DataFrame:
+    """Exact counterpart of the pair histogram over every unordered pair.
+
+    Pairs only exist inside a kernel, which returns bin counts per query.
+    """
+    units = vectors.representation(features)
+    part = pairwise(units, units, clipped_histogram_kernel(bins), "bin bigint, n bigint")
+    counts = part.groupBy("bin").agg((F.sum("n") / 2).cast("bigint").alias("n"))
+    slots = features.sparkSession.range(bins).select(F.col("id").alias("bin"))
+    return slots.join(counts, "bin", "left").select(
+        "bin", ((F.col("bin") + 0.5) / bins).alias("center"), F.coalesce("n", F.lit(0).cast("bigint")).alias("n")
+    )
+
+
 def random_pairs(positions: DataFrame, pairs: int, seed: int = 0) -> DataFrame:
     """A fixed pseudo-random pair list over dense positions: ``positions(position, id)`` → ``(a, b)``."""
     n = positions.agg(F.count("*")).scalar()

@@ -164,13 +164,14 @@ def missing_signals(points: DataFrame, signal: DataFrame, channels: DataFrame, p
 def composite_pixels(pixels: DataFrame, params: DataFrame) -> DataFrame:
     """RGBA composite ``(id, y, x, r, g, b, a)`` on the 0–255 scale.
 
-    ``params(channel, min, max, alpha, red, green, blue)``.
+    ``params(channel, min, max, alpha, red, green, blue)``.  Sums are rounded to six decimals before
+    they are cut to bytes, so the order of addition cannot flip a byte.
     """
     t = scalars.norm01(F.col("value").cast("double"), F.col("min"), F.col("max"))
     v = t * scalars.clip(F.coalesce("alpha", F.lit(1.0)), 0.0, 1.0)
     px = pixels.join(params, "channel").select("id", "y", "x", v.alias("v"), "red", "green", "blue")
-    tone = lambda c: F.floor(F.least(F.lit(255.0), F.sum(scalars.clip(F.col(c) * F.col("v"), 0.0, 255.0)))).cast("int")
+    tone = lambda c: F.floor(F.round(F.least(F.lit(255.0), F.sum(scalars.clip(F.col(c) * F.col("v"), 0.0, 255.0))), 6)).cast("int")
     return px.groupBy("id", "y", "x").agg(
         tone("red").alias("r"), tone("green").alias("g"), tone("blue").alias("b"),
-        F.floor(F.least(F.lit(255.0), F.max("v") * 255.0)).cast("int").alias("a"),
+        F.floor(F.round(F.least(F.lit(255.0), F.max("v") * 255.0), 6)).cast("int").alias("a"),
     )

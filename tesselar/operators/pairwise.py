@@ -73,6 +73,20 @@ def histogram_kernel(bins: int) -> Kernel:
     return run
 
 
+def clipped_histogram_kernel(bins: int) -> Kernel:
+    """Counts over all queries of the cosine clipped to [0, 1], self-pairs left out."""
+
+    def run(qid, q, vid, v):
+        total = np.zeros(bins, np.int64)
+        for s in range(0, len(q), QUERY_SLICE):
+            sc = np.maximum(cosine_scores(q[s:s + QUERY_SLICE], v), 0.0)
+            b = np.minimum((sc * bins).astype(np.int64), bins - 1)
+            total += np.bincount(b[qid[s:s + QUERY_SLICE, None] != vid[None, :]], minlength=bins)
+        return pa.RecordBatch.from_arrays([pa.array(np.arange(bins)), pa.array(total)], names=["bin", "n"])
+
+    return run
+
+
 def score_kernel() -> Kernel:
     """Every score; only for a bounded set of queries such as group centroids."""
 
