@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselar.functions import scalars
@@ -14,6 +15,8 @@ from tesselar.scale import materialise, one_row, ranked
 SUBSET_THRESHOLD = 200_000
 DISPLAY_CAP = 200_000
 OVERLAP_RATIO = 0.8
+BLOCK_CELLS = 32  # block edge, in cells of one radius
+CELL_LIST = 32  # items of a cell that a round looks at
 
 
 def grid_shape(cap: int) -> tuple[int, int]:
@@ -56,48 +59,80 @@ def overlap_radius(tile_size: float, base_zoom: float) -> float:
     return OVERLAP_RATIO * max(1e-3, tile_size) * 2.0 ** -base_zoom
 
 
-def suppress_overlaps(items: DataFrame, radius: float) -> DataFrame:
+def _settle_block(pdf: pd.DataFrame, radius: float) -> pd.DataFrame:
+    """Items of one block that are certainly kept, whatever happens outside the block.
+
+    Sweeps best first.  ``inner`` marks items the block owns; others, and the last item of a cut cell
+    list, only cast doubt on what they touch.
+    """
+    kept, doubtful, open_cells, out = {}, {}, set(), []
+    offsets = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
+    order = pdf.sort_values(["score", "id"], ascending=[False, True])
+    for i, x, y, cx, cy, inner, last in order[["id", "x", "y", "cx", "cy", "inner", "cut"]].itertuples(index=False):
+        near = [(cx + dx, cy + dy) for dx, dy in offsets]
+
+        def touches(p):
+            return abs(p[0] - x) < radius and abs(p[1] - y) < radius
+
+        if any(c in kept and touches(kept[c]) for c in near):
+            continue
+        doubt = any(c in open_cells or any(map(touches, doubtful.get(c, ()))) for c in near)
+        if inner and not last and not doubt:
+            kept[cx, cy] = (x, y)
+            out.append((i, x, y, cx, cy))
+        else:
+            doubtful.setdefault((cx, cy), []).append((x, y))
+            if last:
+                open_cells.add((cx, cy))
+    return pd.DataFrame(out, columns=["id", "x", "y", "cx", "cy"])
+
+
+def suppress_overlaps(items: DataFrame, radius: float, block: int = BLOCK_CELLS, per_cell: int = CELL_LIST) -> DataFrame:
     """Greedy suppression of ``items(id, x, y, score)``: by score descending, id ascending, an item is
     dropped when it lies within Chebyshev ``radius`` of a kept one.
 
-    Same result as the sequential sweep, in parallel rounds.  Space is cut into cells of one radius,
-    so two items of a cell always conflict and only the best item of a cell matters.  A cell's best
-    item is final once no better item is left in the 3×3 cells around it; then everything it covers
-    goes.  No pairs inside a cell are ever formed, however full the cell is.
+    Same result as the sequential sweep.  Space is cut into cells of one radius, so two items of a
+    cell always conflict and a cell keeps at most one.  A round sends the best few items of every cell
+    to blocks of cells (with a rim of neighbours), where all decisions that nothing outside can change
+    are taken; covered items then leave.  Undecided ones meet the next round on shifted blocks.  Block
+    input is bounded by cells × list length however full a cell is, and no pairs are formed.
     """
     if not (radius > 0 and math.isfinite(radius)):
         return items.select("id")
     cell = lambda c: F.floor(F.col(c) / radius).alias(f"c{c}")
     active = items.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("score").cast("double").alias("score"), cell("x"), cell("y"))
-    active = materialise(active, "active")
     around = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
-    best = F.max(F.struct("score", (-F.col("id")).alias("nid"), "x", "y", "id"))
-    kept = []
-    while not active.isEmpty():
-        tops = active.groupBy("cx", "cy").agg(best.alias("t"))
-        spread = tops.select("cx", "cy", "t", around.alias("o")).select(
-            (F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy"), "t",
-            F.when((F.col("o.dx") == 0) & (F.col("o.dy") == 0), F.col("t")).alias("own"),
+    best_first = Window.partitionBy("cx", "cy").orderBy(F.desc("score"), "id")
+    settle = lambda pdf: _settle_block(pdf, radius)
+    kept, turn = [], 0
+    while turn == 0 or not active.isEmpty():
+        shift = (turn % 2) * (block // 2)
+        home = lambda c: F.floor((F.col(c) + shift) / block)
+
+        def homes(c: str) -> Column:
+            at = F.pmod(F.col(c) + shift, F.lit(block))
+            return F.array_compact(F.array(home(c), F.when(at == 0, home(c) - 1), F.when(at == block - 1, home(c) + 1)))
+
+        lists = active.withColumn("_n", F.row_number().over(best_first)).filter(F.col("_n") <= per_cell + 1)
+        sent = (
+            lists.select("*", F.explode(homes("cx")).alias("bx"))
+            .select("*", F.explode(homes("cy")).alias("by"))
+            .withColumn("inner", (F.col("bx") == home("cx")) & (F.col("by") == home("cy")))
+            .withColumn("cut", F.col("_n") > per_cell)
+            .drop("_n")
         )
         winners = materialise(
-            spread.groupBy("cx", "cy").agg(F.max("t").alias("top"), F.max("own").alias("own"))
-            .filter("own is not null and own = top").select("cx", "cy", "own.id", "own.x", "own.y"),
-            "winners",
+            sent.groupBy("bx", "by").applyInPandas(settle, "id bigint, x double, y double, cx bigint, cy bigint"), "winners"
         )
         kept.append(winners.select("id"))
-        # Two winners are never in neighbouring cells, so a cell sees at most four of them.
-        cover = winners.select(
-            F.col("x").alias("wx"), F.col("y").alias("wy"), "cx", "cy", around.alias("o")
-        ).groupBy((F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy")).agg(
-            F.collect_list(F.struct("wx", "wy")).alias("w")
-        )
-        hit = F.exists("w", lambda p: (F.abs(F.col("x") - p["wx"]) < radius) & (F.abs(F.col("y") - p["wy"]) < radius))
-        active = materialise(
-            active.join(cover, ["cx", "cy"], "left").filter(F.col("w").isNull() | ~hit).drop("w").select("id", "x", "y", "score", "cx", "cy"),
-            "active",
-        )
-    out = items.select("id").filter(F.lit(False))
-    for k in kept:
+        cover = winners.select("x", "y", "cx", "cy", around.alias("o")).groupBy(
+            (F.col("cx") + F.col("o.dx")).alias("cx"), (F.col("cy") + F.col("o.dy")).alias("cy")
+        ).agg(F.collect_list(F.struct("x", "y")).alias("w"))  # at most nine kept items around a cell
+        hit = F.exists("w", lambda p: (F.abs(F.col("x") - p["x"]) < radius) & (F.abs(F.col("y") - p["y"]) < radius))
+        active = materialise(active.join(cover, ["cx", "cy"], "left").filter(F.col("w").isNull() | ~hit).drop("w"), "active")
+        turn += 1
+    out = kept[0]
+    for k in kept[1:]:
         out = out.unionByName(k)
     return out
 
