@@ -15,7 +15,7 @@ from tesselar.scale import materialise, one_row, ranked
 SUBSET_THRESHOLD = 200_000
 DISPLAY_CAP = 200_000
 OVERLAP_RATIO = 0.8
-BLOCK_CELLS = 32  # block edge, in cells of one radius
+BLOCK_CELLS = 64  # block edge, in cells of one radius
 CELL_LIST = 32  # items of a cell that a round looks at
 
 
