@@ -18,6 +18,8 @@ from tesselar.scale import numbers, CLOSURE_LIMIT_BYTES
 
 BLOCK_ROWS = 4096
 QUERY_SLICE = 512
+HELD_ROWS = 2_000_000  # results a task gathers between reductions
+EMIT_ROWS = 65_536
 SCORE_DECIMALS = 9  # equal vectors tie, so ids decide
 
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch]
@@ -100,9 +102,39 @@ def score_kernel() -> Kernel:
     return run
 
 
-def pairwise(queries: DataFrame, targets: DataFrame, kernel: Kernel, schema: str, limit: int = CLOSURE_LIMIT_BYTES) -> DataFrame:
+def keep_topk(k: int) -> Callable[[pa.Table], pa.Table]:
+    """Reduce a task's top-k candidates of several batches to its own top-k."""
+
+    def run(t: pa.Table) -> pa.Table:
+        q, i, s = (t.column(n).to_numpy() for n in ("query", "id", "score"))
+        order = np.lexsort((i, -s, q))
+        sorted_q = q[order]
+        place = np.arange(len(order)) - np.searchsorted(sorted_q, sorted_q, side="left")
+        return t.take(pa.array(order[place < k]))
+
+    return run
+
+
+def matvec_kernel() -> Kernel:
+    """Rows of clip(XXᵀ, 0, 1)·v; the target vector carries its entry of v as last component."""
+
+    def run(qid, q, vid, v):
+        total = np.zeros(len(q))
+        for s in range(0, len(q), QUERY_SLICE):
+            total[s:s + QUERY_SLICE] = np.clip(q[s:s + QUERY_SLICE] @ v[:, :-1].T, 0.0, 1.0) @ v[:, -1]
+        return pa.RecordBatch.from_arrays([pa.array(qid), pa.array(total)], names=["id", "value"])
+
+    return run
+
+
+def pairwise(
+    queries: DataFrame, targets: DataFrame, kernel: Kernel, schema: str, limit: int = CLOSURE_LIMIT_BYTES,
+    combine: Callable[[pa.Table], pa.Table] | None = None,
+) -> DataFrame:
     """Apply ``kernel`` to all query × target blocks of ``(id, vec)`` frames.
 
+    ``combine`` shrinks the results a task has gathered before they are emitted.
+
     The query set is measured.  Up to ``limit`` bytes it travels inside the task closure and the
     targets are read in place, unshuffled.  A larger set meets the targets through an equi-join of
     packed blocks, so no task and no driver ever holds more than two blocks.
@@ -114,9 +146,22 @@ def pairwise(queries: DataFrame, targets: DataFrame, kernel: Kernel, schema: str
         qv = matrix(q.column("vec"))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            rows = 0
             for b in batches:
-                if b.num_rows and len(qid):
-                    yield kernel(qid, qv, b.column(0).to_numpy().astype(np.int64), matrix(b.column(1)))
+                if not (b.num_rows and len(qid)):
+                    continue
+                out = kernel(qid, qv, b.column(0).to_numpy().astype(np.int64), matrix(b.column(1)))
+                if combine is None:
+                    yield out
+                    continue
+                held.append(out)
+                rows += out.num_rows
+                if rows > HELD_ROWS:
+                    reduced = combine(pa.Table.from_batches(held)).combine_chunks()
+                    held, rows = reduced.to_batches(), 0
+            if held:
+                yield from combine(pa.Table.from_batches(held)).combine_chunks().to_batches(max_chunksize=EMIT_ROWS)
 
         return targets.select("id", "vec").mapInArrow(scan, schema)
 
@@ -150,6 +195,6 @@ def nearest(
     ``score`` is the cosine of unit vectors, or the negative distance in ``l2`` space.
     """
     kernel = topk_kernel(k, cosine_scores if space == "cosine" else negative_l2)
-    local = pairwise(queries, targets, kernel, "query bigint, id bigint, score double", limit)
+    local = pairwise(queries, targets, kernel, "query bigint, id bigint, score double", limit, keep_topk(k))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

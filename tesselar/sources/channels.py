@@ -107,3 +107,23 @@ def check_channel_count(averages: DataFrame, info: DataFrame) -> DataFrame:
         tiles.join(named, "zarr_c", "left_anti").withColumn("problem", F.lit("unnamed"))
         .unionByName(named.join(tiles, "zarr_c", "left_anti").withColumn("problem", F.lit("no tiles")))
     )
+
+
+def pick_colours(wanted: DataFrame, taken: DataFrame) -> DataFrame:
+    """Colour per wanted channel: its own palette slot, or the first slot no other channel uses.
+
+    ``taken(channel, colour)`` holds the colours in use; at most one row per palette slot is joined.
+    """
+    palette = ["%d,%d,%d" % rgb for rgb in scalars.CHANNEL_PALETTE]
+    used = taken.filter(F.col("colour").isin(palette)).groupBy("colour").agg(
+        F.min("channel").alias("_lo"), F.max("channel").alias("_hi")
+    )
+    slots = F.posexplode(F.array(*[F.lit(c) for c in palette])).alias("_slot", "colour")
+    own = F.pmod("channel", F.lit(len(palette)))
+    tried = wanted.select("channel", slots).join(used, "colour", "left")
+    other = (F.col("_lo") != F.col("channel")) | (F.col("_hi") != F.col("channel"))
+    free = F.col("_lo").isNull() | ~other
+    first = F.min(F.when(free, F.struct((F.col("_slot") != own).cast("int").alias("later"), "_slot", "colour")))
+    return tried.groupBy("channel").agg(first.alias("_p")).select(
+        "channel", F.coalesce("_p.colour", scalars.palette_color(F.col("channel"), scalars.CHANNEL_PALETTE)).alias("colour")
+    )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tesselar.functions import scalars, vectors
-from tesselar.operators import groups, neighbours
+from tesselar.operators import groups, histograms, neighbours, seriation
 from tesselar.plans import similarity
 from tesselar.scale import materialise
 from tesselar.workload.registry import query
@@ -314,3 +314,16 @@ def _(spark, sf):
     f = features(spark, sf)
     near = neighbours.neighbours_of(f, None, f, 8)
     return rounded(near.select("query", "id", scalars.similarity01(F.col("similarity")).alias("y")))
+
+
+@query("group_seriation")
+def _(spark, sf):
+    rep = vectors.representation(features(spark, sf), "cosine_centered")
+    return seriation.seriation(groups.members(rep, label_groups(spark, sf))).select("group", "id", "position")
+
+
+@query("similarity_field")
+def _(spark, sf):
+    rep, _c, scores = _scores(spark, sf)
+    order = seriation.seriation(groups.members(rep, label_groups(spark, sf)))
+    return rounded(histograms.density_field(seriation.similarity_field(scores, order)))

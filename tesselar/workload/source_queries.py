@@ -168,3 +168,23 @@ def _(spark, sf):
     c = display.spatial_coordinates(cells(spark, sf))
     c.write.json(path)
     return rounded(spark.read.schema(c.schema).json(path).select("id", F.col("raw.x").alias("x"), F.col("umap2d.y").alias("uy")))
+
+
+_SLOTS = "['255,0,0', '0,255,0', '0,128,255', '255,255,0', '255,0,255', '0,255,255', '255,128,0', '128,0,255', '0,255,128', '255,0,128']"
+
+
+@query(
+    "picked_colours",
+    f"""WITH t AS (SELECT c_custkey AS channel, {_SLOTS}[(c_custkey % 6) + 1] AS colour FROM customer WHERE c_custkey % 10 < 6),
+        u AS (SELECT colour, min(channel) AS lo, max(channel) AS hi FROM t GROUP BY colour),
+        s AS (SELECT channel, slot, {_SLOTS}[slot + 1] AS colour FROM (SELECT DISTINCT o_custkey AS channel FROM orders), (SELECT unnest(range(10)) AS slot)),
+        f AS (SELECT channel, s.colour, row_number() OVER (PARTITION BY channel ORDER BY (slot <> channel % 10)::INT, slot) AS r FROM s LEFT JOIN u USING (colour)
+          WHERE lo IS NULL OR (lo = channel AND hi = channel)) SELECT channel, colour FROM f WHERE r = 1""",
+)
+def _(spark, sf):
+    from tesselar.functions.scalars import CHANNEL_PALETTE, palette_color
+
+    wanted = raw(spark, sf, "orders").select(F.col("o_custkey").alias("channel")).distinct()
+    c = F.col("c_custkey")
+    taken = raw(spark, sf, "customer").filter(c % 10 < 6).select(c.alias("channel"), palette_color(c % 6, CHANNEL_PALETTE).alias("colour"))
+    return channel_source.pick_colours(wanted, taken)
