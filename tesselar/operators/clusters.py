@@ -125,8 +125,8 @@ def cluster_parents(cells: DataFrame, level_k: dict[int, int] | None = None) ->
     )
     if level_k is None:
         return out
-    rows = [(lvl, k) for lvl, k in level_k.items()]
-    wanted = cells.sparkSession.createDataFrame(rows, "level int, k int").select("level", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).cast("bigint").alias("cluster"))
+    rows = [(lvl, c) for lvl, k in level_k.items() for c in range(k)]
+    wanted = cells.sparkSession.createDataFrame(rows, "level int, cluster bigint")
     return wanted.join(out, ["level", "cluster"], "left").select(
         "level", "cluster",
         F.coalesce("parent_level", F.col("level") - 1).alias("parent_level"),
