@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tesselar.functions import scalars
 from tesselar.operators.selection import difference
-from tesselar.scale import materialise, one_row, ranked
+from tesselar.scale import first_by_hash, materialise, one_row, ranked
 
 SUBSET_THRESHOLD = 200_000
 DISPLAY_CAP = 200_000
@@ -37,7 +37,13 @@ def thinned(points: DataFrame, cap: int, seed: int = 42) -> DataFrame:
 
     h = scalars.order_hash(F.col("id"), seed)
     firsts = ok.groupBy(slot("x", gx).alias("bx"), slot("y", gy).alias("by")).agg(F.min(F.struct(h.alias("h"), "id")).alias("m"))
-    return ranked(firsts.select("m.h", "m.id"), [], ["h", "id"], "_r").filter(F.col("_r") < cap).select("id")
+    return _first_ids(firsts.select("m.id"), cap, seed)
+
+
+def _first_ids(ids: DataFrame, count: int, seed: int) -> DataFrame:
+    """The first ``count`` ids in hash order."""
+    quota = ids.agg(F.lit(count).cast("bigint").alias("quota"), F.count("*").alias("size"))
+    return first_by_hash(ids.select("id"), [], quota, scalars.order_hash(F.col("id"), seed) / F.lit(2.0 ** 32), ["id"])
 
 
 def display_subset(points: DataFrame, threshold: int = SUBSET_THRESHOLD, cap: int = DISPLAY_CAP, seed: int = 42) -> DataFrame:
@@ -50,8 +56,7 @@ def display_subset(points: DataFrame, threshold: int = SUBSET_THRESHOLD, cap: in
         return ranked(points.select("id"), [], ["id"], "position")
     picked = materialise(thinned(points, min(cap, n), seed), "thinned")
     need = min(cap, n) - picked.count()
-    pool = difference(points.select("id"), picked).withColumn("h", scalars.order_hash(F.col("id"), seed))
-    fill = ranked(pool, [], ["h", "id"], "_r").filter(F.col("_r") < need).select("id")
+    fill = _first_ids(difference(points.select("id"), picked), need, seed)
     return ranked(picked.unionByName(fill), [], ["id"], "position")
 
 
@@ -148,8 +153,7 @@ def hash_capped(ids: DataFrame, cap: int | None, seed: int = 0) -> DataFrame:
     """``cap`` ids in a fixed hash order; None (the default everywhere) keeps all."""
     if cap is None:
         return ids
-    h = scalars.order_hash(F.col("id"), seed)
-    return ranked(ids.select("id").withColumn("_h", h), [], ["_h", "id"], "_r").filter(F.col("_r") < cap).select("id")
+    return _first_ids(ids, cap, seed)
 
 
 def group_cap(n: int) -> int:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselar.functions import scalars
-from tesselar.scale import ranked
+from tesselar.scale import first_by_hash
 
 FOREGROUND_FLOOR = 0.01 * scalars.FULL_RANGE
 FOREGROUND_MINIMUM = 100
@@ -58,13 +58,11 @@ def proportional_sample(pixels: DataFrame, keys: list[str], max_samples: int, se
     Pass pixels already restricted to a selection to sample within it.
     """
     per = [*keys, "chunk_id"]
-    sizes = pixels.groupBy(*per).agg(F.count("*").alias("_local"))
-    quota = sizes.withColumn("_total", F.sum("_local").over(Window.partitionBy(*keys))).select(
-        *per, F.bround(F.lit(float(max_samples)) * F.col("_local") / F.col("_total")).cast("bigint").alias("_quota")
-    )
-    h = F.xxhash64("id", "y", "x", F.lit(seed))
-    r = ranked(pixels.withColumn("_h", h), per, ["_h", "id", "y", "x"], "_r")
-    return r.join(quota, per).filter(F.col("_r") < F.col("_quota")).drop("_h", "_r", "_quota")
+    sizes = pixels.groupBy(*per).agg(F.count("*").alias("size"))
+    total = F.sum("size").over(Window.partitionBy(*keys))
+    quota = sizes.select(*per, F.bround(F.lit(float(max_samples)) * F.col("size") / total).cast("bigint").alias("quota"), "size")
+    h01 = F.xxhash64("id", "y", "x", F.lit(seed)) / F.lit(2.0 ** 64) + 0.5
+    return first_by_hash(pixels, per, quota.filter("quota > 0"), h01, ["id", "y", "x"])
 
 
 def selected_pixels(pixels: DataFrame, ids: DataFrame, per_chunk: int | None = None) -> DataFrame:

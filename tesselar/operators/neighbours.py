@@ -12,7 +12,7 @@ from pyspark.sql.functions import arrow_udf
 from tesselar.functions import scalars, vectors
 from tesselar.functions.vectors import list_column, matrix
 from tesselar.operators.pairwise import nearest
-from tesselar.scale import materialise, ranked
+from tesselar.scale import CLOSURE_LIMIT_BYTES, materialise, ranked
 
 GALLERY_K = 8
 FETCH_K = 64
@@ -86,7 +86,8 @@ def neighbours_of(
 
 
 def hash_sample(ids: DataFrame, size: int, seed: int = 0) -> DataFrame:
-    """``size`` ids in a fixed hash order (an operator that samples by design)."""
+    """``size`` ids in a fixed hash order (an operator that samples by design).  For sizes of a few
+    hundred: every task keeps only its own first ``size``."""
     return ids.select("id").orderBy(scalars.order_hash(F.col("id"), seed), "id").limit(size)
 
 
@@ -114,19 +115,38 @@ def percentile_columns(values: DataFrame, reference: DataFrame, columns: list[st
     return values.withColumns({f"{c}_pct": fraction(i, c) for i, c in enumerate(columns)})
 
 
-def fraction_at_most(probes: DataFrame, reference: DataFrame) -> DataFrame:
+def fraction_at_most(probes: DataFrame, reference: DataFrame, limit: int = CLOSURE_LIMIT_BYTES) -> DataFrame:
     """``(key, value, fraction)`` of an unbounded reference that is ≤ each probe value.
 
-    Probes and reference are ranked together, so both sides may be large.
+    The probes are measured.  A small set travels to the tasks, which only count reference values
+    between probes; a larger set is ranked together with the reference.
     """
     p = probes.select(F.col("key"), F.round("value", 9).alias("value"))
+    ref = reference.select(F.round("value", 9).alias("value"))
+    distinct = materialise(p.select("value").distinct(), "probes")
+    total = ref.agg(F.count("*").alias("n")).scalar()
+    if distinct.count() * 8 <= limit:
+        edges = np.sort(np.array([r[0] for r in distinct.collect()], dtype=np.float64))
+
+        def count(batches):
+            held = np.zeros(len(edges) + 1, np.int64)
+            for b in batches:
+                at = np.searchsorted(edges, b.column(0).to_numpy(zero_copy_only=False), side="left")
+                held += np.bincount(at, minlength=len(edges) + 1)
+            slot = np.nonzero(held[:-1])[0]
+            yield pa.RecordBatch.from_arrays([pa.array(edges[slot]), pa.array(held[slot])], names=["value", "n"])
+
+        steps = ref.mapInArrow(count, "value double, n bigint").groupBy("value").agg(F.sum("n").alias("n"))
+        upto = distinct.join(steps, "value", "left").select(
+            "value", F.coalesce(F.sum("n").over(Window.orderBy("value")), F.lit(0)).alias("below")
+        )
+        return p.join(upto, "value").select("key", "value", (F.col("below") / F.nullif(total, F.lit(0))).alias("fraction"))
     both = p.select("key", "value", F.lit(1).alias("probe")).unionByName(
-        reference.select(F.monotonically_increasing_id().cast("bigint").alias("key"), F.round("value", 9).alias("value"), F.lit(0).alias("probe"))
+        ref.select(F.monotonically_increasing_id().cast("bigint").alias("key"), "value", F.lit(0).alias("probe"))
     )
     # Round values compared as such: the reference sorts before a probe of the same value.
     place = ranked(both, [], ["value", "probe", "key"], "_all").filter("probe = 1")
     among = ranked(p, [], ["value", "key"], "_own").select("key", "_own")
-    total = reference.agg(F.count("*").alias("n")).scalar()
     return place.join(among, "key").select(
         "key", "value", ((F.col("_all") - F.col("_own")) / F.nullif(total, F.lit(0))).alias("fraction")
     )

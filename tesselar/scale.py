@@ -103,3 +103,30 @@ def exact_percentiles(
         frac = F.max(at - lo)
         aggs.append((low + (high - low) * frac).alias(name))
     return r.groupBy(*keys).agg(*aggs)
+
+
+def first_by_hash(df: DataFrame, keys: list[str], quota: DataFrame, hash01: Column, ids: list[str]) -> DataFrame:
+    """Per key, the ``quota`` rows with the smallest hash (in [0, 1)), ties by ``ids``.
+
+    ``quota(keys…, quota, size)`` gives the wanted and the present rows of each key.  A threshold a few
+    deviations above the wanted share drops nearly everything before any sort; keys where too few rows
+    survive it, if any, are ranked in full, so the result is always exact.
+    """
+    q = materialise(quota, "quota")
+    placed = df.withColumn("_h", hash01)
+    placed = placed.join(q, keys) if keys else placed.select("*", *[one_row(q)[c].alias(c) for c in ("quota", "size")])
+    share = (F.col("quota") + 6 * F.sqrt(F.col("quota").cast("double")) + 50) / F.col("size")
+    near = materialise(placed.filter(F.col("_h") < share), "near")
+
+    def take(rows: DataFrame) -> DataFrame:
+        return ranked(rows, keys, ["_h", *ids], "_r").filter(F.col("_r") < F.col("quota")).select(*df.columns)
+
+    want = F.least("quota", "size")
+    if keys:
+        have = near.groupBy(*keys).agg(F.count("*").alias("_have"))
+        short = materialise(q.join(have, keys, "left").filter(F.coalesce("_have", F.lit(0)) < want).select(*keys), "short")
+        if short.isEmpty():
+            return take(near)
+        return take(near.join(short, keys, "left_anti")).unionByName(take(placed.join(short, keys, "left_semi")))
+    enough = q.filter(want > near.count()).isEmpty()
+    return take(near if enough else placed)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tesselar.functions import vectors
 from tesselar.operators import clusters, detail, groups, histograms, intensity, kmeans, neighbours, outlines, seriation
 from tesselar.operators.pairwise import nearest
-from tesselar.scale import exact_percentiles, ranked
+from tesselar.scale import exact_percentiles, first_by_hash, ranked
 from tesselar.streaming import incremental
 from tesselar.workload import tables
 
@@ -97,13 +97,26 @@ def test_all_equal_vectors_stay_bounded_and_ordered(spark):
     assert [(r["query"], r["id"]) for r in got] == [(0, 1), (0, 2), (0, 3), (3999, 0), (3999, 1), (3999, 2)]
 
 
-def test_fraction_at_most(spark):
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_fraction_at_most(spark, limit):
     ref = spark.range(100).select((F.col("id") % 10).cast("double").alias("value"))
     probes = spark.createDataFrame([(1, -1.0), (2, 0.0), (3, 4.0), (4, 4.5), (5, 9.0), (6, 4.0)], "key long, value double")
-    got = {r["key"]: r["fraction"] for r in neighbours.fraction_at_most(probes, ref).collect()}
+    got = {r["key"]: r["fraction"] for r in neighbours.fraction_at_most(probes, ref, limit).collect()}
     assert got == {1: 0.0, 2: 0.1, 3: 0.5, 4: 0.5, 5: 1.0, 6: 0.5}
 
 
+def test_first_by_hash_is_exact_when_hashes_cluster(spark):
+    df = spark.range(3000).select("id", (F.col("id") % 2).alias("k"))
+    quota = spark.createDataFrame([(0, 40, 1500), (1, 9, 1500)], "k long, quota long, size long")
+    spread = (F.col("id") * 37 % 1000) / 1000.0
+    for hash01, place in ((F.lit(0.999), lambda i: 0), (spread, lambda i: i * 37 % 1000)):
+        got = first_by_hash(df, ["k"], quota, hash01, ["id"]).collect()
+        want = []
+        for k, n in ((0, 40), (1, 9)):
+            want += sorted(range(k, 3000, 2), key=lambda i: (place(i), i))[:n]
+        assert sorted(r["id"] for r in got) == sorted(want)
+
+
 def test_hulls_contain_all_points(spark):
     pts = skewed_points(spark).select((F.col("id") % 3).alias("label"), "x", "y")
     hulls = {}
