@@ -188,7 +188,7 @@ def _(spark, sf):
 @query(
     "proportional_sample",
     """WITH t AS (SELECT channel, chunk_id, count(*) AS c FROM pixels GROUP BY ALL)
-       SELECT channel, chunk_id, n FROM (SELECT channel, chunk_id, round_even(1000.0::DOUBLE * c / sum(c) OVER (PARTITION BY channel), 0)::BIGINT AS n FROM t) WHERE n > 0""",
+       SELECT channel, chunk_id, n FROM (SELECT channel, chunk_id, least(c, round_even(1000.0::DOUBLE * c / sum(c) OVER (PARTITION BY channel), 0))::BIGINT AS n FROM t) WHERE n > 0""",
     "pixels",
 )
 def _(spark, sf):
