@@ -135,6 +135,11 @@ def _leading_axis(gram: pa.Array) -> pa.Array:
     return list_column(axis * np.where(lead < 0, -1.0, 1.0))
 
 
+@arrow_udf(T.DoubleType())
+def _project(v: pa.Array, c: pa.Array, axis: pa.Array) -> pa.Array:
+    return pa.array(np.einsum("nd,nd->n", matrix(v) - matrix(c), matrix(axis)) if len(v) else [], pa.float64())
+
+
 def first_axis_projection(scores: DataFrame) -> DataFrame:
     """Projection of ``x − centroid`` on its first singular axis, sign fixed by the largest component.
 
@@ -148,8 +153,7 @@ def first_axis_projection(scores: DataFrame) -> DataFrame:
         .select("group", _leading_axis("gram").alias("axis")),
         "axes",
     )
-    offset = F.zip_with("vec", "centroid", lambda a, b: a - b)
-    return scores.join(axes, "group").select("group", "id", vectors.dot(offset, "axis").alias("proj1"))
+    return scores.join(axes, "group").select("group", "id", _project("vec", "centroid", "axis").alias("proj1"))
 
 
 def _partial_gram(scores: DataFrame) -> DataFrame:

@@ -181,14 +181,10 @@ def unit_interval_kde(values: DataFrame, keys: list[str], bandwidth: Column, sam
 
     ``values`` holds ``(keys, value, n, size)``: counted values and the group size.
     """
-    d = F.col("i") / F.lit(samples - 1) - F.col("value")
-    two = F.col("_h") * F.col("_h") * 2.0
-    dens = (
-        values.withColumn("_h", bandwidth)
-        .select("*", numbers(samples).alias("i"))
-        .groupBy(*keys, "i")
-        .agg((F.sum(F.col("n") * F.exp(-(d * d) / two) / (F.sqrt(F.lit(math.pi) * two) * F.col("size")))).alias("y"))
-    )
+    h = F.col("bw")
+    placed = values.withColumn("bw", bandwidth).withColumn("n", F.col("n") / (F.lit(math.sqrt(2.0 * math.pi)) * h * F.col("size")))
+    placed = placed.withColumns({"lo": F.lit(0.0), "hi": F.lit(1.0)})
+    dens = _kernel_sums(placed, keys, samples).withColumnRenamed("k", "y")
     return max_normalised(dens, keys).withColumn("x", F.col("i") / F.lit(samples - 1))
 
 

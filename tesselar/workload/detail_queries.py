@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tesselar.operators import detail, intensity
 from tesselar.plans import display
 from tesselar.sources.cells import dataset_meta
-from tesselar.workload.density_queries import _params
+from tesselar.workload.density_queries import _PARAMS, _SCORES, _params
 from tesselar.workload.registry import query
 from tesselar.workload.tables import cells, pixels, points, raw, rounded
 
@@ -44,7 +44,21 @@ def _(spark, sf):
     return detail.display_subset(points(spark, sf)).select("id", "position")
 
 
-@query("overlap_suppression")
+def _greedy(items: str, radius: float) -> str:
+    """SQL for the greedy suppression of ``items(id, x, y, score)``: statuses 0 open, 1 kept, 2 dropped, advanced
+    until none is open."""
+    return f"""it AS ({items}),
+      gr AS (SELECT *, floor(x / {radius})::BIGINT AS cx, floor(y / {radius})::BIGINT AS cy FROM it),
+      nb AS (SELECT id, x, y, score, cx + dx AS cx, cy + dy AS cy FROM gr, (SELECT unnest([-1, 0, 1]) AS dx), (SELECT unnest([-1, 0, 1]) AS dy)),
+      ed AS (SELECT a.id AS lo, b.id AS hi FROM gr a JOIN nb b ON a.cx = b.cx AND a.cy = b.cy WHERE abs(a.x - b.x) < {radius} AND abs(a.y - b.y) < {radius}
+        AND (b.score > a.score OR (b.score = a.score AND b.id < a.id))),
+      st(t, id, s) AS (SELECT 0, id, 0 FROM it UNION ALL SELECT t + 1, id, s FROM (SELECT max(c.t) AS t, c.id, CASE WHEN max(c.s) > 0 THEN max(c.s)
+        WHEN coalesce(bool_or(h.s = 1), false) THEN 2 WHEN coalesce(bool_or(h.s = 0), false) THEN 0 ELSE 1 END AS s
+        FROM st c LEFT JOIN ed ON ed.lo = c.id LEFT JOIN st h ON h.id = ed.hi GROUP BY c.id) WHERE EXISTS (SELECT 1 FROM st WHERE s = 0)),
+      kp AS (SELECT id FROM st WHERE s = 1 AND t = (SELECT max(t) FROM st))"""
+
+
+@query("overlap_suppression", f"WITH RECURSIVE {_greedy('SELECT id, x, y, score FROM points', RADIUS)} SELECT id FROM kp", "points")
 def _(spark, sf):
     return detail.suppress_overlaps(points(spark, sf), RADIUS)
 
@@ -87,7 +101,13 @@ def _(spark, sf):
     return rounded(detail.scored_items(points(spark, sf).drop("score").withColumn("x", F.col("x") * 1000), s))
 
 
-@query("visible_set")
+@query(
+    "visible_set",
+    f"WITH RECURSIVE {_PARAMS}, {_SCORES}, "
+    + _greedy("SELECT c.id, umap2_x AS x, umap2_y AS y, mean_raw AS score FROM cells c JOIN sc ON sc.id = c.id WHERE mean_raw > 1900 AND windowed > 0.02", detail.overlap_radius(8.0, 7.0))
+    + " SELECT id FROM kp WHERE (id * 0.6180339887::DOUBLE) % 1 < least(1, 5000 / (SELECT count(*) FROM kp)) UNION SELECT vec_id FROM embeddings WHERE label = 2",
+    "pixels cells",
+)
 def _(spark, sf):
     c = cells(spark, sf).select("id", F.col("umap2_x").alias("x"), F.col("umap2_y").alias("y"))
     pins = raw(spark, sf, "embeddings").filter("label = 2").select(F.col("vec_id").alias("id"))

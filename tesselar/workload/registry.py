@@ -165,6 +165,8 @@ def with_tables(names: str, sql: str) -> str:
     if not order:
         return sql
     ctes = ",\n".join(f"{n} AS (SELECT * FROM ({LOGICAL[n][1]}))" for n in order)
+    if sql.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{sql[15:]}"
     if sql.upper().startswith("WITH "):
         return f"WITH {ctes},\n{sql[5:]}"
     return f"WITH {ctes}\n{sql}"

@@ -41,7 +41,7 @@ def test_suppression_equals_the_sweep(spark, block, per_cell):
 
 
 def test_suppression_of_a_monotone_chain(spark):
-    pts = spark.createDataFrame([(i, i * 0.6, 0.0, float(i)) for i in range(400)], "id long, x double, y double, score double")
+    pts = spark.createDataFrame([(i, i * 0.6, 0.0, float(i)) for i in range(120)], "id long, x double, y double, score double")
     got = {r[0] for r in detail.suppress_overlaps(pts, 1.0, 8, 4).collect()}
     assert got == sequential(pts.collect(), 1.0)
 
