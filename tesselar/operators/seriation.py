@@ -86,7 +86,7 @@ def seriation(group_members: DataFrame, dense_limit: int = DENSE_LIMIT) -> DataF
     for (g,) in sizes.filter(F.col("n") > dense_limit).select("group").collect():
         one = _lanczos(members.filter(F.col("group") == g).select("id", "vec"))
         values = values.unionByName(one.select(F.lit(g).cast("bigint").alias("group"), "id", "fiedler"))
-    values = values.withColumn("_f", F.round("fiedler", 12))
+    values = values.withColumn("_f", F.round("fiedler", 9))
     return ranked(values, ["group"], ["_f", "id"], "position").drop("_f")
 
 

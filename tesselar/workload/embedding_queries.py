@@ -252,7 +252,28 @@ def _(spark, sf):
     return rounded(groups.similarity_medians(rep, s, c))
 
 
-@query("group_first_axis")
+def _leading(power: str, steps: int) -> str:
+    """SQL that squares the matrices ``power("group", i, j, g)`` until only the leading axis is left.
+
+    The column of the largest diagonal entry is that axis, with a positive largest component.
+    """
+    scaled = 'g / sum(CASE WHEN i = j THEN g ELSE 0 END) OVER (PARTITION BY "group")'
+    return f"""pw(k, "group", i, j, g) AS (SELECT 0, "group", i, j, {scaled} FROM {power} UNION ALL SELECT k + 1, "group", i, j, {scaled} FROM
+      (SELECT a.k, a."group", a.i, b.j, sum(a.g * b.g) AS g FROM pw a JOIN pw b ON a."group" = b."group" AND a.j = b.i WHERE a.k < {steps} GROUP BY ALL)),
+      pk AS (SELECT * FROM pw WHERE k = {steps}),
+      pv AS (SELECT "group", arg_max(i, round(g, 9)) AS p FROM pk WHERE i = j GROUP BY ALL),
+      ax AS (SELECT "group", pk.j AS i, g / sqrt(sum(g * g) OVER (PARTITION BY "group")) AS u FROM pk JOIN pv USING ("group") WHERE pk.i = p)"""
+
+
+@query(
+    "group_first_axis",
+    """WITH RECURSIVE dx AS (SELECT "group", id, unnest(list_transform(range(1, len(v) + 1), lambda i: v[i] - c[i])) AS x, unnest(range(1, len(v) + 1)) AS i
+       FROM grp JOIN centred USING (id) JOIN gcent USING ("group")),
+       gm AS (SELECT a."group", a.i, b.i AS j, sum(a.x * b.x) AS g FROM dx a JOIN dx b ON a."group" = b."group" AND a.id = b.id GROUP BY ALL), """
+    + _leading("gm", 14)
+    + ' SELECT "group", id, round(sum(x * u), 6) + 0.0 AS proj1 FROM dx JOIN ax USING ("group", i) GROUP BY ALL',
+    "grp centred gcent",
+)
 def _(spark, sf):
     return rounded(groups.first_axis_projection(_scores(spark, sf)[2]))
 
@@ -316,13 +337,32 @@ def _(spark, sf):
     return rounded(near.select("query", "id", scalars.similarity01(F.col("similarity")).alias("y")))
 
 
-@query("group_seriation")
+_SERIATION = (
+    """WITH RECURSIVE sm AS (SELECT a."group", a.id AS i, b.id AS j, greatest(0, least(1, list_dot_product(x.v, y.v))) AS s FROM grp a JOIN grp b ON a."group" = b."group"
+       JOIN centred x ON x.id = a.id JOIN centred y ON y.id = b.id),
+       dg AS (SELECT "group", i, sum(s) AS d FROM sm GROUP BY ALL), gc AS (SELECT "group", 2 * max(d) AS c, count(*) AS n FROM dg GROUP BY ALL),
+       mx AS (SELECT "group", i, j, s + CASE WHEN i = j THEN c - d ELSE 0 END - c / n AS g FROM sm JOIN dg USING ("group", i) JOIN gc USING ("group")), """
+    + _leading("mx", 20)
+    + """, sg AS (SELECT "group", arg_min(u, i) AS s FROM ax GROUP BY ALL),
+       ps AS (SELECT "group", i AS id, row_number() OVER (PARTITION BY "group" ORDER BY round(CASE WHEN s < 0 THEN -u ELSE u END, 9), i) - 1 AS position FROM ax JOIN sg USING ("group"))"""
+)
+
+
+@query("group_seriation", _SERIATION + ' SELECT "group", id, position FROM ps', "grp centred")
 def _(spark, sf):
     rep = vectors.representation(features(spark, sf), "cosine_centered")
     return seriation.seriation(groups.members(rep, label_groups(spark, sf))).select("group", "id", "position")
 
 
-@query("similarity_field")
+@query(
+    "similarity_field",
+    _SERIATION
+    + """, s AS (SELECT "group", position / greatest(1, max(position) OVER (PARTITION BY "group")) AS x, greatest(0, least(1, (similarity + 1) / 2)) AS y FROM ps JOIN gscore USING ("group", id)),
+    f AS (SELECT "group", gy, gx, sum(exp(-((gx / 159.0::DOUBLE - x) * (gx / 159.0::DOUBLE - x) + (gy / 99.0::DOUBLE - (1 - y)) * (gy / 99.0::DOUBLE - (1 - y))) / (2 * 0.055::DOUBLE * 0.055::DOUBLE))) AS v
+    FROM s, (SELECT unnest(range(160)) AS gx), (SELECT unnest(range(100)) AS gy) WHERE abs(gx - floor(x * 159 + 0.5)) <= 27 AND abs(gy - floor((1 - y) * 99 + 0.5)) <= 27 GROUP BY ALL)
+    SELECT "group", gy, gx, round(v / max(v) OVER (PARTITION BY "group"), 6) AS v FROM f""",
+    "grp centred gscore",
+)
 def _(spark, sf):
     rep, _c, scores = _scores(spark, sf)
     order = seriation.seriation(groups.members(rep, label_groups(spark, sf)))
