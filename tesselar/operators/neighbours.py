@@ -47,12 +47,14 @@ def local_structure(neighbours: DataFrame, features: DataFrame) -> DataFrame:
 
     A query has at most k neighbours, so the collected group is bounded.
     """
-    units = vectors.representation(features)
-    grouped = (
-        neighbours.select("query", "id").join(units, "id").groupBy("query").agg(F.collect_list("vec").alias("near"))
+    near = neighbours.select("query", "id", F.lit(False).alias("own"))
+    own = neighbours.select("query").distinct().select("query", F.col("query").alias("id"), F.lit(True).alias("own"))
+    # One pass over the vectors serves the neighbours and the queries themselves.
+    grouped = near.unionByName(own).join(vectors.representation(features), "id").groupBy("query").agg(
+        F.collect_list(F.when(~F.col("own"), F.col("vec"))).alias("near"),
+        F.first(F.when(F.col("own"), F.col("vec")), ignorenulls=True).alias("own"),
     )
-    own = units.select(F.col("id").alias("query"), F.col("vec").alias("own"))
-    m = grouped.join(own, "query").select("query", _spread("near", "own").alias("m"))
+    m = grouped.filter(F.col("own").isNotNull() & (F.size("near") > 0)).select("query", _spread("near", "own").alias("m"))
     return m.select("query", F.col("m")[0].alias("compactness"), F.col("m")[1].alias("difference"))
 
 
@@ -94,7 +96,7 @@ def hash_sample(ids: DataFrame, size: int, seed: int = 0) -> DataFrame:
 def percentile_reference(features, cells, k, metric="cosine", space="embedding", sample_size=REFERENCE_QUERIES, allowed=None) -> DataFrame:
     """Compactness and difference of a fixed sample of queries."""
     sample = hash_sample(features, sample_size)
-    near = neighbours_of(features, cells, sample, k, metric, space, allowed)
+    near = materialise(neighbours_of(features, cells, sample, k, metric, space, allowed), "near")
     return local_structure(near, features)
 
 
