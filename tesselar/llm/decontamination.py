@@ -57,11 +57,11 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFr
     # One probe per position and window length that occurs; there are at most ``window`` lengths.
     lengths = sorted(size["lengths"]) or [window]
 
+    def of_length(w: Column, n: int) -> Column:
+        return F.transform(_starts(w, n), lambda i: F.struct((i - 1).alias("pos"), F.slice(w, i, n).alias("probe")))
+
     def probes(w: Column) -> Column:
-        return F.concat(*[
-            F.transform(_starts(w, n), lambda i, n=n: F.struct((i - 1).alias("pos"), F.slice(w, i, n).alias("probe")))
-            for n in lengths
-        ])
+        return F.concat(*[of_length(w, n) for n in lengths])
 
     # The one-element array makes the words a lambda variable: they are split once per text, not once per window.
     every = F.flatten(F.transform(F.array(words(F.col("text"))), probes))
