@@ -37,8 +37,27 @@ def test_windows(items: DataFrame, window: int) -> DataFrame:
 
 
 def _starts(w: Column, n: int) -> Column:
-    """1-based places at which a window of ``n`` words begins."""
-    return F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
+    """Places at which a window of ``n`` words begins."""
+    return F.when(F.size(w) >= n, F.sequence(F.lit(0), F.size(w) - n)).otherwise(F.array().cast("array<int>"))
+
+
+def _slots(windows: int) -> int:
+    """64-bit words of the bitmap: a power of two with 16 to 32 bits for each window."""
+    return 1 << max(0, (max(1, windows) * 16 // 64).bit_length())
+
+
+def _bitmap(found: DataFrame, windows: int) -> Column:
+    """Bits of the window hashes as one array of longs; windows without their bit set cannot be in the hash set."""
+    n = _slots(windows)
+    slot, bit = F.shiftright("hash", 6).bitwiseAND(F.lit(n - 1)), F.expr("shiftleft(1L, cast(hash & 63 AS int))")
+    marked = found.groupBy(slot.alias("id")).agg(F.bit_or(bit).alias("bits"))
+    every = found.sparkSession.range(n).join(marked, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))
+    return cut(every.agg(F.array_sort(F.collect_list(F.struct("id", "bits"))).alias("b")).select(F.col("b.bits").alias("b")), "bitmap").scalar()
+
+
+def _bit(bits: Column, h: Column, windows: int) -> Column:
+    word = F.get(bits, F.shiftright(h, 6).bitwiseAND(F.lit(_slots(windows) - 1)).cast("int"))
+    return F.getbit(word, h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
 def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -52,24 +71,28 @@ def find_hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFr
     found = cut(test_windows(items, window), "windows")
     size = found.agg(
         F.coalesce(F.sum(F.length(F.array_join("gram", " ")) + 64 + 16 * F.size("item_ids")), F.lit(0)).alias("bytes"),
-        F.collect_set("length").alias("lengths"),
+        F.collect_set("length").alias("lengths"), F.count("*").alias("windows"),
     ).first()
     # One probe per position and window length that occurs; there are at most ``window`` lengths.
     lengths = sorted(size["lengths"]) or [window]
+    bounded = size["bytes"] <= BROADCAST_BYTES
+    bits = _bitmap(found, size["windows"]) if bounded else F.lit(None).cast("array<bigint>")
 
-    def of_length(w: Column, n: int) -> Column:
-        return F.transform(_starts(w, n), lambda i: F.struct((i - 1).alias("pos"), F.slice(w, i, n).alias("probe")))
+    def of_length(w: Column, bits: Column, n: int) -> Column:
+        # Single elements cost the same wherever they stand; slice() would copy the whole text for every window.
+        gram = lambda i: [F.get(w, i + k) for k in range(n)]
+        hashed = F.transform(_starts(w, n), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.array(*gram(i))).alias("hash")))
+        maybe = hashed if not bounded else F.filter(hashed, lambda p: _bit(bits, p["hash"], size["windows"]))
+        return F.transform(maybe, lambda p: F.struct(p["pos"], p["hash"], F.array(*gram(p["pos"])).alias("probe")))
 
     def probes(w: Column) -> Column:
-        return F.concat(*[of_length(w, n) for n in lengths])
+        return F.concat(*[of_length(w, F.col("bits"), n) for n in lengths])
 
     # The one-element array makes the words a lambda variable: they are split once per text, not once per window.
     every = F.flatten(F.transform(F.array(words(F.col("text"))), probes))
-    each = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.explode(every).alias("p")).select(
-        "doc_id", "digest", "p.pos", "p.probe", F.xxhash64("p.probe").alias("hash"),
-    )
-    bounded = F.broadcast(found) if size["bytes"] <= BROADCAST_BYTES else found
-    hits = each.join(bounded, "hash").filter(F.col("probe") == F.col("gram"))
+    texts = docs.select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"), F.coalesce("text", F.lit("")).alias("text"), bits.alias("bits"))
+    each = texts.select("doc_id", "digest", F.explode(every).alias("p")).select("doc_id", "digest", "p.pos", "p.hash", "p.probe")
+    hits = each.join(F.broadcast(found) if bounded else found, "hash").filter(F.col("probe") == F.col("gram"))
     return (
         hits.groupBy("doc_id", "digest")
         .agg(F.collect_set(F.struct("pos", "length")).alias("spans"), F.collect_set("item_ids").alias("items"))
