@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.llm import byte_bpe, chat, decontamination, language, sharding, toxicity
+from tesselar.llm import byte_bpe, chat, decontamination, language, sharding, simhash, toxicity
 from tesselar.llm.common import held_out, table
 
 QUERIES: dict = {}
@@ -113,3 +113,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.train(docs))
     return found.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_simhash")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
