@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.llm import byte_bpe, chat, decontamination, language, sharding, simhash, suffix_dedup, toxicity
+from tesselar.llm import byte_bpe, chat, decontamination, ego_join, language, sharding, simhash, suffix_dedup, toxicity
 from tesselar.llm.common import held_out, table
 
 QUERIES: dict = {}
@@ -127,3 +127,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", "n_bytes", suffix_dedup.removed_bytes(F.col("spans")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256",
     )
+
+
+@query("op4_ego_join")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ego_join.near_duplicates(table(spark, sf_dir, "embeddings"))
