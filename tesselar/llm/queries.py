@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.llm import byte_bpe, chat, decontamination, ego_join, language, sharding, simhash, suffix_dedup, toxicity
+from tesselar.llm import byte_bpe, chat, decontamination, ego_join, language, pitman_yor, sharding, simhash, suffix_dedup, toxicity
 from tesselar.llm.common import held_out, table
 
 QUERIES: dict = {}
@@ -132,3 +132,8 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_ego_join")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ego_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op3_pitman_yor")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pitman_yor.score(table(spark, sf_dir, "documents"))
