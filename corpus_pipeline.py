@@ -1,14 +1,41 @@
-"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read by the next."""
+"""The corpus pipeline: five stages over ``documents``, each written as Parquet and read by the next.
+
+Toxic documents go, one document of each group of near-duplicates stays, passages that repeat are cut out of the later
+texts, documents that hold a benchmark window go, and what is left is encoded and decoded.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tesselar.llm import byte_bpe
+from tesselar.llm import byte_bpe, decontamination, simhash, suffix_dedup, toxicity
 from tesselar.llm.common import cut, table
 from tesselar.llm.queries import TOKENIZER
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score below the threshold; fitted on the labelled documents among ``docs``."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).filter(F.col("toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document of smallest id of each SimHash group."""
+    return simhash.keep_first(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without bytes of strings that also start earlier; n_chars follows the text."""
+    left = suffix_dedup.remove_repeats(docs)
+    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of a benchmark item."""
+    return decontamination.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids and round trip of every text that is left, as digests."""
     import public_tokenizers
@@ -16,7 +43,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return byte_bpe.token_digests(byte_bpe.encode_documents(docs, public_tokenizers.path(TOKENIZER), public_tokenizers.PATTERN))
 
 
-STAGES = [("byte_bpe", encode)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash", drop_near_duplicates),
+    ("suffix_dedup", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("byte_bpe", encode),
+]
 
 # Learned scores, fingerprints and merges have no SQL form; the stages are tested against brute force.
 ORACLE_SQL = None
