@@ -153,8 +153,13 @@ def sample_hash(id_col: Column) -> Column:
 
 
 def order_hash(id_col: Column, seed: int = 0) -> Column:
-    """Portable multiplicative hash in [0, 2^32): a fixed shuffle order for sampling operators."""
-    return ((id_col + F.lit(seed)) * F.lit(2654435761)) % F.lit(4294967296)
+    """Portable multiplicative hash in [0, 2^32): a fixed shuffle order for sampling operators.
+
+    The low 32 bits of the id are multiplied in two halves, so no id overflows.
+    """
+    key = (F.pmod(id_col.cast("bigint"), F.lit(1 << 32)) + F.lit(seed % (1 << 32))) % F.lit(1 << 32)
+    high, low = F.shiftright(key, 16), key.bitwiseAND(F.lit(0xFFFF))
+    return ((high * F.lit(2654435761)) % F.lit(1 << 16) * F.lit(1 << 16) + low * F.lit(2654435761)) % F.lit(1 << 32)
 
 
 def similarity01(s: Column) -> Column:

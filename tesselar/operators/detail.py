@@ -100,16 +100,22 @@ def suppress_overlaps(items: DataFrame, radius: float, block: int = BLOCK_CELLS,
     cell always conflict and a cell keeps at most one.  A round sends the best few items of every cell
     to blocks of cells (with a rim of neighbours), where all decisions that nothing outside can change
     are taken; covered items then leave.  Undecided ones meet the next round on shifted blocks.  Block
-    input is bounded by cells × list length however full a cell is, and no pairs are formed.
+    input is bounded by cells × list length however full a cell is, and no pairs are formed.  An item without finite
+    coordinates touches nothing, so it stays.
     """
     if not (radius > 0 and math.isfinite(radius)):
         return items.select("id")
     cell = lambda c: F.floor(F.col(c) / radius).alias(f"c{c}")
+    finite = F.lit(True)
+    for c in ("x", "y"):
+        v = F.col(c).cast("double")
+        finite = finite & F.coalesce(~F.isnan(v) & (F.abs(v) < float("inf")), F.lit(False))
+    apart, items = items.filter(~finite).select("id"), items.filter(finite)
     active = items.select("id", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"), F.col("score").cast("double").alias("score"), cell("x"), cell("y"))
     around = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]))
     best_first = Window.partitionBy("cx", "cy").orderBy(F.desc("score"), "id")
     settle = lambda pdf: _settle_block(pdf, radius)
-    kept, turn = [], 0
+    kept, turn = [apart], 0
     while turn == 0 or not active.isEmpty():
         shift = (turn % 2) * (block // 2)
         home = lambda c: F.floor((F.col(c) + shift) / block)
@@ -149,6 +155,13 @@ def budget_sample(points: DataFrame, level: int, lod: float = 1.0) -> DataFrame:
     return points.filter((threshold >= 1.0) | (scalars.sample_hash(F.col("id")) < threshold))
 
 
+def hash_capped_groups(members: DataFrame, caps: DataFrame, seed: int = 0) -> DataFrame:
+    """``members(group, id)`` cut to the first ids in hash order of each group, as many as ``caps(group, cap)`` says."""
+    sizes = members.groupBy("group").agg(F.count("*").alias("size"))
+    quota = sizes.join(caps, "group").select("group", F.col("cap").cast("bigint").alias("quota"), "size")
+    return first_by_hash(members.select("group", "id"), ["group"], quota, scalars.order_hash(F.col("id"), seed) / F.lit(2.0 ** 32), ["id"])
+
+
 def hash_capped(ids: DataFrame, cap: int | None, seed: int = 0) -> DataFrame:
     """``cap`` ids in a fixed hash order; None (the default everywhere) keeps all."""
     if cap is None:

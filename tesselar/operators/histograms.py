@@ -101,9 +101,19 @@ def smoothed(hist: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def max_normalised(curves: DataFrame, keys: list[str], y: str = "y", floor: float = 1e-6) -> DataFrame:
+    """Each value of a curve divided by the largest of its key; a curve has as many rows as its grid."""
     return curves.withColumn(y, F.col(y) / F.greatest(F.lit(floor), F.max(y).over(Window.partitionBy(*keys))))
 
 
+def max_normalised_rows(rows: DataFrame, keys: list[str], y: str = "y", floor: float = 1e-6) -> DataFrame:
+    """The same for keys of any size: the largest values are aggregated first and joined, no key meets in one task."""
+    rows = materialise(rows, "rows")
+    top = materialise(rows.groupBy(*keys).agg(F.max(y).alias("_top")), "tops")
+    matched = [F.col(f"c.{k}").eqNullSafe(F.col(f"t.{k}")) for k in keys]
+    joined = rows.alias("c").join(top.alias("t"), matched)
+    return joined.select(*[(F.col(f"c.{c}") / F.greatest(F.lit(floor), F.col("t._top"))).alias(c) if c == y else F.col(f"c.{c}") for c in rows.columns])
+
+
 def curve_stats(counts: DataFrame, keys: list[str]) -> DataFrame:
     """n, lo, hi and Scott bandwidth per key from ``(keys, value, n)`` counts."""
     base = counts.groupBy(*keys).agg(F.min("value").cast("double").alias("lo"), F.max("value").cast("double").alias("hi"))

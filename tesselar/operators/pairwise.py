@@ -21,6 +21,7 @@ QUERY_SLICE = 512
 HELD_ROWS = 2_000_000  # results a task gathers between reductions
 EMIT_ROWS = 65_536
 SCORE_DECIMALS = 9  # equal vectors tie, so ids decide
+LAST = -np.finfo(np.float64).max  # rank of an undefined score: behind every defined one
 
 Kernel = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], pa.RecordBatch]
 
@@ -42,6 +43,7 @@ def topk_kernel(k: int, score) -> Kernel:
         for s in range(0, len(q), QUERY_SLICE):
             ids = qid[s:s + QUERY_SLICE]
             sc = score(q[s:s + QUERY_SLICE], v)
+            sc[~np.isfinite(sc)] = LAST
             sc[ids[:, None] == vid[None, :]] = -np.inf
             keep = sc > -np.inf
             if len(vid) > k:
@@ -64,13 +66,16 @@ def histogram_kernel(bins: int) -> Kernel:
     """Counts of ``(cosine + 1) / 2`` per query over [0, 1]."""
 
     def run(qid, q, vid, v):
-        y = (cosine_scores(q, v) + 1.0) * 0.5
-        b = np.minimum((y * bins).astype(np.int64), bins - 1)
-        flat = np.bincount((np.arange(len(q))[:, None] * bins + b).ravel(), minlength=len(q) * bins)
-        at = np.nonzero(flat)[0]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(qid[at // bins]), pa.array(at % bins), pa.array(flat[at])], names=["query", "bin", "n"]
-        )
+        parts = []
+        for s in range(0, len(q), QUERY_SLICE):
+            some = q[s:s + QUERY_SLICE]
+            y = (cosine_scores(some, v) + 1.0) * 0.5
+            b = np.minimum((y * bins).astype(np.int64), bins - 1)
+            flat = np.bincount((np.arange(len(some))[:, None] * bins + b).ravel(), minlength=len(some) * bins)
+            at = np.nonzero(flat)[0]
+            parts.append((qid[s + at // bins], at % bins, flat[at]))
+        cols = [np.concatenate(c) for c in zip(*parts)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query", "bin", "n"])
 
     return run
 
@@ -127,6 +132,25 @@ def matvec_kernel() -> Kernel:
     return run
 
 
+def _gathered(
+    results: Iterator[pa.RecordBatch], combine: Callable[[pa.Table], pa.Table] | None
+) -> Iterator[pa.RecordBatch]:
+    """A task's results, reduced by ``combine`` while they pile up and before they are emitted."""
+    if combine is None:
+        yield from results
+        return
+    held: list[pa.RecordBatch] = []
+    rows = 0
+    for out in results:
+        held.append(out)
+        rows += out.num_rows
+        if rows > HELD_ROWS:
+            held = combine(pa.Table.from_batches(held)).combine_chunks().to_batches()
+            rows = 0
+    if held:
+        yield from combine(pa.Table.from_batches(held)).combine_chunks().to_batches(max_chunksize=EMIT_ROWS)
+
+
 def pairwise(
     queries: DataFrame, targets: DataFrame, kernel: Kernel, schema: str, limit: int = CLOSURE_LIMIT_BYTES,
     combine: Callable[[pa.Table], pa.Table] | None = None,
@@ -146,24 +170,11 @@ def pairwise(
         qv = matrix(q.column("vec"))
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: list[pa.RecordBatch] = []
-            rows = 0
             for b in batches:
-                if not (b.num_rows and len(qid)):
-                    continue
-                out = kernel(qid, qv, b.column(0).to_numpy().astype(np.int64), matrix(b.column(1)))
-                if combine is None:
-                    yield out
-                    continue
-                held.append(out)
-                rows += out.num_rows
-                if rows > HELD_ROWS:
-                    reduced = combine(pa.Table.from_batches(held)).combine_chunks()
-                    held, rows = reduced.to_batches(), 0
-            if held:
-                yield from combine(pa.Table.from_batches(held)).combine_chunks().to_batches(max_chunksize=EMIT_ROWS)
-
-        return targets.select("id", "vec").mapInArrow(scan, schema)
+                if b.num_rows and len(qid):
+                    yield kernel(qid, qv, b.column(0).to_numpy().astype(np.int64), matrix(b.column(1)))
+
+        return targets.select("id", "vec").mapInArrow(lambda batches: _gathered(scan(batches), combine), schema)
 
     blocks_t = max(1, -(-targets.count() // BLOCK_ROWS))
     blocks_q = max(1, -(-n // BLOCK_ROWS))
@@ -175,7 +186,7 @@ def pairwise(
     q = packed(queries, blocks_q, "q").withColumn("t_block", numbers(blocks_t))
     pairs = q.join(packed(targets, blocks_t, "t"), "t_block").select("q", "t")
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
                 qs, ts = b.column(0)[i].values, b.column(1)[i].values
@@ -184,7 +195,7 @@ def pairwise(
                     ts.field("id").to_numpy().astype(np.int64), matrix(ts.field("vec")),
                 )
 
-    return pairs.mapInArrow(blocks, schema)
+    return pairs.mapInArrow(lambda batches: _gathered(of_blocks(batches), combine), schema)
 
 
 def nearest(
@@ -192,9 +203,11 @@ def nearest(
 ) -> DataFrame:
     """Exact top-k per query, self excluded: ``(query, id, score, rank)`` with rank 1..k, ties by id.
 
-    ``score`` is the cosine of unit vectors, or the negative distance in ``l2`` space.
+    ``score`` is the cosine of unit vectors, or the negative distance in ``l2`` space.  A target without a defined score
+    (a missing coordinate) comes after all others and has a NULL score.
     """
     kernel = topk_kernel(k, cosine_scores if space == "cosine" else negative_l2)
     local = pairwise(queries, targets, kernel, "query bigint, id bigint, score double", limit, keep_topk(k))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
-    return local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    ranked = local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return ranked.withColumn("score", F.when(F.col("score") > F.lit(float(LAST)), F.col("score")))

@@ -2,45 +2,24 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesselar.functions import scalars
+from tesselar.operators.predicates import column_value, predicate
 
-# Fixed value: characters a user expression may contain.
-EXPRESSION_CHARACTERS = re.compile(r"""^[\s\w\d_"'().,!<>=&|+\-/*%\[\]]+$""")
 MAX_REGIONS = 2
 
-_TOKEN_SQL = [
-    (r"&&", " AND "), (r"\|\|", " OR "), (r"!==?", " <> "), (r"={2,3}", " = "), (r"!", " NOT "), (r"\[", "("), (r"\]", ")"),
-]
-_QUOTED = re.compile(r"""("[^"]*"|'[^']*')""")
-
-
-def expression_sql(expression: str) -> str:
-    """A user's boolean expression with its operators spelled as SQL; quoted text is left alone."""
-    text = expression.strip()
-    if not text:
-        raise ValueError("expression is empty")
-    if not EXPRESSION_CHARACTERS.match(text):
-        raise ValueError("expression contains unsupported characters")
-    parts = _QUOTED.split(text)
-    for i in range(0, len(parts), 2):
-        for pattern, sql in _TOKEN_SQL:
-            parts[i] = re.sub(pattern, sql, parts[i])
-    return "".join(parts)
-
 
 def filter_expression(annotations: DataFrame, aliases: dict[str, str], expression: str) -> DataFrame:
     """Ids whose annotations satisfy the expression; ``aliases`` maps identifier → column name.
 
-    The expression becomes a plain Catalyst predicate, so it is analysed, pruned and pushed down like
-    any other; an undefined result counts as false.
+    The expression becomes a plain Catalyst predicate, so it is analysed, pruned and pushed down like any other.  A row
+    on which it is undefined (text where a number is needed, a remainder by zero) does not match.
     """
-    view = annotations.select("id", *[F.col(f"`{c}`").alias(a) for a, c in aliases.items() if c != "id"])
-    return view.filter(F.coalesce(F.expr(expression_sql(expression)).cast("boolean"), F.lit(False))).select("id")
+    fields = {f.name: f.dataType for f in annotations.schema.fields}
+    names = {a: column_value(F.col(f"`{c}`"), fields[c]) for a, c in aliases.items()}
+    return annotations.filter(predicate(expression, names)).select("id")
 
 
 def box_select(points: DataFrame, bounds: tuple[float, float, float, float], x: Column | None = None, y: Column | None = None) -> DataFrame:

@@ -49,3 +49,6 @@ def first_header(columns: list[str], wanted: tuple[str, ...]) -> str | None:
     """The actual column whose trimmed, lower-cased header comes first in ``wanted``."""
     by_name = {c.strip().lower(): c for c in columns}
     return next((by_name[w] for w in wanted if w in by_name), None)
+
+# Fixed value: layout version of a stored review document.
+REVIEW_VERSION = 2

@@ -29,21 +29,15 @@ def label_documents(docs: DataFrame, text_col: str = "doc") -> tuple[DataFrame,
 def label_document(labels: DataFrame, group_cols: list[str] | None = None) -> DataFrame:
     """Label rows as one document per group (a hierarchy has few clusters, so a document is small)."""
     g = list(group_cols or [])
-    models = labels.groupBy(*g, "level", "cluster_id").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("model", F.struct("title", "description"))))).alias("models")
-    )
-    clusters = models.groupBy(*g, "level").agg(
-        F.map_from_entries(F.sort_array(F.collect_list(F.struct("cluster_id", F.to_json(F.struct("models")).alias("_j"))))).alias("c")
-    )
-    body = F.concat(
-        F.lit("{"),
-        F.array_join(F.transform(F.map_entries("c"), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), e["value"])), ","),
-        F.lit("}"),
-    )
-    levels = clusters.select(*g, "level", body.alias("b")).groupBy(*g).agg(
-        F.sort_array(F.collect_list(F.concat(F.lit('"'), "level", F.lit('":'), "b"))).alias("l")
-    )
-    return levels.select(*g, F.concat(F.lit('{"levels":{'), F.array_join("l", ","), F.lit("}}")).alias("doc"))
+    as_map = lambda key, value: F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(key).cast("string"), value))))
+    models = labels.groupBy(*g, "level", "cluster_id").agg(as_map("model", F.struct("title", "description")).alias("models"))
+    # A sorted list needs comparable elements, so the inner maps enter it as text and are parsed once more at the end.
+    inner = "struct<models: map<string, struct<title: string, description: string>>>"
+    clusters = models.groupBy(*g, "level").agg(as_map("cluster_id", F.to_json(F.struct("models"))).alias("c"))
+    parsed = clusters.withColumn("c", F.transform_values("c", lambda _, v: F.from_json(v, inner))).withColumn("c", F.to_json("c"))
+    levels = parsed.groupBy(*g).agg(as_map("level", F.col("c")).alias("l"))
+    whole = F.transform_values("l", lambda _, v: F.from_json(v, f"map<string, {inner}>"))
+    return levels.select(*g, F.to_json(F.struct(whole.alias("levels"))).alias("doc"))
 
 
 def review_documents(docs: DataFrame, text_col: str = "doc") -> DataFrame:
@@ -99,3 +93,24 @@ def read_cluster_averages(spark, path: str) -> DataFrame:
     if missing:
         raise ValueError(f"cluster averages lack the columns {sorted(missing)}")
     return df
+
+
+def review_document(reviews: DataFrame, updated_at: Column, version: int = schemas.REVIEW_VERSION) -> DataFrame:
+    """Review rows as one stored document: version, update stamp and entries by level, cluster and model.
+
+    The latest review of an entry wins.  ``updated_at`` is a timestamp column or literal, written in UTC.
+    """
+    fields = ["status", "llm_title", "user_title", "llm_accuracy", "confidence", "reviewed_at"]
+    newest = reviews.groupBy("level", "cluster_id", "model").agg(
+        F.max_by(F.to_json(F.struct(*[F.col(c).alias(c) for c in fields])), F.struct(F.col("reviewed_at").isNotNull(), F.col("reviewed_at"), "status")).alias("e")
+    )
+    text_map = lambda key, value: F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), F.col(value).alias("v"))))))
+    per_cluster = newest.groupBy("level", "cluster_id").agg(text_map("model", "e").alias("m"))
+    per_level = per_cluster.groupBy("level").agg(text_map("cluster_id", "m").alias("c"))
+    levels = per_level.agg(F.coalesce(F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col("level").cast("string").alias("k"), F.col("c").alias("v"))))), F.create_map().cast("map<string,string>")).alias("l"))
+    entry = "struct<status: string, llm_title: string, user_title: string, llm_accuracy: double, confidence: double, reviewed_at: string>"
+    model = F.transform_values("l", lambda _, c: F.transform_values(
+        F.from_json(c, "map<string,string>"), lambda _, m: F.transform_values(F.from_json(m, "map<string,string>"), lambda _, e: F.from_json(e, entry)),
+    ))
+    stamp = F.date_format(updated_at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
+    return levels.select(F.to_json(F.struct(F.lit(version).alias("version"), stamp.alias("updated_at"), model.alias("levels"))).alias("doc"))

@@ -225,12 +225,15 @@ def _(spark, sf):
 @query(
     "annotation_rows",
     """SELECT id, 'celltype' AS key, celltype AS value FROM annotations UNION ALL SELECT id, 'neigh_names', neigh_names FROM annotations
-       UNION ALL SELECT id, 'p_size', p_size::VARCHAR FROM annotations""",
+       UNION ALL SELECT id, 'p_size', p_size::VARCHAR FROM annotations
+       UNION ALL SELECT id, 'p_retailprice', round(p_retailprice * 100)::BIGINT::VARCHAR FROM annotations""",
     "annotations",
 )
 def _(spark, sf):
-    rows = ann_source.annotation_rows(annotations(spark, sf).drop("p_retailprice"))
-    return rows.select("id", F.explode("raw").alias("key", "value"))
+    rows = ann_source.annotation_rows(annotations(spark, sf)).select("id", F.explode("raw").alias("key", "value"))
+    # Engines spell decimals differently, so the price is compared in cents.
+    cents = F.round(F.col("value").try_cast("double") * 100).cast("bigint").cast("string")
+    return rows.withColumn("value", F.when(F.col("key") == "p_retailprice", cents).otherwise(F.col("value")))
 
 
 @query(
@@ -276,16 +279,16 @@ def _(spark, sf):
        e AS (SELECT conv_id, turn, k, text, replace(replace(substr(t, 1, 5), chr(10), ' '), chr(13), ' ') AS s5 FROM d)
        SELECT conv_id, turn, CASE k % 4 WHEN 0 THEN 'Title ' || k WHEN 1 THEN 'Title ' || k WHEN 2 THEN 'Phenotype-enriched cluster' ELSE 'Line ' || k END AS title,
        CASE k % 4 WHEN 0 THEN 'About ' || k WHEN 1 THEN 'Near ' || k WHEN 2 THEN 'This cluster likely represents a coherent cell population with distinctive phenotypic patterns in imaging-derived embeddings. Please validate with spatial context and additional markers.'
-       ELSE trim(text, ' ' || chr(10) || chr(9) || chr(13)) END AS description, (k % 4 >= 2)::INT AS needs_retry FROM e WHERE k % 4 <> 3 OR length(trim(text, ' ' || chr(10) || chr(9) || chr(13))) >= 3""",
+       ELSE CASE WHEN body = '' THEN 'Line ' || k WHEN length(trim(body)) < 3 OR trim(body) = '...' THEN 'This cluster likely represents a coherent cell population with distinctive phenotypic patterns in imaging-derived embeddings. Please validate with spatial context and additional markers.' ELSE body END END AS description,
+       (k % 4 >= 2)::INT AS needs_retry FROM (SELECT *, trim(text, ' ' || chr(10) || chr(9) || chr(13)) AS body FROM e)""",
 )
 def _(spark, sf):
     k = F.col("conv_id") * 100 + F.col("turn")
     ks = k.cast("string")
     strict = F.concat(F.lit('{"title": "Title '), ks, F.lit('", "description": "About '), ks, F.lit('"}'))
     prose = F.concat(F.lit('Here is the answer: {"title": "Title '), ks, F.lit('", "description": "Near '), ks, F.lit('"} as asked.'))
-    long_enough = (k % 4 != 3) | (F.length(F.trim("text", F.lit(" \n\t\r"))) >= 3)
     answer = F.when(k % 4 == 0, strict).when(k % 4 == 1, prose).when(k % 4 == 2, F.lit("...")).otherwise(F.concat(F.lit("Line "), ks, F.lit("\n"), F.trim("text", F.lit(" \n\t\r"))))
-    r = raw(spark, sf, "conversations").filter(long_enough).select(
+    r = raw(spark, sf, "conversations").select(
         F.col("conv_id").alias("level"), F.col("turn").alias("cluster_id"), F.lit("m").alias("model"), answer.alias("text")
     )
     out = profiles.labels_from_responses(r)

@@ -406,4 +406,4 @@ def _(spark, sf):
     "pixels",
 )
 def _(spark, sf):
-    return rounded(histograms.max_normalised(pixels(spark, sf).groupBy("channel", "id").agg(F.avg("value").alias("y")), ["channel"]))
+    return rounded(histograms.max_normalised_rows(pixels(spark, sf).groupBy("channel", "id").agg(F.avg("value").alias("y")), ["channel"]))

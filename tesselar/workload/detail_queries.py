@@ -63,6 +63,19 @@ def _(spark, sf):
     return detail.suppress_overlaps(points(spark, sf), RADIUS)
 
 
+@query(
+    "overlap_suppression_missing",
+    "WITH RECURSIVE " + _greedy("SELECT id, x, y, score FROM points WHERE id % 7 <> 0", RADIUS) + """ SELECT id FROM kp
+       UNION ALL SELECT id FROM points WHERE id % 7 = 0""",
+    "points",
+)
+def _(spark, sf):
+    # Items without finite coordinates touch nothing and stay.
+    k = F.col("id")
+    x = F.when(k % 21 == 0, F.lit(None)).when(k % 21 == 7, F.lit(float("nan"))).when(k % 21 == 14, F.lit(float("inf"))).otherwise(F.col("x"))
+    return detail.suppress_overlaps(points(spark, sf).withColumn("x", x), RADIUS)
+
+
 @query(
     "overlap_suppression_conflicts",
     "SELECT 0 AS conflicts, 0 AS uncovered",

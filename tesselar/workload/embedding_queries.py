@@ -89,6 +89,22 @@ def _(spark, sf):
     return rounded(neighbours.neighbours_of(f, cells(spark, sf), f, 8, space="umap").select("query", "id", "similarity", "rank"))
 
 
+@query(
+    "knn_projection_missing",
+    """SELECT query, n.id, round(greatest(-1, least(1, list_dot_product(a.v, b.v))), 6) + 0.0 AS similarity, rank FROM
+       (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d NULLS LAST, id) AS rank FROM (SELECT q.id AS query, t.id AS id,
+       CASE WHEN q.id % 5 = 0 OR t.id % 5 = 0 THEN NULL ELSE
+       round(sqrt((q.umap2_x - t.umap2_x) * (q.umap2_x - t.umap2_x) + (q.umap2_y - t.umap2_y) * (q.umap2_y - t.umap2_y)), 9) END AS d
+       FROM cells q JOIN cells t ON q.id <> t.id)) n JOIN units a ON a.id = n.query JOIN units b ON b.id = n.id WHERE rank <= 8""",
+    "cells units",
+)
+def _(spark, sf):
+    f = features(spark, sf)
+    c = cells(spark, sf)
+    gone = c.withColumn("umap2_x", F.when(F.col("id") % 10 == 0, F.lit(float("nan"))).when(F.col("id") % 5 == 0, F.lit(None)).otherwise(F.col("umap2_x")))
+    return rounded(neighbours.neighbours_of(f, gone, f, 8, space="umap").select("query", "id", "similarity", "rank"))
+
+
 @query(
     "knn_within_allow_list",
     """SELECT query, id, round(similarity, 6) + 0.0 AS similarity, rank FROM (SELECT *, row_number() OVER

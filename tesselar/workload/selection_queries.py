@@ -28,6 +28,18 @@ def _(spark, sf):
     return selection.filter_expression(annotations(spark, sf), names, text)
 
 
+@query(
+    "expression_filter_row_errors",
+    """SELECT id FROM annotations WHERE (p_size % 10 <> 0 AND 100.0 / (p_size % 10) > 20) OR p_size % 10 = 0
+       OR (p_size % 3 <> 0 AND p_size % (p_size % 3) = 1)""",
+    "annotations",
+)
+def _(spark, sf):
+    # A zero divisor gives infinity, a remainder by zero and text against a number are undefined; no row fails the job.
+    names = {"size": "p_size", "kind": "celltype"}
+    return selection.filter_expression(annotations(spark, sf), names, "100 / (size % 10) > 20 || kind > 3 || size % (size % 3) == 1")
+
+
 @query("box_selection", "SELECT id FROM points WHERE x BETWEEN 0.25 AND 0.75 AND y BETWEEN 0.1 AND 0.6", "points")
 def _(spark, sf):
     return selection.box_select(points(spark, sf), BOX)
@@ -177,12 +189,34 @@ def _(spark, sf):
     return detail.hash_capped(points(spark, sf), detail.density_cap(2000))
 
 
+_GROUP_CAPS = """g AS (SELECT label::BIGINT AS "group", vec_id AS id, row_number() OVER (PARTITION BY label ORDER BY (vec_id * 2654435761) % 4294967296, vec_id) AS r,
+       count(*) OVER (PARTITION BY label) AS n FROM embeddings)"""
+
+
 @query(
     "group_sizes_after_cap",
-    """SELECT "group", least(n, CASE WHEN n > 8000 THEN 5000 WHEN n > 2500 THEN 4000 ELSE 2500 END) AS n FROM
-       (SELECT label::BIGINT AS "group", count(*) AS n FROM embeddings GROUP BY label)""",
+    f"""WITH {_GROUP_CAPS} SELECT "group", count(*) AS n FROM g WHERE r <= CASE WHEN n > 8000 THEN 5000 WHEN n > 2500 THEN 4000 ELSE 2500 END GROUP BY "group\"""",
+)
+def _(spark, sf):
+    members = label_groups(spark, sf)
+    n = F.col("n")
+    cap = F.when(n > 8000, detail.group_cap(8001)).when(n > 2500, detail.group_cap(2501)).otherwise(detail.group_cap(1))
+    caps = members.groupBy("group").agg(F.count("*").alias("n")).select("group", cap.alias("cap"))
+    return detail.hash_capped_groups(members, caps).groupBy("group").agg(F.count("*").alias("n"))
+
+
+@query("group_ids_after_cap", f"""WITH {_GROUP_CAPS} SELECT "group", id FROM g WHERE r <= n // 3""")
+def _(spark, sf):
+    members = label_groups(spark, sf)
+    caps = members.groupBy("group").agg(F.floor(F.count("*") / 3).alias("cap"))
+    return detail.hash_capped_groups(members, caps)
+
+
+@query(
+    "hash_capped_large_ids",
+    "SELECT id + 4000000000 AS id FROM points ORDER BY ((id + 4000000000)::HUGEINT * 2654435761) % 4294967296, id LIMIT 800",
+    "points",
 )
 def _(spark, sf):
-    n = label_groups(spark, sf).groupBy("group").agg(F.count("*").alias("n"))
-    cap = F.when(F.col("n") > 8000, detail.group_cap(8001)).when(F.col("n") > 2500, detail.group_cap(2501)).otherwise(detail.group_cap(1))
-    return n.select("group", F.least("n", cap).cast("bigint").alias("n"))
+    shifted = points(spark, sf).select((F.col("id") + 4_000_000_000).alias("id"))
+    return detail.hash_capped(shifted, detail.density_cap(2000))
