@@ -133,16 +133,14 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, pattern: str) -> Data
     ranks = read_ranks(tokenizer_path)
     shared = docs.sparkSession.sparkContext.broadcast((serialise_model(ranks), sorted(ranks.values()), pattern))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("ids binary, n_tokens bigint, decoded binary")
+    def both_ways(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         codec = Codec(*shared.value)
-        for batch in batches:
-            ids = [codec.encode(t) if t else b"" for t in batch["text"]]
-            yield pd.DataFrame({
-                "doc_id": batch["doc_id"], "ids": ids, "n_tokens": [len(i) // 4 for i in ids], "decoded": [codec.decode(i) for i in ids],
-            })
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, ids binary, n_tokens bigint, decoded binary")
+        for texts in batches:
+            ids = [codec.encode(t) if t else b"" for t in texts]
+            yield pd.DataFrame({"ids": ids, "n_tokens": [len(i) // 4 for i in ids], "decoded": [codec.decode(i) for i in ids]})
+
+    return docs.select("doc_id", both_ways(F.col("text")).alias("e")).select("doc_id", "e.*")
 
 
 def token_digests(encoded: DataFrame) -> DataFrame:

@@ -33,6 +33,17 @@ def held_out(doc_id: Column, folds: int, remainder: int) -> Column:
     return F.coalesce(fold(doc_id, folds) == remainder, F.lit(True))
 
 
+def wrapped(docs: DataFrame) -> DataFrame:
+    """doc_id, text and one struct of all other columns, so that no column of the caller clashes with a helper's."""
+    rest = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *rest).alias("rest"))
+
+
+def unwrapped(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of the frame that was wrapped."""
+    return df.select(*[F.col(c) if c in ("doc_id", "text") else F.col(f"rest.c{i}").alias(c) for i, c in enumerate(columns)])
+
+
 def cut(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read back: lineage ends here and lost executors cost nothing."""
     return materialise(df, label)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import cut, lower_az
+from tesselar.llm.common import cut, lower_az, unwrapped, wrapped
 
 WINDOW = 10
 # Everything between two words.
@@ -123,18 +123,24 @@ def remove_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW)
     """``docs`` without the documents that hold a test window; all columns stay, clean rows are untouched."""
     hits = find_hits(docs, items, window).select(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest"))
     on = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("hit_digest"))
-    return docs.join(hits, on, "left_anti")
+    return unwrapped(wrapped(docs).join(hits, on, "left_anti"), docs.columns)
 
 
 def remove_spans(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with every hit word cut out of the text; what stands between words stays."""
     hits = find_hits(docs, items, window).select(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest"), "hit")
     on = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.md5(F.coalesce("text", F.lit(""))) == F.col("hit_digest"))
-    joined = docs.join(hits, on, "left")
+    joined = wrapped(docs).join(hits, on, "left")
     text = F.coalesce("text", F.lit(""))
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    found, gaps = F.regexp_extract_all(text, F.lit(word), F.lit(0)), F.split(text, word)
-    marked = F.map_from_arrays("hit", F.transform("hit", lambda h: F.lit(True)))
-    kept = F.transform(found, lambda x, i: F.when(F.element_at(marked, i).isNotNull(), F.lit("")).otherwise(x))
-    both = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(kept, i), F.lit("")))), "")
-    return joined.withColumn("text", F.when(F.col("hit").isNull(), F.col("text")).otherwise(both)).select(*docs.columns)
+    whole = F.struct(F.regexp_extract_all(text, F.lit(word), F.lit(0)).alias("words"), F.split(text, word).alias("gaps"), "hit")
+
+    def rest(s: Column) -> Column:
+        """All gaps and the words that are not hit, in order.  The text is split once: ``s`` is a lambda variable."""
+        left = F.array_except(F.sequence(F.lit(0), F.size(s["words"]) - 1), s["hit"])
+        gaps = F.transform(s["gaps"], lambda x, i: F.struct(i.alias("at"), F.lit(0).alias("kind"), x.alias("x")))
+        words_ = F.transform(left, lambda i: F.struct(i.alias("at"), F.lit(1).alias("kind"), F.get(s["words"], i).alias("x")))
+        return F.array_join(F.transform(F.array_sort(F.concat(gaps, words_)), lambda p: p["x"]), "")
+
+    both = F.transform(F.array(whole), rest)[0]
+    return unwrapped(joined.withColumn("text", F.when(F.col("hit").isNull(), F.col("text")).otherwise(both)), docs.columns)

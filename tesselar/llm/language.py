@@ -124,7 +124,8 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, vocabulary: int = VOCAB
             for text, lang in zip(batch["text"], batch["lang"]):
                 by.setdefault(lang, Counter()).update(words(text))
             for lang, found in by.items():
-                yield pd.DataFrame({"lang": lang, "word": list(found), "n": list(found.values())})
+                if found:
+                    yield pd.DataFrame({"lang": [lang] * len(found), "word": list(found), "n": list(found.values())})
 
     counted = sample.mapInPandas(count, "lang string, word string, n bigint").groupBy("word", "lang").agg(F.sum("n").alias("n"))
     kept = (
@@ -147,12 +148,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("lang_pred string, score double")
+    def best(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(shared.value)
-        for batch in batches:
-            found = [scorer(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": [a for a, _ in found], "score": [b for _, b in found]})
+        for texts in batches:
+            found = [scorer(t) for t in texts]
+            yield pd.DataFrame({"lang_pred": [a for a, _ in found], "score": [b for _, b in found]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", best(F.col("text")).alias("b")).select("doc_id", "b.*")

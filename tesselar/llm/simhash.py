@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesselar.llm.common import cut, words_of
+from tesselar.llm.common import cut, unwrapped, words_of, wrapped
 from tesselar.llm.graph import components, forest
 
 SHINGLE, SEED, BITS, BUDGET = 3, 42, 64, 2
@@ -41,14 +41,12 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """``docs(doc_id, text)`` → doc_id, fp (the 64 bits as a signed long)."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fps = np.array([fingerprint(t) for t in batch["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "fp": fps})
+    @F.pandas_udf("bigint")
+    def bits(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.array([fingerprint(t) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, fp bigint")
+    return docs.select("doc_id", bits(F.col("text")).alias("fp"))
 
 
 def _split(ones: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
@@ -203,8 +201,9 @@ def keep_first(docs: DataFrame) -> DataFrame:
     found = near_duplicates(docs)
     lose = found.filter(F.col("doc_id").isNotNull() & (F.col("doc_id") != F.col("component_id"))).select(F.col("doc_id").alias("lost_id")).distinct()
     repeated = cut(found.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc_id").alias("twice_id")), "repeated")
-    kept = docs.join(cut(lose, "copies"), F.col("doc_id") == F.col("lost_id"), "left_anti")
+    kept = wrapped(docs).join(cut(lose, "copies"), F.col("doc_id") == F.col("lost_id"), "left_anti")
     if repeated.isEmpty():
-        return kept
+        return unwrapped(kept, docs.columns)
     twice = F.col("doc_id") == F.col("twice_id")
-    return kept.join(repeated, twice, "left_anti").unionByName(kept.join(repeated, twice, "left_semi").dropDuplicates(["doc_id"]))
+    once = kept.join(repeated, twice, "left_anti").unionByName(kept.join(repeated, twice, "left_semi").dropDuplicates(["doc_id"]))
+    return unwrapped(once, docs.columns)
