@@ -7,6 +7,8 @@ only those few hundred rows reach the driver.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +24,8 @@ SPACES = {"umap2": ["umap2_x", "umap2_y"], "umap3": ["umap3_x", "umap3_y", "umap
 RESTARTS = 10
 MAX_ITERATIONS = 300
 TOLERANCE = 1e-4
-SEED_SAMPLE = 20_000  # rows the starting centres are drawn from; the fit itself uses every row
+SEED_ROUNDS = 5  # passes over all rows in which starting candidates are drawn
+OVERSAMPLING = 2  # expected candidates per cluster and pass
 
 
 def space_columns(cells: DataFrame, space: str) -> list[str]:
@@ -33,18 +36,58 @@ def space_columns(cells: DataFrame, space: str) -> list[str]:
     return dims
 
 
-def seed_centres(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means++ starting centres."""
-    centres = [x[rng.integers(len(x))]]
+def seed_centres(x: np.ndarray, weight: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k-means++ starting centres of weighted points."""
+    centres = [x[rng.choice(len(x), p=weight / weight.sum())]]
     d = ((x - centres[0]) ** 2).sum(axis=1)
     for _ in range(1, k):
-        total = d.sum()
-        at = rng.choice(len(x), p=d / total) if total > 0 else rng.integers(len(x))
+        total = (d * weight).sum()
+        at = rng.choice(len(x), p=d * weight / total) if total > 0 else rng.integers(len(x))
         centres.append(x[at])
         d = np.minimum(d, ((x - x[at]) ** 2).sum(axis=1))
     return np.array(centres)
 
 
+def uniform(ids: np.ndarray, seed: int) -> np.ndarray:
+    """A fixed draw in [0, 1) for each id."""
+    z = ids.astype(np.int64).view(np.uint64) + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+
+
+def draw_candidates(data: DataFrame, dims: list[str], ks: list[int]) -> dict[int, np.ndarray]:
+    """Starting candidates of every model by k-means‖, drawn from all rows.
+
+    Each pass adds every row with a chance in proportion to its squared distance from the candidates so far; a model
+    gets about OVERSAMPLING · k of them, so what reaches the driver depends on k and not on the rows.
+    """
+    width = len(dims)
+    one = data.agg(F.min_by(F.struct(*dims), F.struct(scalars.order_hash(F.col("id")), "id")).alias("p")).first()["p"]
+    found = {m: np.array([list(one)], dtype=np.float64) for m in range(len(ks))}
+    for turn in range(SEED_ROUNDS):
+        cost = {m: t[:, -1].sum() for m, t in _advance(data, dims, found).items()}
+        now = dict(found)
+
+        def run(batches):
+            for b in batches:
+                ids = b.column(0).to_numpy()
+                x = np.column_stack([b.column(j + 1).to_numpy() for j in range(width)])
+                for m, c in now.items():
+                    if cost[m] > 0:
+                        d = squared_distances(x, c).min(axis=1)
+                        hit = uniform(ids, turn * len(ks) + m) * cost[m] < OVERSAMPLING * ks[m] * d
+                        if hit.any():
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(np.full(hit.sum(), m)), *[pa.array(x[hit, j]) for j in range(width)]], names=["model", *dims]
+                            )
+
+        new = data.select("id", *dims).mapInArrow(run, "model bigint, " + ", ".join(f"{d} double" for d in dims)).toPandas()
+        for m, part in new.sort_values(["model", *dims]).groupby("model"):
+            found[m] = np.unique(np.concatenate([found[m], part[dims].to_numpy()]), axis=0)
+    return found
+
+
 def squared_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return ((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
 
@@ -80,11 +123,11 @@ def _advance(data: DataFrame, dims: list[str], models: dict[int, np.ndarray]) ->
 
 def fit(data: DataFrame, dims: list[str], ks: list[int]) -> list[tuple[np.ndarray, float]]:
     """Centres and cost of one model per entry of ``ks``."""
-    h = scalars.order_hash(F.col("id"))
-    sample = np.array([r[:] for r in data.orderBy(h, "id").select(*dims).limit(SEED_SAMPLE).collect()], dtype=np.float64)
     spread = data.agg(*[F.var_pop(d) for d in dims]).first()
     tolerance = TOLERANCE * float(np.mean([s or 0.0 for s in spread]))
-    centres = {m: seed_centres(sample, k, np.random.default_rng(m)) for m, k in enumerate(ks)}
+    candidates = draw_candidates(data, dims, ks)
+    share = _advance(data, dims, candidates)
+    centres = {m: seed_centres(candidates[m], share[m][:, 0], k, np.random.default_rng(m)) for m, k in enumerate(ks)}
     cost = dict.fromkeys(centres, float("inf"))
     running = dict(centres)
     for _ in range(MAX_ITERATIONS):
@@ -100,6 +143,8 @@ def fit(data: DataFrame, dims: list[str], ks: list[int]) -> list[tuple[np.ndarra
                 running[m] = moved
         if not running:
             break
+    else:
+        warnings.warn(f"models of {sorted({len(c) for c in running.values()})} clusters still move after {MAX_ITERATIONS} passes", stacklevel=2)
     return [(centres[m], cost[m]) for m in sorted(centres)]
 
 

@@ -11,8 +11,9 @@ from tesselar.operators.pairwise import matvec_kernel, pairwise
 from tesselar.scale import materialise, ranked
 
 DENSE_LIMIT = 1500  # members up to which one task solves a group exactly
-STEPS = 40
-RESIDUAL = 1e-7
+STEPS = 40  # Lanczos steps before the process starts again from the best vector so far
+RESTARTS = 50
+RESIDUAL = 1e-9
 
 
 def _dense(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -54,20 +55,28 @@ def _lanczos(m: DataFrame) -> DataFrame:
     seed = (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003.0)
     table, _ = orthonormal(table.withColumn("w", seed), "w", [], "q0")
     table = materialise(table, "basis")
-    alphas, betas = [], []
-    for j in range(min(STEPS, n - 1)):
-        cols = [f"q{i}" for i in range(j + 1)]
-        q = F.col(f"q{j}")
-        step = materialise(table.join(times(table, f"q{j}"), "id").withColumn("w", (F.lit(c) - F.col("degree")) * q + F.col("sv")).drop("sv"), "step")
-        alphas.append(step.agg(F.sum(F.col("w") * q)).first()[0])
-        table, beta = orthonormal(step, "w", cols, f"q{j + 1}")
-        table = materialise(table, "basis")
-        tri = np.diag(alphas) + np.diag(betas, 1) + np.diag(betas, -1)
-        y = np.linalg.eigh(tri)[1][:, -1]
-        betas.append(beta)
-        if beta * abs(y[-1]) <= RESIDUAL * c or beta <= 1e-12 * c:
+    for _ in range(RESTARTS):
+        alphas, betas = [], []
+        for j in range(min(STEPS, n - 1)):
+            cols = [f"q{i}" for i in range(j + 1)]
+            q = F.col(f"q{j}")
+            step = materialise(table.join(times(table, f"q{j}"), "id").withColumn("w", (F.lit(c) - F.col("degree")) * q + F.col("sv")).drop("sv"), "step")
+            alphas.append(step.agg(F.sum(F.col("w") * q)).first()[0])
+            table, beta = orthonormal(step, "w", cols, f"q{j + 1}")
+            table = materialise(table, "basis")
+            tri = np.diag(alphas) + np.diag(betas, 1) + np.diag(betas, -1)
+            y = np.linalg.eigh(tri)[1][:, -1]
+            betas.append(beta)
+            settled = beta * abs(y[-1]) <= RESIDUAL * c or beta <= 1e-12 * c
+            if settled:
+                break
+        f = sum((F.col(f"q{i}") * float(v) for i, v in enumerate(y)), F.lit(0.0))
+        if settled or n < 2:
             break
-    f = sum((F.col(f"q{i}") * float(v) for i, v in enumerate(y)), F.lit(0.0))
+        table, _ = orthonormal(table.select("id", "vec", "degree", f.alias("w")), "w", [], "q0")
+        table = materialise(table, "basis")
+    else:
+        raise RuntimeError(f"the order of a group of {n} members did not settle in {RESTARTS} restarts")
     out = table.select("id", f.alias("f"))
     sign = out.agg(F.min_by("f", "id")).first()[0]
     return out.select("id", (F.col("f") * (-1.0 if sign < 0 else 1.0)).alias("fiedler"))

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tesselar import schemas
 from tesselar.functions import scalars
 from tesselar.operators import clusters, kmeans
 from tesselar.plans import profiles
+from tesselar.scale import materialise
 from tesselar.workload.registry import query
 from tesselar.workload.tables import CHANNELS, annotations, cells, channels, pixels, rounded
 
@@ -106,6 +108,38 @@ def _(spark, sf):
     return levels.groupBy("level", "cluster").agg(F.count("*").alias("size"))
 
 
+@query(
+    "multilevel_kmeans_checks",
+    """SELECT l.level, CASE l.level WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 6 WHEN 3 THEN 10 WHEN 4 THEN 15 ELSE 20 END AS clusters,
+       (SELECT count(*) FROM cells) AS cells, 0 AS misplaced, 0 AS costlier FROM range(6) l(level)""",
+    "cells",
+)
+def _(spark, sf):
+    """Per level: clusters, cells, cells clearly nearer to another cluster's mean, and whether it costs more than the level above."""
+    dims = kmeans.SPACES["umap2"]
+    labelled = materialise(kmeans.multilevel_kmeans(cells(spark, sf)), "labelled")
+    levels = clusters.unpivot_levels(labelled, ["id", *dims])
+    means = levels.groupBy("level", "cluster").agg(*[F.avg(d).alias(f"m{i}") for i, d in enumerate(dims)])
+    every = means.groupBy("level").agg(F.collect_list(F.struct("cluster", *[f"m{i}" for i in range(len(dims))])).alias("means"))
+    away = lambda m: sum(((F.col(d) - m[f"m{i}"]) * (F.col(d) - m[f"m{i}"]) for i, d in enumerate(dims)), F.lit(0.0))
+    own = F.filter("means", lambda m: m["cluster"] == F.col("cluster"))[0]
+    seen = levels.join(every, "level").select(
+        "level", "cluster", F.sqrt(away(own)).alias("own"), F.sqrt(F.array_min(F.transform("means", away))).alias("near"),
+    )
+    per_level = seen.groupBy("level").agg(
+        F.count_distinct("cluster").alias("clusters"), F.count("*").alias("cells"),
+        F.sum((F.col("own") > F.col("near") * 1.01 + 1e-3).cast("bigint")).alias("misplaced"), F.sum(F.col("own") * F.col("own")).alias("cost"),
+    )
+    above = F.lag("cost").over(Window.orderBy("level"))
+    return per_level.select("level", "clusters", "cells", "misplaced", F.coalesce((F.col("cost") > above).cast("int"), F.lit(0)).alias("costlier"))
+
+
+@query("requested_levels", "SELECT level, cluster, channel, round(avg, 6) AS avg, round(z, 6) + 0.0 AS z FROM zscores WHERE level IN (1, 4)", "zscores")
+def _(spark, sf):
+    some = profiles.cluster_profile(pixels(spark, sf), cells(spark, sf), channels(spark), only_levels=[1, 4, 9])
+    return rounded(some.select("level", "cluster", "channel", "avg", "z"))
+
+
 @query(
     "cluster_previews",
     "SELECT level, cluster, id, rank FROM lranks WHERE rank = 0 AND level < 5",

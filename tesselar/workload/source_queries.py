@@ -11,11 +11,12 @@ from tesselar.functions import scalars
 from tesselar.operators import clusters
 from tesselar.plans import profiles
 from tesselar.scale import shared_dir
+from tesselar.sources import annotations as ann_source
 from tesselar.sources import cells as cell_source
 from tesselar.sources import channels as channel_source
 from tesselar.sources import documents
 from tesselar.workload.registry import query
-from tesselar.workload.tables import CHANNELS, cells, pixels, raw, rounded
+from tesselar.workload.tables import CHANNELS, annotations, cells, pixels, raw, rounded
 
 
 def _folder(spark, label: str) -> str:
@@ -188,3 +189,60 @@ def _(spark, sf):
     c = F.col("c_custkey")
     taken = raw(spark, sf, "customer").filter(c % 10 < 6).select(c.alias("channel"), palette_color(c % 6, CHANNEL_PALETTE).alias("colour"))
     return channel_source.pick_colours(wanted, taken)
+
+
+@query(
+    "channels_from_cells",
+    """SELECT id, name, id + 9 AS column_index, (SELECT count(*) FROM cells) AS cells FROM (VALUES (0, 'cluster_L0'), (1, 'cluster_L1'),
+       (2, 'cluster_L2'), (3, 'cluster_L3'), (4, 'cluster_L4'), (5, 'cluster_L5')) t(id, name)""",
+    "cells",
+)
+def _(spark, sf):
+    path = _folder(spark, "cells-csv")
+    documents.write_csv(cells(spark, sf), path)
+    back = spark.read.option("header", True).csv(path)
+    return channel_source.load_channels(spark, cells=back).withColumn("cells", back.agg(F.count("*")).scalar())
+
+
+@query(
+    "channels_by_precedence",
+    "SELECT p_partkey AS id, 'ch ' || p_brand AS name, p_partkey AS ome_c, p_partkey AS zarr_c FROM part",
+)
+def _(spark, sf):
+    # A list file goes before the columns of the cell table.
+    path = _folder(spark, "channel-list")
+    p = raw(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("ch "), "p_brand").alias("name"), F.col("p_partkey").alias("tile_index"))
+    documents.write_csv(p, path)
+    return channel_source.load_channels(spark, path, cells(spark, sf))
+
+
+@query(
+    "annotation_csv_scan",
+    "SELECT id, celltype, neigh_names, p_size::BIGINT AS p_size, round(p_retailprice * 100)::BIGINT AS cents FROM annotations",
+    "annotations",
+)
+def _(spark, sf):
+    path = _folder(spark, "annotations")
+    documents.write_csv(annotations(spark, sf), path)
+    r = ann_source.annotation_rows(ann_source.scan_annotations(spark, path))
+    field = lambda name: F.element_at("raw", name)
+    return r.select("id", field("celltype").alias("celltype"), field("neigh_names").alias("neigh_names"), field("p_size").cast("bigint").alias("p_size"), F.round(field("p_retailprice").cast("double") * 100).cast("bigint").alias("cents"))
+
+
+@query(
+    "review_store_saved",
+    """SELECT level, cluster_id, model, arg_max(status, reviewed_at) AS status, count(*) AS versions FROM
+       (SELECT c_nationkey::VARCHAR AS level, c_mktsegment AS cluster_id, 'm' || c_custkey % 3 AS model, CASE WHEN c_custkey % 2 = 0 THEN 'accepted' ELSE 'rejected' END AS status, c_custkey AS reviewed_at FROM customer) GROUP BY ALL""",
+)
+def _(spark, sf):
+    c = F.col("c_custkey")
+    rows = raw(spark, sf, "customer").select(
+        F.col("c_nationkey").cast("string").alias("level"), F.col("c_mktsegment").alias("cluster_id"), F.concat(F.lit("m"), (c % 3).cast("string")).alias("model"),
+        F.when(c % 2 == 0, "accepted").otherwise("rejected").alias("status"), F.lit("t").alias("llm_title"), F.lit("u").alias("user_title"),
+        F.lit(0.5).alias("llm_accuracy"), F.lit(1.0).alias("confidence"), F.timestamp_seconds(c).alias("reviewed_at"),
+    )
+    path = _folder(spark, "reviews")
+    documents.review_document(rows, F.lit("2025-01-02 03:04:05").cast("timestamp")).write.json(path)
+    back = documents.review_documents(spark.read.schema("doc string").json(path))
+    versions = rows.groupBy("level", "cluster_id", "model").agg(F.count("*").alias("versions"))
+    return back.select("level", "cluster_id", "model", "status").join(versions, ["level", "cluster_id", "model"])
