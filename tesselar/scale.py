@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 # Largest driver-side side input (query vectors, centroids) shipped inside a task closure.
 CLOSURE_LIMIT_BYTES = 32 * 1024 * 1024
+# Private folders of local sessions that name no shared one, by application.
+_PRIVATE: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -22,9 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-    root = tempfile.mkdtemp(prefix="tesselar-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _PRIVATE:
+        _PRIVATE[app] = tempfile.mkdtemp(prefix="tesselar-")
+    return _PRIVATE[app]
 
 
 def materialise(df: DataFrame, label: str = "step") -> DataFrame:
