@@ -2,7 +2,7 @@
 
 The text has comparisons, and/or/not, arithmetic, ``in [..]``, literals and known column aliases.  Everything else, calls
 and member access included, is refused.  Values follow dynamic typing: text meets a number as a number, an undefined
-result makes a comparison false, and no row can fail the job.
+result stays undefined through and, or and not, such a row does not match, and no row can fail the job.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ EXPRESSION_CHARACTERS = re.compile(r"""^[\s\w\d_"'().,!<>=&|+\-/*%\[\]]+$""")
 _TOKEN = re.compile(r"""\s*(?:(\d+\.?\d*(?:[eE][+-]?\d+)?|\.\d+)|("[^"]*"|'[^']*')|([A-Za-z_]\w*)|(===|!==|==|!=|<=|>=|&&|\|\||[<>!+\-*/%()\[\],]))""", re.ASCII)
 _COMPARISONS = {"==", "===", "!=", "!==", "<", "<=", ">", ">=", "in"}
 _LITERALS = {"true": True, "false": False, "null": None}
-NUMBER, TEXT, TRUTH = "number", "text", "truth"
+NUMBER, TEXT, TRUTH, MISSING = "number", "text", "truth", "missing"
 
 
 class Value(NamedTuple):
@@ -52,17 +52,17 @@ def _text(v: Value) -> Column:
 
 
 def truth(v: Value) -> Column:
-    some = {NUMBER: lambda c: c != 0, TEXT: lambda c: c != "", TRUTH: lambda c: c}[v.kind](v.column)
-    return F.coalesce(some, F.lit(False))
+    """Whether the value counts as true; NULL where it is undefined."""
+    return {NUMBER: lambda c: c != 0, TEXT: lambda c: c != "", TRUTH: lambda c: c, MISSING: lambda c: c}[v.kind](v.column)
 
 
 def _compare(op: str, a: Value, b: Value) -> Value:
+    if MISSING in (a.kind, b.kind) and op[0] in "=!":
+        gone = a.column.isNull() & b.column.isNull()
+        return Value(gone if op[0] == "=" else ~gone, TRUTH)
     x, y = (a.column, b.column) if a.kind == b.kind else (_number(a), _number(b))
-    if op in ("==", "===", "!=", "!=="):
-        same = F.coalesce(x == y, a.column.isNull() & b.column.isNull())
-        return Value(same if op[0] == "=" else ~same, TRUTH)
-    found = {"<": x < y, "<=": x <= y, ">": x > y, ">=": x >= y}[op]
-    return Value(F.coalesce(found, F.lit(False)), TRUTH)
+    found = {"=": x == y, "!": x != y, "<": x <= y if op == "<=" else x < y, ">": x >= y if op == ">=" else x > y}[op[0]]
+    return Value(found, TRUTH)
 
 
 def _arithmetic(op: str, a: Value, b: Value) -> Value:
@@ -173,10 +173,10 @@ class _Parser:
             return self.names[text]
         if kind == 3 and text in _LITERALS:
             literal = _LITERALS[text]
-            return Value(F.lit(literal).cast("boolean"), TRUTH)
+            return Value(F.lit(literal).cast("boolean"), MISSING if literal is None else TRUTH)
         raise ValueError(f"expression is not executable: unknown name {text!r}" if text else "expression syntax error at the end")
 
 
 def predicate(expression: str, names: dict[str, Value]) -> Column:
     """The expression as a boolean column that is never NULL."""
-    return truth(_Parser(expression, names).whole())
+    return F.coalesce(truth(_Parser(expression, names).whole()), F.lit(False))
