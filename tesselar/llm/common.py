@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,8 +12,10 @@ from tesselar.scale import materialise
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 AZ_LOWER = str.maketrans(UPPER, LOWER)
-# The six white-space bytes that end a word.
-WORD_SPACE = " \t\n\x0b\x0c\r"
+_UPPER_RUN = re.compile("[A-Z]+")
+# The six white-space bytes that end a word, and all other characters at which str.split() would cut.
+_WORD_SPACE = re.compile("[ \t\n\x0b\x0c\r]+")
+_OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,14 +53,13 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return materialise(df, label)
 
 
-def words_of(text: str) -> list[str]:
-    """Lower-cased words between ASCII white space."""
-    return [w for w in _split(text.translate(AZ_LOWER)) if w]
+def lower_az_text(text: str) -> str:
+    """The same for a Python string."""
+    return text.lower() if text.isascii() else _UPPER_RUN.sub(lambda m: m[0].lower(), text)
 
 
-def _split(text: str) -> list[str]:
-    # str.split() also cuts at Unicode spaces and at \x1c-\x1f, so only texts without them may use it.
-    for c in WORD_SPACE[1:]:
-        if c in text:
-            text = text.replace(c, " ")
-    return text.split(" ")
+def words_of(text: str) -> list[str]:
+    """Lower-cased words between ASCII white space."""
+    text = lower_az_text(text)
+    # str.split() also cuts at other spaces and separators, so it serves only texts without them.
+    return text.split() if _OTHER_SPACE.search(text) is None else [w for w in _WORD_SPACE.split(text) if w]
