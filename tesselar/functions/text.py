@@ -15,10 +15,12 @@ DEFAULT_DESCRIPTION = (
     "in imaging-derived embeddings. Please validate with spatial context and additional markers."
 )
 TITLE_LENGTH = 80
+# Patterns that column names and choice lists must match.
+DESCRIPTOR = r"(?s)^(.*)\(([^(]*)\)[^()]*$"
+CHOICE_GAP, CHOICE = r"\s*,\s*", r"(?s)^(.*?):\s*(.*)$"
+ALIAS_HEAD, ALIAS_GAP, ALIAS_EDGE = r"(?s)^([^(]*)", "[^a-z0-9]+", "^_+|_+$"
 # -------------------------------------------------------------------------------------------
 
-_DESCRIPTOR = r"(?s)^(.*)\(([^(]*)\)[^()]*$"
-
 
 def fixed_text(c: Column | str, digits: int) -> Column:
     """Number text with fixed decimals, rounded on the exact binary value (halves to even).
@@ -36,9 +38,9 @@ def fixed_text(c: Column | str, digits: int) -> Column:
 def descriptor(name: Column) -> Column:
     """Split ``"base (description)"`` at the last bracket pair into ``struct(base, description)``."""
     s = F.trim(F.coalesce(name, F.lit("")))
-    hit = s.rlike(_DESCRIPTOR)
-    base = F.when(hit, F.trim(F.regexp_extract(s, _DESCRIPTOR, 1))).otherwise(s)
-    desc = F.when(hit, F.trim(F.regexp_extract(s, _DESCRIPTOR, 2)))
+    hit = s.rlike(DESCRIPTOR)
+    base = F.when(hit, F.trim(F.regexp_extract(s, DESCRIPTOR, 1))).otherwise(s)
+    desc = F.when(hit, F.trim(F.regexp_extract(s, DESCRIPTOR, 2)))
     return F.struct(
         F.when(base != "", base).otherwise(s).alias("base"),
         F.when(desc != "", desc).alias("description"),
@@ -47,16 +49,15 @@ def descriptor(name: Column) -> Column:
 
 def choices(description: Column) -> Column:
     """``"low: 0, high: 1"`` as an array of ``struct(label, text, number)``; NULL unless every part fits."""
-    parts = F.split(description, r"\s*,\s*")
-    pattern = r"(?s)^(.*?):\s*(.*)$"
+    parts = F.split(description, CHOICE_GAP)
 
     def entry(p: Column) -> Column:
-        raw = F.trim(F.regexp_extract(p, pattern, 2))
+        raw = F.trim(F.regexp_extract(p, CHOICE, 2))
         number = F.when(raw == "", F.lit(0.0)).otherwise(raw.try_cast("double"))
         number = F.when(~F.isnan(number) & (F.abs(number) != float("inf")), number)
         text = F.when(number.isNull(), F.regexp_replace(raw, "^['\"]|['\"]$", ""))
         return F.struct(
-            F.trim(F.regexp_extract(p, pattern, 1)).alias("label"), text.alias("text"), number.alias("number")
+            F.trim(F.regexp_extract(p, CHOICE, 1)).alias("label"), text.alias("text"), number.alias("number")
         )
 
     ok = F.forall(parts, lambda p: p.contains(":"))
@@ -66,10 +67,10 @@ def choices(description: Column) -> Column:
 def alias_of(name: Column) -> Column:
     """Lower-case identifier of a column name, without its bracketed tail."""
     s = F.coalesce(name, F.lit(""))
-    head = F.trim(F.regexp_extract(s, r"(?s)^([^(]*)", 1))
+    head = F.trim(F.regexp_extract(s, ALIAS_HEAD, 1))
     base = F.lower(F.when(head != "", head).otherwise(F.trim(s)))
-    a = F.regexp_replace(base, "[^a-z0-9]+", "_")
-    a = F.regexp_replace(a, "^_+|_+$", "")
+    a = F.regexp_replace(base, ALIAS_GAP, "_")
+    a = F.regexp_replace(a, ALIAS_EDGE, "")
     return F.when(a != "", a).otherwise(F.lit("col"))
 
 

@@ -52,6 +52,7 @@ def cluster_prompts(profile: DataFrame, context: DataFrame, k: int = clusters.MA
         listing(every, ", ", F.col("channel_name"), F.col("channel")).alias("channels"),
         listing(every, "; ", F.col("_pair"), F.col("channel")).alias("averages"),
     )
+    # Wording of the context lines.
     lines = F.concat_ws(
         "\n",
         F.concat(F.lit("- number of cells: "), F.col("n").cast("string")),
