@@ -7,10 +7,13 @@ records; record number g goes to shard g mod n at place g div n, so shard sizes
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselar.llm.common import cut
+from tesselar.scale import shared_dir
 
 # Bytes of records that one bucket holds on average.
 BUCKET_BYTES = 1 << 20
@@ -59,4 +62,11 @@ def external_shuffle(df: DataFrame, size: str, shards: int, seed: int = 0, bucke
 
 def write_shards(sharded: DataFrame, path: str) -> None:
     """One folder per shard; the files of a shard follow each other in slot order, a large shard has several."""
-    sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.option("compression", "zstd").partitionBy("shard").parquet(path)
+
+
+def stored(sharded: DataFrame) -> DataFrame:
+    """Write the shards to the shared folder and read them back."""
+    path = f"{shared_dir(sharded.sparkSession)}/shards-{uuid.uuid4().hex}"
+    write_shards(sharded, path)
+    return sharded.sparkSession.read.schema(sharded.schema).parquet(path)

@@ -4,10 +4,12 @@ import base64
 import collections
 import hashlib
 import math
+import pathlib
 import re
 import zlib
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -191,6 +193,21 @@ def test_sharding(spark, docs, small_dir):
     assert [r.doc_id for r in sorted(rows, key=lambda r: (r.slot, r.shard))] != sorted(texts)
 
 
+def test_sharding_writes_whole_records(spark, docs, small_dir):
+    shared = pathlib.Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.glob("shards-*"))
+    rows = {r.doc_id: r for r in QUERIES["op5_sharding"](spark, small_dir).collect()}
+    (path,) = set(shared.glob("shards-*")) - before
+    written = spark.read.parquet(str(path)).collect()
+    assert {r.doc_id: r.text or "" for r in written} == texts_of(docs) and len(written) == len(rows)
+    assert all((r.shard, r.slot) == (rows[r.doc_id].shard, rows[r.doc_id].slot) for r in written)
+    assert {"lang", "source", "n_chars"} <= set(written[0].asDict())
+    # The files of a shard, by name, hold its slots in order.
+    for shard in path.glob("shard=*"):
+        slots = [x for f in sorted(shard.glob("*.parquet")) for x in pq.read_table(f, columns=["slot"], partitioning=None)["slot"].to_pylist()]
+        assert slots == list(range(len(slots)))
+
+
 def test_toxicity_and_language_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "toxic")
