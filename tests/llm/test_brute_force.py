@@ -180,6 +180,37 @@ def test_alone_table():
     assert table[3, 2] == pytest.approx(1 / 3)
 
 
+@pytest.mark.parametrize("c,w,d", [(200, 50, 0.5), (2000, 500, 0.5), (2000, 0.8, 0.5), (1000, 20, 0.8), (1500, 5, 0.2), (60, 3, 0.7)])
+def test_sweeps_reach_the_stationary_table_counts(c, w, d):
+    # Exactly: t has the odds S(c, t) w^t, by the recursion of the Stirling numbers.
+    log, t = np.array([0.0]), np.arange(1, c + 1)
+    log = np.append(log, np.full(c, -np.inf))
+    for n in range(1, c + 1):
+        with np.errstate(divide="ignore"):
+            stay = log[1:] + np.log(np.where(t < n, np.maximum(n - 1 - d * t, 1e-300), 0.0))
+        log = np.append(-np.inf, np.logaddexp(log[:-1], stay))
+    odds = log[1:] + t * math.log(w)
+    p = np.exp(odds - odds.max())
+    p /= p.sum()
+    mean = (p * t).sum()
+    sd = math.sqrt((p * t * t).sum() - mean**2)
+    dishes = pitman_yor.Dishes(np.full(4000, c), d, np.random.default_rng(5))
+    dishes.sweep(np.full(4000, float(w)))
+    assert abs(dishes.tables.mean() - mean) < 0.2 * sd and dishes.tables.std() == pytest.approx(sd, rel=0.1)
+
+
+def test_parent_tables_are_sampled():
+    # One word in 200 contexts among many others: its parent opens 1 + w / d tables on average, not one.
+    words, contexts = 500, 200
+    cells = (np.arange(words)[:, None] * pitman_yor.CONTEXTS + np.arange(contexts)).ravel()
+    counts = np.full(len(cells), 5)
+    kinds = np.bincount(cells % pitman_yor.CONTEXTS, minlength=pitman_yor.CONTEXTS)
+    customers = 5.0 * kinds
+    shape = pitman_yor.Shape(int(counts.sum()), words, customers, kinds, 0.5, 0.5)
+    for tables, seated, parents in pitman_yor.seat(cells, counts, words, shape, 0):
+        assert parents.mean() > 1.5 and (parents <= seated).all() and (tables <= counts).all()
+
+
 def test_sharding(spark, docs, small_dir):
     rows = QUERIES["op5_sharding"](spark, small_dir).collect()
     texts = texts_of(docs)
