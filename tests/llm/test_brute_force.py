@@ -180,6 +180,18 @@ def test_alone_table():
     assert table[3, 2] == pytest.approx(1 / 3)
 
 
+def test_anchors_do_not_depend_on_the_group(monkeypatch):
+    # Hashes of 12 bits stand for hashes that agree in their upper bits.
+    full = suffix_dedup.gram_hashes
+    monkeypatch.setattr(suffix_dedup, "gram_hashes", lambda data, gram: full(data, gram) >> np.uint64(52))
+    rng = np.random.default_rng(3)
+    for _ in range(20):
+        text, other = rng.integers(97, 123, 100, dtype=np.uint8).tobytes(), rng.integers(97, 123, 20_000, dtype=np.uint8).tobytes()
+        h = full(np.frombuffer(text, np.uint8), suffix_dedup.GRAM) >> np.uint64(52)
+        alone, among = suffix_dedup.anchor_runs([text]), suffix_dedup.anchor_runs([other, text])
+        assert alone[3].tolist() == [int(np.argmin(h))] == among[3][among[0] == 1].tolist()
+
+
 @pytest.mark.parametrize("c,w,d", [(200, 50, 0.5), (2000, 500, 0.5), (2000, 0.8, 0.5), (1000, 20, 0.8), (1500, 5, 0.2), (60, 3, 0.7)])
 def test_sweeps_reach_the_stationary_table_counts(c, w, d):
     # Exactly: t has the odds S(c, t) w^t, by the recursion of the Stirling numbers.
