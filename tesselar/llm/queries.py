@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.llm import byte_bpe, chat, decontamination, ego_join, language, pitman_yor, sharding, simhash, suffix_dedup, toxicity
+from tesselar.llm import alignment, byte_bpe, chat, decontamination, ego_join, language, pitman_yor, sharding, simhash, suffix_dedup, toxicity
 from tesselar.llm.common import held_out, table
 
 QUERIES: dict = {}
@@ -136,3 +136,13 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_pitman_yor")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pitman_yor.score(table(spark, sf_dir, "documents"))
+
+
+@query("op11_alignment")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = (public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.alignment(table(spark, sf_dir, "documents"), a, b).select(
+        "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_shared",
+    )
