@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesselar.llm import alignment, byte_bpe, chat, decontamination, ego_join, language, pitman_yor, sharding, simhash, suffix_dedup, toxicity
+from tesselar.llm import alignment, byte_bpe, chat, decontamination, ego_join, language, pitman_yor, prefix_trie, sharding, simhash, suffix_dedup, token_files, toxicity
 from tesselar.llm.common import held_out, table
 
 QUERIES: dict = {}
@@ -13,6 +13,8 @@ ORACLE: dict[str, str] = {}
 
 TOKENIZER = "byte_bpe_multi_50k.tiktoken"
 SHARDS = 40
+END_ID = 2
+GRAFT_GROUP, GRAFT_HEADS = 100, 6
 
 
 def query(name: str, sql: str | None = None):
@@ -146,3 +148,40 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(table(spark, sf_dir, "documents"), a, b).select(
         "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_shared",
     )
+
+
+@query("op12_token_ids")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    found = token_files.stored_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), END_ID)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+# Checksum of the decimal id, bit by bit: every byte stands with seven zeros, and xor with zero changes nothing.
+_CRC32 = (
+    "xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(conv_id::VARCHAR, ''), "
+    "lambda c: [ord(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))))"
+)
+
+
+@query("op13_prefix_trie", f"""
+WITH t AS (SELECT conv_id, turn, {{'r': coalesce(role, ''), 't': coalesce(text, '')}} AS x FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(x ORDER BY turn NULLS FIRST, x.r, x.t) AS l, ({_CRC32} % 6)::BIGINT AS h FROM t GROUP BY conv_id),
+r AS (SELECT a.conv_id, list_concat(coalesce(b.l, [])[:a.h], a.l[a.h + 1:]) AS l FROM o a LEFT JOIN o b ON b.conv_id = a.conv_id - a.conv_id % 100),
+p AS (SELECT conv_id, len(l) AS n, l, unnest(range(0, len(l) + 1)) AS d FROM r),
+n AS (SELECT l[:d] AS k, d AS depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = d) AS ends FROM p GROUP BY ALL),
+c AS (SELECT k[:depth - 1] AS k, count(*) AS n_children FROM n WHERE depth > 0 GROUP BY 1),
+v AS (SELECT n.*, coalesce(n_children, 0) AS n_children,
+CASE WHEN depth = 0 THEN 0 ELSE (n_convs - 1) * length(n.k[depth].t) END AS saved FROM n LEFT JOIN c ON c.k = n.k),
+s AS (SELECT k[:a] AS k, sum((n_children = 0)::BIGINT) AS n_leaves, sum(saved) AS saved_tokens
+FROM (SELECT *, unnest(range(0, depth + 1)) AS a FROM v) GROUP BY 1)
+SELECT v.conv_id, v.depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens,
+sha256(coalesce(v.ends, '')) AS ends_sha256
+FROM v JOIN s ON s.k = v.k LEFT JOIN n u ON v.depth > 0 AND u.k = v.k[:v.depth - 1]""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    members = turns.select("conv_id").distinct()
+    head = F.crc32(F.col("conv_id").cast("string")) % GRAFT_HEADS
+    return prefix_trie.prefix_trie(prefix_trie.grafted(turns, GRAFT_GROUP, GRAFT_HEADS, head), members)
