@@ -9,8 +9,10 @@ the shared-group links.  No link crosses a group, so long texts are multiplied i
 
 from __future__ import annotations
 
+import array
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -25,6 +27,8 @@ from tesselar.llm.common import cut
 # Bytes of text that share one list of distinct id pairs, that are aligned together and that one product covers.
 SLICE_BYTES, BATCH_BYTES, PRODUCT_BYTES = 32 << 20, 1 << 20, 1 << 18
 SPACE_PIECE = "▁"
+# Encoded pieces that a worker remembers per side, and the longest one worth remembering.
+CACHE_ENTRIES, CACHE_CHARS = 300_000, 64
 
 
 class Csr(NamedTuple):
@@ -136,6 +140,44 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + n): b for n, b in enumerate(rest)}
 
 
+class Side:
+    """One tokenizer of a worker: encodes texts piece by piece, and each piece once.
+
+    ``pieces`` cuts space and text into strings that the tokenizer never joins, ``encode`` gives the ids of many of them.
+    """
+
+    def __init__(self, pieces, encode, entries: list[bytes]):
+        self.pieces, self._encode, self.entries = pieces, encode, entries
+        self.size = np.array([len(x) for x in entries])
+        self.known: dict[str, bytes | None] = {}
+
+    def encode(self, spaced: list[str]) -> list[bytes | None]:
+        """Ids as 32-bit integers; None for a text whose joined token bytes differ from it."""
+        cut_up = [self.pieces(t) for t in spaced]
+        wanted = set().union(*cut_up)
+        missing = [p for p in wanted if p not in self.known]
+        if len(self.known) + len(missing) > CACHE_ENTRIES:
+            self.known, missing = {}, list(wanted)
+        found, entries = self.known, self.entries
+        for piece, ids in zip(missing, self._encode(missing)):
+            found[piece] = array.array("I", ids).tobytes() if b"".join([entries[i] for i in ids]) == piece.encode() else None
+        differ = {p for p in wanted if found[p] is None}
+        out = [None if differ and differ.intersection(pieces) else b"".join([found[p] for p in pieces]) for pieces in cut_up]
+        for piece in missing:
+            if len(piece) > CACHE_CHARS:
+                del found[piece]
+        return out
+
+
+# Texts of these characters are cut here as byte-level vocabularies cut them; any other text is one piece.
+_PLAIN = re.compile("[\t\n\r -~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff\u2010-\u2027]*").fullmatch
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff"
+# The published pattern of such vocabularies, with the letters and digits of plain texts for its classes (fixed value).
+_BYTE_PIECES = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[0-9]+| ?[^\s{_LETTERS}0-9]+|\s+(?!\S)|\s+").findall
+# A run of spaces with what follows it; spaces at the end go with the last word.
+_SPACE_PIECES = re.compile(r" +[^ ]+(?: +\Z)?| +\Z").findall
+
+
 class Tokenizers:
     """Both tokenizers of one worker with the bytes of all their ids."""
 
@@ -144,36 +186,34 @@ class Tokenizers:
         import sentencepiece
         from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        a, b = Tokenizer.from_file(path_a), sentencepiece.SentencePieceProcessor(model_file=path_b)
+        a.encode_special_tokens = True
         letters = _byte_letters()
-        words = self.a.get_vocab(with_added_tokens=True)
-        self.bytes_a = [b""] * (max(words.values()) + 1)
+        words = a.get_vocab(with_added_tokens=True)
+        bytes_a = [b""] * (max(words.values()) + 1)
         for word, i in words.items():
-            self.bytes_a[i] = bytes(letters[c] for c in word) if all(c in letters for c in word) else word.encode()
-        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.bytes_b = [
-            bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE_PIECE, " ").encode() for i, p in enumerate(pieces)
-        ]
-        self.size_a, self.size_b = (np.array([len(x) for x in side]) for side in (self.bytes_a, self.bytes_b))
+            bytes_a[i] = bytes(letters[c] for c in word) if all(c in letters for c in word) else word.encode()
+        pieces = [b.id_to_piece(i) for i in range(b.get_piece_size())]
+        bytes_b = [bytes([int(p[3:5], 16)]) if b.is_byte(i) else p.replace(SPACE_PIECE, " ").encode() for i, p in enumerate(pieces)]
+        self.a = Side(lambda t: _BYTE_PIECES(t) if _PLAIN(t) else [t], lambda x: [e.ids for e in a.encode_batch_fast(x, add_special_tokens=False)], bytes_a)
+        # Pieces meet only in front of a space if no entry has a space behind another character.
+        apart = not any(SPACE_PIECE in p.lstrip(SPACE_PIECE) for p in pieces)
+        # The model adds the first space itself.
+        self.b = Side(_SPACE_PIECES if apart else lambda t: [t], lambda x: b.encode([t[1:] for t in x], num_threads=1), bytes_b)
         # The decimal ids with the mark that follows them: A's end with "," or "|", B's with "," or ";".
-        ids_a, ids_b = range(len(self.bytes_a)), range(len(self.bytes_b))
+        ids_a, ids_b = range(len(bytes_a)), range(len(bytes_b))
         self.written = [f"{i}," for i in ids_a] + [f"{i}|" for i in ids_a] + [f"{i}," for i in ids_b] + [f"{i};" for i in ids_b]
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of both sides; a text whose joined token bytes differ from space and text has none."""
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of both sides of all texts, and each text's number of ids; texts that are empty or not reproduced have none."""
         spaced = [" " + t for t in texts]
-        out = []
-        for s, a, b in zip(spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(texts, num_threads=1)):
-            ids, raw = a.ids, s.encode()
-            same = b"".join([self.bytes_a[i] for i in ids]) == raw and b"".join([self.bytes_b[i] for i in b]) == raw
-            out.append((ids, b) if same and len(s) > 1 else ([], []))
-        return out
+        both = [(x, y) if t and x is not None and y is not None else (b"", b"") for t, x, y in zip(texts, self.a.encode(spaced), self.b.encode(spaced))]
+        ids = [np.frombuffer(b"".join([x[k] for x in both]), dtype=np.uint32).astype(np.int64) for k in (0, 1)]
+        return *ids, *[np.array([len(x[k]) // 4 for x in both], dtype=np.int64) for k in (0, 1)]
 
     def groups_text(self, x: Aligned) -> list[str]:
         """Every token's decimal id and the mark behind it, in the order of the groups text of the whole batch."""
-        n_a, n_b = len(self.bytes_a), len(self.bytes_b)
+        n_a, n_b = len(self.a.entries), len(self.b.entries)
         last_a, last_b = np.diff(x.group_a, append=x.groups) > 0, np.diff(x.group_b, append=x.groups) > 0
         code_a = x.a + n_a * last_a
         code_b = x.b + 2 * n_a + n_b * last_b
@@ -234,10 +274,8 @@ _COUNTS = ["n_a", "n_b", "n_groups", "n_links", "n_shared"]
 
 def _align_batch(tools: Tokenizers, batch: list) -> tuple[list[dict], list[np.ndarray], list[np.ndarray]]:
     """Per text: counts and digest, the distinct linked id pairs (as one number) and how often each is linked."""
-    ids = tools.encode([t for _, t in batch])
-    n_a, n_b = np.array([len(a) for a, _ in ids]), np.array([len(b) for _, b in ids])
-    side = lambda k, n: np.fromiter((i for x in ids for i in x[k]), dtype=np.int64, count=int(n.sum()))
-    x = aligned(side(0, n_a), side(1, n_b), tools.size_a, tools.size_b)
+    ids_a, ids_b, n_a, n_b = tools.encode([t for _, t in batch])
+    x = aligned(ids_a, ids_b, tools.a.size, tools.b.size)
     at_a, at_b, _ = x.overlap_links()
     written = tools.groups_text(x)
     doc_a = np.repeat(np.arange(len(batch)), n_a)
@@ -245,8 +283,8 @@ def _align_batch(tools: Tokenizers, batch: list) -> tuple[list[dict], list[np.nd
     links = np.bincount(doc_a[at_a], minlength=len(batch))
     per_a, per_b = np.bincount(x.group_a, minlength=x.groups), np.bincount(x.group_b, minlength=x.groups)
     shared = np.add.reduceat(np.append(per_a * per_b, 0), np.minimum(np.cumsum(groups) - groups, x.groups)) * (groups > 0)
-    width = len(tools.bytes_a) * len(tools.bytes_b)
-    key = doc_a[at_a] * width + x.a[at_a] * len(tools.bytes_b) + x.b[at_b]
+    width = len(tools.a.entries) * len(tools.b.entries)
+    key = doc_a[at_a] * width + x.a[at_a] * len(tools.b.entries) + x.b[at_b]
     key.sort()
     first = np.flatnonzero(np.diff(key, prepend=-1))
     doc, pair = np.divmod(key[first], width)
@@ -388,8 +426,8 @@ def links(docs: DataFrame, path_a: str, path_b: str, kind: str = "overlap") -> D
         tools = _tokenizers(path_a, path_b)
         texts = ((i, t or "") for table in tables for i, t in zip(table.column(0).to_pylist(), table.column(1).to_pylist()))
         for batch in _batches(texts, limit):
-            for (doc_id, _), (a, b) in zip(batch, tools.encode([t for _, t in batch])):
-                x = aligned(np.array(a, dtype=np.int64), np.array(b, dtype=np.int64), tools.size_a, tools.size_b)
+            for doc_id, text in batch:
+                x = aligned(*tools.encode([text])[:2], tools.a.size, tools.b.size)
                 i, j, shared = x.overlap_links() if kind == "overlap" else x.group_links()
                 if len(i):
                     yield pa.RecordBatch.from_arrays(

@@ -7,13 +7,19 @@ import itertools
 import numpy as np
 import public_tokenizers as P
 import pytest
+import sentencepiece
+from hypothesis import example, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from tesselar.llm import alignment
 from tesselar.llm.queries import QUERIES
 from tests.llm.conftest import texts_of
 
 A, B = P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")
+TOOLS, WHOLE_A, WHOLE_B = alignment.Tokenizers(A, B), Tokenizer.from_file(A), sentencepiece.SentencePieceProcessor(model_file=B)
+WHOLE_A.encode_special_tokens = True
 
 
 def loops(texts):
@@ -94,6 +100,22 @@ def test_links(spark, monkeypatch, block):
         alignment.links(docs, A, B, "other")
 
 
+@given(st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from(" \t\n'.,<|>aAéÉß12ª×▁–“"))))
+@example("don't 'sound x'll ..'s 'S I'M  'd ' re")
+@example("  a  b \n\n c\r\n\td   ")
+@example(" ")
+@example("<|endoftext|> <s> ▁x </s> a ▁")
+@settings(max_examples=400, deadline=None)
+def test_pieces_give_the_ids_of_whole_texts(text):
+    ids_a, ids_b, n_a, n_b = TOOLS.encode([text, "", text])
+    a, b = WHOLE_A.encode(" " + text, add_special_tokens=False).ids, WHOLE_B.encode(text)
+    if len(ids_a):
+        assert ids_a.tolist() == a + a and ids_b.tolist() == b + b and n_a.tolist() == [len(a), 0, len(a)] and n_b.tolist() == [len(b), 0, len(b)]
+    else:
+        raw = (" " + text).encode()
+        assert not text or any(b"".join(side.entries[i] for i in ids) != raw for side, ids in ((TOOLS.a, a), (TOOLS.b, b)))
+
+
 def expected(texts):
     """Contract columns of {doc: text} by plain loops."""
     found = dict(zip(texts, loops(list(texts.values()))))
