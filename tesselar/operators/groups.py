@@ -6,20 +6,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from tesselar.functions import scalars, vectors
 from tesselar.functions.vectors import list_column, matrix, unit_rows
-from tesselar.operators.histograms import fixed_bins
-from tesselar.operators.pairwise import histogram_kernel, pairwise, score_kernel
+from tesselar.operators.histograms import HELD_BYTES, fixed_bins
+from tesselar.operators.pairwise import SCORE_DECIMALS, add_counts, code_bins_kernel, codes_in_bins_kernel, histogram_kernel, pairwise
 from tesselar.scale import numbers, exact_percentiles, materialise
 
 EXEMPLARS = 6
 CENTROID_BINS = 60
 CENTRE_BINS = 40
+COARSE_BITS = 16  # of a score's 31: counted in the second pass only
 
 
 def members(rep: DataFrame, groups: DataFrame, distinct: bool = True) -> DataFrame:
@@ -108,11 +109,50 @@ def centre_histogram(rep: DataFrame, features: DataFrame, bins: int = CENTRE_BIN
     return fixed_bins(rep.select(F.round(y, 9).alias("v")), [], "v", bins)
 
 
-def similarity_to_centroids(rep: DataFrame, group_centroids: DataFrame) -> DataFrame:
-    """``(group, id, y)`` for every row and every centroid, y in [0, 1]."""
+def global_medians(rep: DataFrame, group_centroids: DataFrame) -> DataFrame:
+    """``(group, global_median)`` of the similarity of all rows to each centroid, on the 0–1 scale.
+
+    Scores are compared at nine decimals, so they are whole numbers in a known range.  One pass counts coarse bins, a
+    second one counts the numbers inside the one or two bins that hold the middle; no row leaves a task.
+    """
     q = group_centroids.select(F.col("group").cast("bigint").alias("id"), F.col("centroid").alias("vec"))
-    s = pairwise(q, rep, score_kernel(), "query bigint, id bigint, score double")
-    return s.select(F.col("query").alias("group"), "id", scalars.similarity01(F.col("score")).alias("y"))
+    schema = "query bigint, code bigint, n bigint"
+
+    def positions(counts: DataFrame) -> DataFrame:
+        """Adds the rows before each code and the places of the middle: the two are one for an odd number of rows."""
+        before = Window.partitionBy("query").orderBy("code").rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+
+    def holding(place: str) -> Column:
+        return F.max(F.when((F.col("before") <= F.col(place)) & (F.col(place) < F.col("before") + F.col("n")), F.col("code")))
+
+    coarse = pairwise(q, rep, code_bins_kernel(COARSE_BITS), schema, combine=add_counts).groupBy("query", "code").agg(F.sum("n").alias("n"))
+    whole = Window.partitionBy("query")
+    middle = {"low": F.expr("(total - 1) div 2"), "high": F.expr("total div 2")}
+    at = positions(coarse).withColumn("total", F.sum("n").over(whole)).withColumns(middle)
+    bins = materialise(
+        at.groupBy("query", "low", "high").agg(
+            holding("low").alias("low_bin"), holding("high").alias("high_bin"),
+            F.max(F.when((F.col("before") <= F.col("low")), F.col("before"))).alias("low_before"),
+            F.max(F.when((F.col("before") <= F.col("high")), F.col("before"))).alias("high_before"),
+        ), "bins",
+    )
+    fine_q = q.join(bins, q["id"] == bins["query"]).select(
+        "id", F.concat("vec", F.array(F.col("low_bin").cast("double"), F.col("high_bin").cast("double"))).alias("vec"),
+    )
+    fine = pairwise(fine_q, rep, codes_in_bins_kernel(COARSE_BITS), schema, combine=add_counts).groupBy("query", "code").agg(F.sum("n").alias("n"))
+    # Places are counted inside a bin; low and high may lie in different ones.
+    fine = fine.join(bins, "query").withColumn("bin", F.shiftright("code", COARSE_BITS))
+    inside = Window.partitionBy("query", "bin").orderBy("code").rowsBetween(Window.unboundedPreceding, -1)
+    fine = fine.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+    here = lambda side: (
+        (F.col("bin") == F.col(f"{side}_bin")) & (F.col(f"{side}_before") + F.col("before") <= F.col(side))
+        & (F.col(side) < F.col(f"{side}_before") + F.col("before") + F.col("n"))
+    )
+    scale = 10**SCORE_DECIMALS
+    y = scalars.similarity01((F.col("code") - scale) / F.lit(float(scale)))
+    value = lambda side: F.max(F.when(here(side), y))
+    return fine.groupBy(F.col("query").alias("group")).agg(((value("low") + value("high")) / 2).alias("global_median"))
 
 
 def similarity_medians(rep: DataFrame, scores: DataFrame, group_centroids: DataFrame) -> DataFrame:
@@ -121,8 +161,7 @@ def similarity_medians(rep: DataFrame, scores: DataFrame, group_centroids: DataF
         scores.select("group", "id", scalars.similarity01(F.round("similarity", 9)).alias("y")),
         ["group"], "y", "id", {"group_median": 0.5},
     )
-    every = exact_percentiles(similarity_to_centroids(rep, group_centroids), ["group"], "y", "id", {"global_median": 0.5})
-    return own.join(every, "group")
+    return own.join(global_medians(rep, group_centroids), "group")
 
 
 @arrow_udf(T.ArrayType(T.DoubleType()))
@@ -157,6 +196,14 @@ def first_axis_projection(scores: DataFrame) -> DataFrame:
 
 
 def _partial_gram(scores: DataFrame) -> DataFrame:
+    def rows(total: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([int(k) for k in total], pa.int64()), list_column(np.stack([t.ravel() for t in total.values()]))],
+            names=["group", "gram"],
+        )
+
+    limit = HELD_BYTES
+
     def run(batches):
         total: dict = {}
         for b in batches:
@@ -165,10 +212,11 @@ def _partial_gram(scores: DataFrame) -> DataFrame:
             for key in np.unique(g):
                 x = m[g == key]
                 total[key] = total.get(key, 0) + x.T @ x
+                # Many groups: hand over partial sums instead of holding a matrix for each.
+                if len(total) * total[key].nbytes > limit:
+                    yield rows(total)
+                    total = {}
         if total:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([int(k) for k in total], pa.int64()), list_column(np.stack([t.ravel() for t in total.values()]))],
-                names=["group", "gram"],
-            )
+            yield rows(total)
 
     return scores.select(F.col("group").cast("bigint"), "vec", "centroid").mapInArrow(run, "group bigint, gram array<double>")

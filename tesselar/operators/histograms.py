@@ -19,6 +19,7 @@ RADIAL_SAMPLES = 192
 FIELD_WIDTH, FIELD_HEIGHT, FIELD_SIGMA = 160, 100, 0.055
 RESAMPLE_STEPS = 200
 RAMP_THRESHOLD = 0.02
+HELD_BYTES = 64 * 1024 * 1024  # partial sums that a task holds before it hands them over
 
 
 def fixed_bins(df: DataFrame, keys: list[str], value: str, bins: int) -> DataFrame:
@@ -135,9 +136,15 @@ def curve_stats(counts: DataFrame, keys: list[str]) -> DataFrame:
 def _kernel_sums(points: DataFrame, keys: list[str], grid: int) -> DataFrame:
     """Sum of n · exp(−½((x_i − value) / bw)²) per key and grid index.
 
-    Tasks add up their rows on the grid with array maths; only one curve per key and task is shuffled.
+    Tasks add up their rows on the grid with array maths; one curve per key and task is shuffled, or a few where a task
+    has more keys than it may hold.
     """
     steps = np.arange(grid)
+    limit = HELD_BYTES
+
+    def rows(total: dict) -> pd.DataFrame:
+        out = pd.DataFrame(np.repeat(np.array(list(total), dtype=object), grid, axis=0), columns=keys)
+        return out.assign(i=np.tile(steps, len(total)), k=np.concatenate(list(total.values())))
 
     def run(batches):
         total: dict = {}
@@ -149,11 +156,11 @@ def _kernel_sums(points: DataFrame, keys: list[str], grid: int) -> DataFrame:
                 for s in range(0, len(value), 2048):
                     u = (x[None, :] - value[s:s + 2048, None]) / bw
                     total[key] = total.get(key, 0.0) + weight[s:s + 2048] @ np.exp(-0.5 * u * u)
-        for key, curve in total.items():
-            out = pd.DataFrame({"i": steps, "k": curve})
-            for c, v in zip(keys, key):
-                out[c] = v
-            yield out[[*keys, "i", "k"]]
+                if len(total) * grid * 8 > limit:
+                    yield rows(total)
+                    total = {}
+        if total:
+            yield rows(total)
 
     types = dict(points.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in keys) + ", i bigint, k double"
@@ -210,10 +217,19 @@ def radial_density(scores: DataFrame, samples: int = RADIAL_SAMPLES) -> DataFram
 def density_field(points: DataFrame, width: int = FIELD_WIDTH, height: int = FIELD_HEIGHT, sigma: float = FIELD_SIGMA) -> DataFrame:
     """Radius-limited Gaussian field of ``points(group, x, y)`` in [0, 1]², largest value 1.
 
-    Every task turns its points into one width × height sum with two small matrices; only those sums
-    are shuffled.  Row 0 is the top (y = 1).
+    Every task turns its points into width × height sums with two small matrices; only those sums are shuffled, one per
+    group and task or a few where a task has more groups than it may hold.  Row 0 is the top (y = 1).
     """
     reach = max(2, math.ceil(3 * sigma * width))
+    limit = HELD_BYTES
+
+    def rows(total: dict):
+        for key, t in total.items():
+            row, col = np.nonzero(t)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(row), key, np.int64)), pa.array(row), pa.array(col), pa.array(t[row, col])],
+                names=["group", "gy", "gx", "v"],
+            )
 
     def run(batches):
         total: dict = {}
@@ -227,12 +243,10 @@ def density_field(points: DataFrame, width: int = FIELD_WIDTH, height: int = FIE
             for key in np.unique(g):
                 at = g == key
                 total[key] = total.get(key, 0) + wy[at].T @ wx[at]
-        for key, t in total.items():
-            row, col = np.nonzero(t)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(row), key, np.int64)), pa.array(row), pa.array(col), pa.array(t[row, col])],
-                names=["group", "gy", "gx", "v"],
-            )
+                if len(total) * total[key].nbytes > limit:
+                    yield from rows(total)
+                    total = {}
+        yield from rows(total)
 
     part = points.select(F.col("group").cast("bigint"), "x", "y").mapInArrow(run, "group bigint, gy bigint, gx bigint, v double")
     return max_normalised(part.groupBy("group", "gy", "gx").agg(F.sum("v").alias("v")), ["group"], "v", 1e-300)

@@ -11,8 +11,9 @@ from pyspark.sql.functions import arrow_udf
 
 from tesselar.functions import scalars, vectors
 from tesselar.functions.vectors import list_column, matrix
+from tesselar.operators.grid import nearest_in_plane
 from tesselar.operators.pairwise import nearest
-from tesselar.scale import CLOSURE_LIMIT_BYTES, materialise, ranked
+from tesselar.scale import materialise, ranked
 
 GALLERY_K = 8
 FETCH_K = 64
@@ -27,7 +28,7 @@ def display_filter(pool: DataFrame, allowed: DataFrame | None) -> DataFrame:
 
 
 def projection_vectors(cells: DataFrame) -> DataFrame:
-    return cells.select("id", F.array(F.col("umap2_x"), F.col("umap2_y")).alias("vec"))
+    return cells.select("id", F.col("umap2_x").alias("x"), F.col("umap2_y").alias("y"))
 
 
 @arrow_udf(T.ArrayType(T.DoubleType()))
@@ -78,7 +79,7 @@ def neighbours_of(
         near = nearest(rep.join(wanted, "id", "left_semi"), display_filter(rep, allowed), k)
         return near.withColumnRenamed("score", "similarity")
     points = projection_vectors(cells)
-    near = nearest(points.join(wanted, "id", "left_semi"), display_filter(points, allowed), k, space="l2")
+    near = nearest_in_plane(points.join(wanted, "id", "left_semi"), display_filter(points, allowed), k)
     own = rep.select(F.col("id").alias("query"), F.col("vec").alias("own"))
     return (
         near.drop("score").join(rep, "id").join(own, "query")
@@ -117,32 +118,15 @@ def percentile_columns(values: DataFrame, reference: DataFrame, columns: list[st
     return values.withColumns({f"{c}_pct": fraction(i, c) for i, c in enumerate(columns)})
 
 
-def fraction_at_most(probes: DataFrame, reference: DataFrame, limit: int = CLOSURE_LIMIT_BYTES) -> DataFrame:
+def fraction_at_most(probes: DataFrame, reference: DataFrame) -> DataFrame:
     """``(key, value, fraction)`` of an unbounded reference that is ≤ each probe value.
 
-    The probes are measured.  A small set travels to the tasks, which only count reference values
-    between probes; a larger set is ranked together with the reference.
+    Probes and reference are ranked together and the probes among themselves; the difference of both ranks counts the
+    reference rows before a probe, whatever the size of either side.
     """
     p = probes.select(F.col("key"), F.round("value", 9).alias("value"))
     ref = reference.select(F.round("value", 9).alias("value"))
-    distinct = materialise(p.select("value").distinct(), "probes")
     total = ref.agg(F.count("*").alias("n")).scalar()
-    if distinct.count() * 8 <= limit:
-        edges = np.sort(np.array([r[0] for r in distinct.collect()], dtype=np.float64))
-
-        def count(batches):
-            held = np.zeros(len(edges) + 1, np.int64)
-            for b in batches:
-                at = np.searchsorted(edges, b.column(0).to_numpy(zero_copy_only=False), side="left")
-                held += np.bincount(at, minlength=len(edges) + 1)
-            slot = np.nonzero(held[:-1])[0]
-            yield pa.RecordBatch.from_arrays([pa.array(edges[slot]), pa.array(held[slot])], names=["value", "n"])
-
-        steps = ref.mapInArrow(count, "value double, n bigint").groupBy("value").agg(F.sum("n").alias("n"))
-        upto = distinct.join(steps, "value", "left").select(
-            "value", F.coalesce(F.sum("n").over(Window.orderBy("value")), F.lit(0)).alias("below")
-        )
-        return p.join(upto, "value").select("key", "value", (F.col("below") / F.nullif(total, F.lit(0))).alias("fraction"))
     both = p.select("key", "value", F.lit(1).alias("probe")).unionByName(
         ref.select(F.monotonically_increasing_id().cast("bigint").alias("key"), "value", F.lit(0).alias("probe"))
     )

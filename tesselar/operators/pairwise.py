@@ -94,19 +94,50 @@ def clipped_histogram_kernel(bins: int) -> Kernel:
     return run
 
 
-def score_kernel() -> Kernel:
-    """Every score; only for a bounded set of queries such as group centroids."""
+def _codes(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """Rounded scores as whole numbers from 0 to 2·10^SCORE_DECIMALS."""
+    scale = 10**SCORE_DECIMALS
+    return np.rint(np.clip(q @ v.T, -1.0, 1.0) * scale).astype(np.int64) + scale
+
+
+def code_bins_kernel(shift: int) -> Kernel:
+    """Counts of score codes per query, without their last ``shift`` bits."""
+
+    def run(qid, q, vid, v):
+        parts = []
+        for s in range(0, len(q), QUERY_SLICE):
+            for i, row in enumerate(_codes(q[s:s + QUERY_SLICE], v) >> shift):
+                at, n = np.unique(row, return_counts=True)
+                parts.append((np.full(len(at), qid[s + i]), at, n))
+        cols = [np.concatenate(c) for c in zip(*parts)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query", "code", "n"])
+
+    return run
+
+
+def codes_in_bins_kernel(shift: int) -> Kernel:
+    """Counts of whole score codes in the two bins that end a query's vector."""
 
     def run(qid, q, vid, v):
-        sc = cosine_scores(q, v)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(qid, len(vid))), pa.array(np.tile(vid, len(qid))), pa.array(sc.ravel())],
-            names=["query", "id", "score"],
-        )
+        parts = []
+        for s in range(0, len(q), QUERY_SLICE):
+            some = q[s:s + QUERY_SLICE]
+            code = _codes(some[:, :-2], v)
+            wanted = ((code >> shift)[:, :, None] == some[:, None, -2:].astype(np.int64)).any(axis=2)
+            for i, row in enumerate(code):
+                at, n = np.unique(row[wanted[i]], return_counts=True)
+                parts.append((np.full(len(at), qid[s + i]), at, n))
+        cols = [np.concatenate(c) for c in zip(*parts)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["query", "code", "n"])
 
     return run
 
 
+def add_counts(t: pa.Table) -> pa.Table:
+    """Sum a task's counts per query and code."""
+    return t.group_by(["query", "code"]).aggregate([("n", "sum")]).rename_columns(["query", "code", "n"])
+
+
 def keep_topk(k: int) -> Callable[[pa.Table], pa.Table]:
     """Reduce a task's top-k candidates of several batches to its own top-k."""
 
@@ -132,7 +163,7 @@ def matvec_kernel() -> Kernel:
     return run
 
 
-def _gathered(
+def gathered(
     results: Iterator[pa.RecordBatch], combine: Callable[[pa.Table], pa.Table] | None
 ) -> Iterator[pa.RecordBatch]:
     """A task's results, reduced by ``combine`` while they pile up and before they are emitted."""
@@ -151,6 +182,14 @@ def _gathered(
         yield from combine(pa.Table.from_batches(held)).combine_chunks().to_batches(max_chunksize=EMIT_ROWS)
 
 
+def _measured(queries: DataFrame) -> tuple[int, int]:
+    return queries.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
+
+
+def _bytes(n: int, dim: int) -> int:
+    return n * (dim + 1) * 8
+
+
 def pairwise(
     queries: DataFrame, targets: DataFrame, kernel: Kernel, schema: str, limit: int = CLOSURE_LIMIT_BYTES,
     combine: Callable[[pa.Table], pa.Table] | None = None,
@@ -163,8 +202,8 @@ def pairwise(
     targets are read in place, unshuffled.  A larger set meets the targets through an equi-join of
     packed blocks, so no task and no driver ever holds more than two blocks.
     """
-    n, dim = queries.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
-    if n * (dim + 1) * 8 <= limit:
+    n, dim = _measured(queries)
+    if _bytes(n, dim) <= limit:
         q = queries.select("id", "vec").toArrow()
         qid = q.column("id").to_numpy().astype(np.int64) if n else np.empty(0, np.int64)
         qv = matrix(q.column("vec"))
@@ -174,7 +213,7 @@ def pairwise(
                 if b.num_rows and len(qid):
                     yield kernel(qid, qv, b.column(0).to_numpy().astype(np.int64), matrix(b.column(1)))
 
-        return targets.select("id", "vec").mapInArrow(lambda batches: _gathered(scan(batches), combine), schema)
+        return targets.select("id", "vec").mapInArrow(lambda batches: gathered(scan(batches), combine), schema)
 
     blocks_t = max(1, -(-targets.count() // BLOCK_ROWS))
     blocks_q = max(1, -(-n // BLOCK_ROWS))
@@ -195,7 +234,7 @@ def pairwise(
                     ts.field("id").to_numpy().astype(np.int64), matrix(ts.field("vec")),
                 )
 
-    return pairs.mapInArrow(lambda batches: _gathered(of_blocks(batches), combine), schema)
+    return pairs.mapInArrow(lambda batches: gathered(of_blocks(batches), combine), schema)
 
 
 def nearest(
@@ -204,10 +243,16 @@ def nearest(
     """Exact top-k per query, self excluded: ``(query, id, score, rank)`` with rank 1..k, ties by id.
 
     ``score`` is the cosine of unit vectors, or the negative distance in ``l2`` space.  A target without a defined score
-    (a missing coordinate) comes after all others and has a NULL score.
+    (a missing coordinate) comes after all others and has a NULL score.  A cosine query set over ``limit`` bytes is searched
+    by blocks, most pairs of which are skipped by their bounds.
     """
-    kernel = topk_kernel(k, cosine_scores if space == "cosine" else negative_l2)
-    local = pairwise(queries, targets, kernel, "query bigint, id bigint, score double", limit, keep_topk(k))
+    if space == "cosine" and _bytes(*_measured(queries)) > limit:
+        from tesselar.operators.blocks import nearest_by_blocks
+
+        local = nearest_by_blocks(queries, targets, k)
+    else:
+        kernel = topk_kernel(k, cosine_scores if space == "cosine" else negative_l2)
+        local = pairwise(queries, targets, kernel, "query bigint, id bigint, score double", limit, keep_topk(k))
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     ranked = local.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.withColumn("score", F.when(F.col("score") > F.lit(float(LAST)), F.col("score")))

@@ -125,26 +125,30 @@ def _(spark, sf):
     return rounded(neighbours.local_structure(neighbours.neighbours_of(f, None, f, 8), f))
 
 
-_REFERENCE = """ref AS (SELECT l.* FROM local l JOIN (SELECT id FROM feat ORDER BY (id * 2654435761) % 4294967296, id LIMIT 200) s ON s.id = l.query),
+_SINGLE_CELL = """WITH ref AS (SELECT l.* FROM {local} l JOIN (SELECT id FROM feat ORDER BY (id * 2654435761) % 4294967296, id LIMIT 200) s ON s.id = l.query),
 pct AS (SELECT l.query, max(l.compactness) AS compactness, max(l.difference) AS difference,
   sum(CASE WHEN round(r.compactness, 9) <= round(l.compactness, 9) THEN 1 ELSE 0 END) / count(*) AS compactness_pct,
   sum(CASE WHEN round(r.difference, 9) <= round(l.difference, 9) THEN 1 ELSE 0 END) / count(*) AS difference_pct
-  FROM local l, ref r GROUP BY l.query)"""
-
-
-@query(
-    "single_cell_analysis",
-    "WITH " + _REFERENCE + """ SELECT nn.query, nn.id, round(similarity, 6) + 0.0 AS similarity, rank, round(X_centroid, 6) AS raw_x,
+  FROM {local} l, ref r GROUP BY l.query)
+SELECT n.query, n.id, round(similarity, 6) + 0.0 AS similarity, rank, round(X_centroid, 6) AS raw_x,
        round(Y_centroid, 6) AS raw_y, round(umap2_x, 6) + 0.0 AS umap2_x, round(umap2_y, 6) + 0.0 AS umap2_y, clustering AS label,
        round(compactness, 6) AS compactness, round(difference, 6) AS difference, round(compactness_pct, 6) AS compactness_pct,
-       round(difference_pct, 6) AS difference_pct FROM nn JOIN cells c ON c.id = nn.id JOIN pct ON pct.query = nn.query""",
-    "feat local nn cells",
-)
+       round(difference_pct, 6) AS difference_pct FROM {near} n JOIN cells c ON c.id = n.id JOIN pct ON pct.query = n.query"""
+
+
+@query("single_cell_analysis", _SINGLE_CELL.format(local="local", near="nn"), "feat local nn cells")
 def _(spark, sf):
     f = features(spark, sf)
     return rounded(similarity.single_cell(f, cells(spark, sf), f, space="embedding"))
 
 
+@query("single_cell_analysis_projection", _SINGLE_CELL.format(local="local_plane", near="nn_plane"), "feat local_plane nn_plane cells")
+def _(spark, sf):
+    """The default space: neighbours on the projection, percentiles among the projection neighbourhoods of the sample."""
+    f = features(spark, sf)
+    return rounded(similarity.single_cell(f, cells(spark, sf), f))
+
+
 @query(
     "percentile_reference",
     """SELECT l.query, round(compactness, 6) AS compactness, round(difference, 6) AS difference FROM local l

@@ -100,6 +100,24 @@ LOGICAL: dict[str, tuple[str, str]] = {
         "SELECT nn.query, avg(list_distance(u.v, m)) AS compactness, max(list_distance(q.v, m)) AS difference "
         "FROM nn JOIN units u USING (id) JOIN near_mean nm ON nm.query = nn.query JOIN units q ON q.id = nn.query GROUP BY nn.query",
     ),
+    # Neighbours on the 2-D projection, and the local structure that follows.
+    "nn_plane": (
+        "cells units",
+        "SELECT query, n.id AS id, greatest(-1, least(1, list_dot_product(a.v, b.v))) AS similarity, rank FROM "
+        "(SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, id) AS rank FROM (SELECT q.id AS query, t.id AS id, "
+        "round(sqrt((q.umap2_x - t.umap2_x) * (q.umap2_x - t.umap2_x) + (q.umap2_y - t.umap2_y) * (q.umap2_y - t.umap2_y)), 9) AS d "
+        "FROM cells q JOIN cells t ON q.id <> t.id)) n JOIN units a ON a.id = n.query JOIN units b ON b.id = n.id WHERE rank <= 8",
+    ),
+    "plane_mean": (
+        "nn_plane units",
+        "SELECT query, list(m ORDER BY i) AS m FROM (SELECT query, i, avg(x) AS m FROM (SELECT n.query, unnest(v) AS x, "
+        "unnest(range(1, len(v) + 1)) AS i FROM nn_plane n JOIN units USING (id)) GROUP BY query, i) GROUP BY query",
+    ),
+    "local_plane": (
+        "plane_mean nn_plane units",
+        "SELECT n.query, avg(list_distance(u.v, m)) AS compactness, max(list_distance(q.v, m)) AS difference "
+        "FROM nn_plane n JOIN units u USING (id) JOIN plane_mean p ON p.query = n.query JOIN units q ON q.id = n.query GROUP BY n.query",
+    ),
     # Label groups in the centred space: members, unit centroids, member scores.
     "grp": ("", "SELECT label::BIGINT AS \"group\", vec_id AS id FROM embeddings"),
     "gmean": (
