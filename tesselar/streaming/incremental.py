@@ -1,7 +1,7 @@
 """Incremental operators over file streams of pixels and reviews.
 
-Every sink writes one folder per micro-batch and overwrites it when the batch is replayed, so a
-restart after a failure gives the same tables.
+Every sink writes folders named by the micro-batch and overwrites them when the batch is replayed, so a restart after a
+failure gives the same tables.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tesselar.operators import clusters, composition, intensity
 from tesselar.scale import shared_dir
+from tesselar.streaming.changelog import ChangeLog
 
 
 def stream_folder(spark: SparkSession, label: str) -> str:
@@ -28,24 +29,20 @@ def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], che
     )
 
 
-def _batches(path: str):
-    def write(df: DataFrame, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/batch={batch_id:010d}")
-
-    return write
-
-
-def _latest(spark: SparkSession, path: str) -> DataFrame:
-    t = spark.read.parquet(path)
-    return t.filter(F.col("batch") == t.agg(F.max("batch")).scalar()).drop("batch")
+def _counts_log(path: str) -> ChangeLog:
+    # Counts only rise, so the highest one of a value is the last.
+    return ChangeLog(f"{path}/table", lambda t: t.groupBy("channel", "value").agg(F.max("n").alias("n")))
 
 
 def intensity_counts(stream: DataFrame, path: str) -> DataFrame:
-    """Running (channel, value) counts; state is bounded by 65536 values per channel."""
-    spark = stream.sparkSession
+    """Running (channel, value) counts, at most 65536 values per channel.
+
+    The counts live in the state store; a batch writes only the values that it changed.
+    """
+    log = _counts_log(path)
     counts = stream.groupBy("channel", "value").agg(F.count("*").alias("n"))
-    run_available(counts, _batches(f"{path}/table"), f"{path}/state", "complete")
-    return _latest(spark, f"{path}/table")
+    run_available(counts, log.append, f"{path}/state", "update")
+    return log.read(stream.sparkSession)
 
 
 def intensity_ranges(stream: DataFrame, path: str) -> DataFrame:
@@ -53,49 +50,50 @@ def intensity_ranges(stream: DataFrame, path: str) -> DataFrame:
     return intensity.channel_ranges(intensity_counts(stream, path), ["channel"])
 
 
-def tile_sums(stream: DataFrame, path: str) -> DataFrame:
-    """Per-tile means: each batch adds partial sums, reading merges them."""
-    spark = stream.sparkSession
+def _sums(keys: list[str]):
+    return lambda t: t.groupBy(*keys).agg(F.sum("s").alias("s"), F.sum("c").alias("c"))
 
-    def write(df: DataFrame, batch_id: int) -> None:
-        part = df.groupBy("channel", "id").agg(F.sum("value").alias("s"), F.count("*").alias("c"))
-        part.write.mode("overwrite").parquet(f"{path}/table/batch={batch_id:010d}")
 
-    run_available(stream, write, f"{path}/state")
-    return (
-        spark.read.parquet(f"{path}/table").groupBy("channel", "id")
-        .agg((F.sum("s") / F.sum("c") / 65535.0).alias("mean01"))
-    )
+def _partial(pixels: DataFrame) -> DataFrame:
+    """One sum and count per (channel, id): what every later step needs of a batch's pixels."""
+    return pixels.groupBy("channel", "id").agg(F.sum("value").alias("s"), F.count("*").alias("c"))
+
+
+def tile_sums(stream: DataFrame, path: str) -> DataFrame:
+    """Per-tile means: each batch adds partial sums, reading merges them."""
+    log = ChangeLog(f"{path}/table", _sums(["channel", "id"]))
+    run_available(stream, lambda df, batch_id: log.append(_partial(df), batch_id), f"{path}/state")
+    return log.read(stream.sparkSession).select("channel", "id", (F.col("s") / F.col("c") / 65535.0).alias("mean01"))
 
 
 def cluster_means(stream: DataFrame, cells: DataFrame, path: str) -> DataFrame:
-    """Cluster × channel means from a stream–static join and a running sum and count."""
-    spark = stream.sparkSession
+    """Cluster × channel means: a batch's pixels collapse to sums per cell, meet the labels, and only then the levels."""
+    keys = ["level", "cluster", "channel"]
+    log = ChangeLog(f"{path}/table", _sums(keys))
     labels = clusters.level_columns(cells) or ["clustering"]
-    levels = clusters.unpivot_levels(stream.join(cells.select("id", *labels), "id"), ["channel", "value"])
-    sums = levels.groupBy("level", "cluster", "channel").agg(F.sum("value").alias("s"), F.count("*").alias("c"))
-    run_available(sums, _batches(f"{path}/table"), f"{path}/state", "complete")
-    return _latest(spark, f"{path}/table").select("level", "cluster", "channel", (F.col("s") / F.col("c")).alias("avg"))
+
+    def add(df: DataFrame, batch_id: int) -> None:
+        wide = _partial(df).join(cells.select("id", *labels), "id")
+        log.append(clusters.unpivot_levels(wide, ["channel", "s", "c"]), batch_id)
+
+    run_available(stream, add, f"{path}/state")
+    return log.read(stream.sparkSession).select(*keys, (F.col("s") / F.col("c")).alias("avg"))
 
 
 def review_snapshot(stream: DataFrame, path: str, tie: str | None = None) -> DataFrame:
-    """Last-write-wins review table: every batch merges its newest rows into a new snapshot version.
+    """Last-write-wins review table: every batch adds its newest rows per key, reading merges them.
 
-    Invalid rows land next to the snapshots in ``rejected``.
+    Invalid rows land next to them in ``rejected``.
     """
-    spark = stream.sparkSession
+    log = ChangeLog(f"{path}/table", lambda t: composition.latest_reviews(t, tie))
 
-    def merge(df: DataFrame, batch_id: int) -> None:
+    def add(df: DataFrame, batch_id: int) -> None:
         good, bad = composition.valid_reviews(df)
         bad.write.mode("overwrite").parquet(f"{path}/rejected/batch={batch_id:010d}")
-        new = composition.latest_reviews(good, tie)
-        if batch_id > 0:
-            old = df.sparkSession.read.schema(new.schema).parquet(f"{path}/table/batch={batch_id - 1:010d}")
-            new = composition.latest_reviews(old.unionByName(new), tie)
-        new.write.mode("overwrite").parquet(f"{path}/table/batch={batch_id:010d}")
-
-    run_available(stream, merge, f"{path}/state")
-    return _latest(spark, f"{path}/table")
+        log.append(good, batch_id)
+
+    run_available(stream, add, f"{path}/state")
+    return log.read(stream.sparkSession)
 
 
 def refresh_dataset(spark: SparkSession, root: str, builders: dict[str, Callable[[], DataFrame]]) -> dict[str, str]:
