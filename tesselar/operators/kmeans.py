@@ -1,14 +1,12 @@
 """Multi-level k-means on the projection, all levels and restarts in shared passes.
 
-Fitting 5 levels × 10 restarts one by one would scan the cells more than a thousand times.  Here one
-job per iteration advances every model that has not converged: tasks return per-cluster sums, and
-only those few hundred rows reach the driver.
+Fitting 5 levels × 10 restarts one by one would scan the cells more than a thousand times.  Here the restarts run on a
+small weighted coreset, and one job per iteration advances the best model of every level that still moves: tasks return
+per-cluster sums, and only those few hundred rows reach the driver.
 """
 
 from __future__ import annotations
 
-import warnings
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,8 +22,9 @@ SPACES = {"umap2": ["umap2_x", "umap2_y"], "umap3": ["umap3_x", "umap3_y", "umap
 RESTARTS = 10
 MAX_ITERATIONS = 300
 TOLERANCE = 1e-4
-SEED_ROUNDS = 5  # passes over all rows in which starting candidates are drawn
-OVERSAMPLING = 2  # expected candidates per cluster and pass
+CORESET = 2000  # weighted places on which the restarts run
+SEED_ROUNDS = 3  # passes over all rows in which they are drawn
+SLICE_CELLS = 4_000_000  # distances held at once
 
 
 def space_columns(cells: DataFrame, space: str) -> list[str]:
@@ -56,40 +55,61 @@ def uniform(ids: np.ndarray, seed: int) -> np.ndarray:
     return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
 
 
-def draw_candidates(data: DataFrame, dims: list[str], ks: list[int]) -> dict[int, np.ndarray]:
-    """Starting candidates of every model by k-means‖, drawn from all rows.
+def draw_candidates(data: DataFrame, dims: list[str], wanted: int) -> np.ndarray:
+    """About ``wanted`` places by k-means‖, drawn from all rows.
 
-    Each pass adds every row with a chance in proportion to its squared distance from the candidates so far; a model
-    gets about OVERSAMPLING · k of them, so what reaches the driver depends on k and not on the rows.
+    Each pass adds every row with a chance in proportion to its squared distance from the places so far, so dense regions,
+    small clusters and outliers are all represented.  What reaches the driver depends on ``wanted``, not on the rows.
     """
     width = len(dims)
     one = data.agg(F.min_by(F.struct(*dims), F.struct(scalars.order_hash(F.col("id")), "id")).alias("p")).first()["p"]
-    found = {m: np.array([list(one)], dtype=np.float64) for m in range(len(ks))}
+    found = np.array([list(one)], dtype=np.float64)
     for turn in range(SEED_ROUNDS):
-        cost = {m: t[:, -1].sum() for m, t in _advance(data, dims, found).items()}
-        now = dict(found)
+        now, cost = found, _advance(data, dims, {0: found})[0][:, -1].sum()
+        if cost == 0:
+            break
 
         def run(batches):
             for b in batches:
-                ids = b.column(0).to_numpy()
                 x = np.column_stack([b.column(j + 1).to_numpy() for j in range(width)])
-                for m, c in now.items():
-                    if cost[m] > 0:
-                        d = squared_distances(x, c).min(axis=1)
-                        hit = uniform(ids, turn * len(ks) + m) * cost[m] < OVERSAMPLING * ks[m] * d
-                        if hit.any():
-                            yield pa.RecordBatch.from_arrays(
-                                [pa.array(np.full(hit.sum(), m)), *[pa.array(x[hit, j]) for j in range(width)]], names=["model", *dims]
-                            )
-
-        new = data.select("id", *dims).mapInArrow(run, "model bigint, " + ", ".join(f"{d} double" for d in dims)).toPandas()
-        for m, part in new.sort_values(["model", *dims]).groupby("model"):
-            found[m] = np.unique(np.concatenate([found[m], part[dims].to_numpy()]), axis=0)
+                hit = uniform(b.column(0).to_numpy(), turn) * cost * SEED_ROUNDS < wanted * _nearest(x, now)[1]
+                if hit.any():
+                    yield pa.RecordBatch.from_arrays([pa.array(x[hit, j]) for j in range(width)], names=dims)
+
+        new = data.select("id", *dims).mapInArrow(run, ", ".join(f"{d} double" for d in dims)).toPandas()
+        found = np.unique(np.concatenate([found, new.to_numpy()]), axis=0)
     return found
 
 
+def settle(x: np.ndarray, weight: np.ndarray, centres: np.ndarray, tolerance: float) -> np.ndarray:
+    """Centres after as many steps over the weighted places as it takes."""
+    for _ in range(MAX_ITERATIONS):
+        near = _nearest(x, centres)[0]
+        n = np.bincount(near, weight, minlength=len(centres))
+        total = np.column_stack([np.bincount(near, weight * c, minlength=len(centres)) for c in x.T])
+        moved = np.where(n[:, None] > 0, total / np.maximum(n, 1e-300)[:, None], centres)
+        shift, centres = ((moved - centres) ** 2).sum(), moved
+        if shift <= tolerance:
+            break
+    return centres
+
+
 def squared_distances(x: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return ((x[:, None, :] - c[None, :, :]) ** 2).sum(axis=2)
+    total = np.zeros((len(x), len(c)))
+    for j in range(x.shape[1]):
+        total += (x[:, j, None] - c[None, :, j]) ** 2
+    return total
+
+
+def _nearest(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of the nearest centre and the squared distance to it, in slices of bounded size."""
+    near, away = np.empty(len(x), dtype=np.int64), np.empty(len(x))
+    step = max(1, SLICE_CELLS // max(1, len(c)))
+    for s in range(0, len(x), step):
+        d = squared_distances(x[s : s + step], c)
+        near[s : s + step] = d.argmin(axis=1)
+        away[s : s + step] = d[np.arange(len(d)), near[s : s + step]]
+    return near, away
 
 
 def _advance(data: DataFrame, dims: list[str], models: dict[int, np.ndarray]) -> dict[int, tuple]:
@@ -101,9 +121,8 @@ def _advance(data: DataFrame, dims: list[str], models: dict[int, np.ndarray]) ->
         for b in batches:
             x = np.column_stack([b.column(j).to_numpy() for j in range(width)])
             for m, c in models.items():
-                d = squared_distances(x, c)
-                near = d.argmin(axis=1)
-                weights = [np.ones(len(x)), *x.T, d[np.arange(len(x)), near]]
+                near, away = _nearest(x, c)
+                weights = [np.ones(len(x)), *x.T, away]
                 total[m] += np.column_stack([np.bincount(near, w, minlength=len(c)) for w in weights])
         rows = [(m, i, *t[i]) for m, t in total.items() for i in range(len(t)) if t[i, 0] > 0]
         if rows:
@@ -121,31 +140,40 @@ def _advance(data: DataFrame, dims: list[str], models: dict[int, np.ndarray]) ->
     return out
 
 
-def fit(data: DataFrame, dims: list[str], ks: list[int]) -> list[tuple[np.ndarray, float]]:
-    """Centres and cost of one model per entry of ``ks``."""
+def fit(data: DataFrame, dims: list[str], ks: dict[int, int], restarts: int) -> dict[int, np.ndarray]:
+    """Centres per level, from the cheapest of several restarts.
+
+    The restarts run on a coreset: places drawn from all rows, each weighted by the rows that are nearest to it.  One pass
+    over all rows prices them, and the cheapest of each level goes on over all rows until it stands still.
+    """
     spread = data.agg(*[F.var_pop(d) for d in dims]).first()
     tolerance = TOLERANCE * float(np.mean([s or 0.0 for s in spread]))
-    candidates = draw_candidates(data, dims, ks)
-    share = _advance(data, dims, candidates)
-    centres = {m: seed_centres(candidates[m], share[m][:, 0], k, np.random.default_rng(m)) for m, k in enumerate(ks)}
-    cost = dict.fromkeys(centres, float("inf"))
-    running = dict(centres)
+    places = draw_candidates(data, dims, CORESET)
+    weight = _advance(data, dims, {0: places})[0][:, 0]
+    started = {}
+    for m, (level, k) in enumerate((level, k) for level, k in ks.items() for _ in range(restarts)):
+        started[level, m] = settle(places, weight, seed_centres(places, weight, k, np.random.default_rng(m)), tolerance)
+    cost = {key: t[:, -1].sum() for key, t in _priced(data, dims, started).items()}
+    running = {level: started[min((key for key in started if key[0] == level), key=cost.get)] for level in ks}
+    done = {}
     for _ in range(MAX_ITERATIONS):
-        for m, t in _advance(data, dims, running).items():
-            cost[m] = t[:, -1].sum()
+        for level, t in _advance(data, dims, running).items():
             n = t[:, :1]
-            moved = np.where(n > 0, t[:, 1:-1] / np.maximum(n, 1), centres[m])
-            shift = ((moved - centres[m]) ** 2).sum()
-            centres[m] = moved
-            if shift <= tolerance:
-                running.pop(m)
-            else:
-                running[m] = moved
+            moved = np.where(n > 0, t[:, 1:-1] / np.maximum(n, 1), running[level])
+            if ((moved - running[level]) ** 2).sum() <= tolerance:
+                done[level] = moved
+            running[level] = moved
+        running = {level: c for level, c in running.items() if level not in done}
         if not running:
-            break
-    else:
-        warnings.warn(f"models of {sorted({len(c) for c in running.values()})} clusters still move after {MAX_ITERATIONS} passes", stacklevel=2)
-    return [(centres[m], cost[m]) for m in sorted(centres)]
+            return done
+    raise RuntimeError(f"levels {sorted(running)} still move after {MAX_ITERATIONS} passes over all rows")
+
+
+def _priced(data: DataFrame, dims: list[str], models: dict) -> dict:
+    """``_advance`` for models under any keys."""
+    keys = list(models)
+    found = _advance(data, dims, {i: models[key] for i, key in enumerate(keys)})
+    return {key: found[i] for i, key in enumerate(keys)}
 
 
 def nearest_centre(dims: list[str], centres: np.ndarray):
@@ -154,7 +182,7 @@ def nearest_centre(dims: list[str], centres: np.ndarray):
     @arrow_udf(T.IntegerType())
     def run(*cols: pa.Array) -> pa.Array:
         x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in cols])
-        return pa.array(squared_distances(x, centres).argmin(axis=1) if len(x) else [], pa.int32())
+        return pa.array(_nearest(x, centres)[0] if len(x) else [], pa.int32())
 
     return run(*dims)
 
@@ -171,12 +199,7 @@ def multilevel_kmeans(
         raise ValueError("level 0 must be configured with k = 1")
     dims = space_columns(cells, space)
     data = materialise(cells.select("id", *[F.col(d).cast("double").alias(d) for d in dims]), "vectors")
-    jobs = [(lvl, k) for lvl, k in sorted(level_k.items()) if lvl > 0 for _ in range(restarts)]
-    fitted = fit(data, dims, [k for _, k in jobs])
-    best: dict[int, tuple[np.ndarray, float]] = {}
-    for (lvl, _), (centres, cost) in zip(jobs, fitted):
-        if lvl not in best or cost < best[lvl][1]:
-            best[lvl] = (centres, cost)
+    best = fit(data, dims, {lvl: k for lvl, k in sorted(level_k.items()) if lvl > 0}, restarts)
     labels = {"cluster_L0": F.lit(0)}
-    labels |= {f"cluster_L{lvl}": nearest_centre(dims, c) for lvl, (c, _) in best.items()}
+    labels |= {f"cluster_L{lvl}": nearest_centre(dims, c) for lvl, c in best.items()}
     return cells.drop(*[c for c in cells.columns if c.startswith("cluster_L")]).withColumns(labels)
