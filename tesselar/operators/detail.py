@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ DISPLAY_CAP = 200_000
 OVERLAP_RATIO = 0.8
 BLOCK_CELLS = 64  # block edge, in cells of one radius
 CELL_LIST = 32  # items of a cell that a round looks at
+GONE, OPEN, DOUBTFUL, KEPT = range(4)
 
 
 def grid_shape(cap: int) -> tuple[int, int]:
@@ -67,29 +69,50 @@ def overlap_radius(tile_size: float, base_zoom: float) -> float:
 def _settle_block(pdf: pd.DataFrame, radius: float) -> pd.DataFrame:
     """Items of one block that are certainly kept, whatever happens outside the block.
 
-    Sweeps best first.  ``inner`` marks items the block owns; others, and the last item of a cut cell
-    list, only cast doubt on what they touch.
+    Same outcome as a sweep of the block best first.  ``inner`` marks items the block owns; others, and the last item of a
+    cut cell list, only cast doubt on what they touch.  Two items of a cell always conflict, so each step looks at the best
+    open item of every cell at once, and decides those whose better neighbours are all decided.
     """
-    kept, doubtful, open_cells, out = {}, {}, set(), []
-    offsets = [(dx, dy) for dx in (-1, 0, 1) for dy in (-1, 0, 1)]
-    order = pdf.sort_values(["score", "id"], ascending=[False, True])
-    for i, x, y, cx, cy, inner, last in order[["id", "x", "y", "cx", "cy", "inner", "cut"]].itertuples(index=False):
-        near = [(cx + dx, cy + dy) for dx, dy in offsets]
-
-        def touches(p):
-            return abs(p[0] - x) < radius and abs(p[1] - y) < radius
-
-        if any(c in kept and touches(kept[c]) for c in near):
-            continue
-        doubt = any(c in open_cells or any(map(touches, doubtful.get(c, ()))) for c in near)
-        if inner and not last and not doubt:
-            kept[cx, cy] = (x, y)
-            out.append((i, x, y, cx, cy))
-        else:
-            doubtful.setdefault((cx, cy), []).append((x, y))
-            if last:
-                open_cells.add((cx, cy))
-    return pd.DataFrame(out, columns=["id", "x", "y", "cx", "cy"])
+    items = pdf.sort_values(["score", "id"], ascending=[False, True], ignore_index=True)
+    n = len(items)
+    row, col = (items[c].to_numpy() - items[c].min() + 1 for c in ("cx", "cy"))
+    shape = int(row.max()) + 2, int(col.max()) + 2
+    cell = row * shape[1] + col
+    order = np.argsort(cell, kind="stable")
+    slot = np.empty(n, dtype=np.int64)
+    slot[order] = np.arange(n) - np.searchsorted(cell[order], cell[order])
+    shape = (*shape, int(slot.max()) + 1)
+    where = row, col, slot
+    rank, state = np.full(shape, n), np.full(shape, GONE, dtype=np.int8)
+    x, y = np.full(shape, np.inf), np.full(shape, np.inf)
+    own, last = np.zeros(shape, dtype=bool), np.zeros(shape, dtype=bool)
+    rank[where], state[where] = np.arange(n), OPEN
+    x[where], y[where] = items["x"], items["y"]
+    own[where], last[where] = items["inner"], items["cut"]
+    while True:
+        open_ = state == OPEN
+        i, j = np.nonzero(open_.any(axis=2))
+        if not len(i):
+            break
+        k = open_[i, j].argmax(axis=1)
+        mine, px, py = rank[i, j, k][:, None], x[i, j, k][:, None], y[i, j, k][:, None]
+        seen = {s: np.zeros(len(i), dtype=bool) for s in (OPEN, DOUBTFUL, KEPT)}
+        for di in (-1, 0, 1):
+            for dj in (-1, 0, 1):
+                at = i + di, j + dj
+                better, now = rank[at] < mine, state[at]
+                touches = better & (np.abs(x[at] - px) < radius) & (np.abs(y[at] - py) < radius)
+                # Behind the last item of a cut list there may be others that touch.
+                matters = touches | (better & last[at])
+                seen[KEPT] |= (touches & (now == KEPT)).any(axis=1)
+                for s in (OPEN, DOUBTFUL):
+                    seen[s] |= (matters & (now == s)).any(axis=1)
+        fine = own[i, j, k] & ~last[i, j, k] & ~seen[DOUBTFUL]
+        state[i, j, k] = np.select([seen[KEPT], seen[OPEN], fine], [GONE, OPEN, KEPT], DOUBTFUL)
+        won = ~seen[KEPT] & ~seen[OPEN] & fine
+        rest = state[i[won], j[won]]
+        state[i[won], j[won]] = np.where(rest == OPEN, GONE, rest)
+    return items.loc[state[where] == KEPT, ["id", "x", "y", "cx", "cy"]]
 
 
 def suppress_overlaps(items: DataFrame, radius: float, block: int = BLOCK_CELLS, per_cell: int = CELL_LIST) -> DataFrame:
