@@ -9,6 +9,9 @@ from tesselar import schemas
 from tesselar.functions import scalars, vectors
 from tesselar.scale import ranked
 
+TILES_PER_FILE = 1 << 16
+ROW_GROUP_BYTES = 16 * 1024 * 1024
+
 
 def with_row_ids(scan: DataFrame) -> DataFrame:
     """Number the rows of a file scan 0..n-1 in file order (path, block, line)."""
@@ -56,27 +59,31 @@ def feature_shape(features: DataFrame) -> DataFrame:
     )
 
 
-def write_tiles(pixels: DataFrame, path: str, per_chunk: int) -> None:
-    """Packed tile stack, one row per (channel, id), in channel/chunk folders so scans can prune.
+def write_tiles(pixels: DataFrame, path: str, per_chunk: int, row_group_bytes: int = ROW_GROUP_BYTES) -> None:
+    """Packed tile stack, one row per (channel, id), in files that follow each other by channel, chunk and id.
 
-    A tile has a fixed pixel count (height × width), so the packed array is bounded.
+    A file covers a range and so does every row group in it, so a scan of some chunks skips the others by their statistics;
+    the number of files follows from the bytes, not from the number of chunks.  A tile has a fixed pixel count (height ×
+    width), so the packed array is bounded.
     """
-    (
+    place = ["channel", "chunk_id", "id"]
+    tiles = (
         pixels.withColumn("chunk_id", scalars.chunk_id(F.col("id"), per_chunk))
-        .groupBy("channel", "chunk_id", "id")
+        # Ranges of the keys also serve the grouping, so pixels are shuffled once.
+        .repartitionByRange(*place)
+        .groupBy(*place)
         .agg(
             F.transform(
                 F.sort_array(F.collect_list(F.struct("y", "x", "value"))), lambda p: p["value"].cast("int")
             ).alias("pixels")
         )
-        .repartition("channel", "chunk_id")
-        .write.partitionBy("channel", "chunk_id")
-        .parquet(path)
+        .sortWithinPartitions(*place)
     )
+    tiles.write.option("maxRecordsPerFile", TILES_PER_FILE).option("parquet.block.size", row_group_bytes).parquet(path)
 
 
 def scan_tiles(spark: SparkSession, path: str, width: int, channels=None, chunks=None) -> DataFrame:
-    """Long pixel form ``(channel, id, y, x, value)``; the channel and chunk lists prune folders."""
+    """Long pixel form ``(channel, id, y, x, value)``; row groups without a listed channel and chunk are not read."""
     t = spark.read.parquet(path)
     if channels is not None:
         t = t.filter(F.col("channel").isin(list(channels)))
