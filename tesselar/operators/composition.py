@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesselar.functions import scalars
@@ -19,10 +19,11 @@ def annotation_keys(annotations: DataFrame, kinds=("celltype", "neigh_names")) -
 
 
 def _shares(counts: DataFrame, columns: list[str]) -> DataFrame:
-    w = Window.partitionBy("kind")
+    """Adds each column's percentage of its kind; kinds are few, so their totals are one small map."""
+    sums = counts.groupBy("kind").agg(F.struct(*[F.sum(c).alias(c) for c in columns]).alias("sums"))
+    total = sums.agg(F.map_from_entries(F.collect_list(F.struct("kind", "sums")))).scalar()[F.col("kind")]
     pct = {
-        f"{c}_pct": F.when(F.sum(c).over(w) > 0, F.col(c) / F.nullif(F.sum(c).over(w), F.lit(0)) * 100.0).otherwise(F.lit(0.0))
-        for c in columns
+        f"{c}_pct": F.when(total[c] > 0, F.col(c) / F.nullif(total[c], F.lit(0)) * 100.0).otherwise(F.lit(0.0)) for c in columns
     }
     return counts.withColumns(pct)
 

@@ -7,7 +7,7 @@ ranges and densities, and a channel that owns a third of all pixels is no hotter
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesselar.functions import scalars
@@ -15,6 +15,7 @@ from tesselar.scale import first_by_hash
 
 FOREGROUND_FLOOR = 0.01 * scalars.FULL_RANGE
 FOREGROUND_MINIMUM = 100
+SKETCH_ERROR = 0.02  # rank error that a default quantile sketch stays below, merged or not
 TILE_MIN_RAW = 1900.0
 TILE_MIN_WINDOWED = 0.02
 
@@ -59,8 +60,9 @@ def proportional_sample(pixels: DataFrame, keys: list[str], max_samples: int, se
     """
     per = [*keys, "chunk_id"]
     sizes = pixels.groupBy(*per).agg(F.count("*").alias("size"))
-    total = F.sum("size").over(Window.partitionBy(*keys))
-    quota = sizes.select(*per, F.bround(F.lit(float(max_samples)) * F.col("size") / total).cast("bigint").alias("quota"), "size")
+    totals = sizes.groupBy(*keys).agg(F.sum("size").alias("_total"))
+    share = F.bround(F.lit(float(max_samples)) * F.col("size") / F.col("_total")).cast("bigint")
+    quota = sizes.join(totals, keys).select(*per, share.alias("quota"), "size")
     h01 = F.xxhash64("id", "y", "x", F.lit(seed)) / F.lit(2.0 ** 64) + 0.5
     return first_by_hash(pixels, per, quota.filter("quota > 0"), h01, ["id", "y", "x"])
 
@@ -110,6 +112,17 @@ def finalise_sketches(states: DataFrame, keys: list[str], low: float = 0.01, hig
     return merged.select(*keys, r.alias("r")).select(*keys, "r.*")
 
 
+def sketch_rank_errors(windows: DataFrame, counts: DataFrame, keys: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
+    """How far the ranks of a sketched window lie from the asked ones, as shares of the non-zero values.
+
+    ``counts`` are exact.  A value that occurs often covers a range of ranks; any rank of it is right.
+    """
+    some = counts.filter("value > 0").join(windows.select(*keys, "auto_min", "auto_max"), keys)
+    share = lambda test: F.sum(F.when(test, F.col("n")).otherwise(0)) / F.sum("n")
+    error = lambda c, p: F.greatest(F.lit(0.0), F.lit(p) - share(F.col("value") <= F.col(c)), share(F.col("value") < F.col(c)) - F.lit(p))
+    return some.groupBy(*keys).agg(F.sum("n").alias("n"), error("auto_min", low).alias("low_error"), error("auto_max", high).alias("high_error"))
+
+
 def windows_for(channels: DataFrame, windows: DataFrame, ranges: DataFrame) -> DataFrame:
     """Display window per channel: user window, else automatic range, else full scale."""
     w = windows.select("channel", F.col("min").cast("double").alias("_wmin"), F.col("max").cast("double").alias("_wmax"), F.col("user").alias("_user"))

@@ -39,10 +39,10 @@ def last_two_regions(regions: DataFrame) -> DataFrame:
     )
 
 
-def compare_regions(pixels: DataFrame, features: DataFrame, regions: DataFrame, grid: int = 192, metric: str = "cosine_centered"):
-    """Density curves and representatives of the last two non-empty regions."""
+def compare_regions(pixels: DataFrame, features: DataFrame, regions: DataFrame, grid: int = 192, metric: str = "cosine_centered") -> DataFrame:
+    """Density curves of the last two non-empty regions, each row with its region's size, compactness and representative."""
     two = last_two_regions(regions)
     rep = vectors.representation(features, metric)
     reg = two.select(F.col("region").cast("bigint").alias("group"), "id")
-    reps = groups.region_representatives(rep, reg, reg.select("group").distinct())
-    return cell_density(pixels, two, grid), reps
+    reps = groups.region_representatives(rep, reg, reg.select("group").distinct()).withColumnRenamed("group", "region")
+    return cell_density(pixels, two, grid).join(materialise(reps, "representatives"), "region", "left")

@@ -75,6 +75,20 @@ def _(spark, sf):
     return rounded(intensity.finalise_sketches(intensity.range_sketches(px, ["channel", "chunk_id"]).drop("chunk_id"), ["channel"]))
 
 
+@query(
+    "channel_range_sketch_errors",
+    "SELECT channel, count(*) AS n, 1 AS low_within, 1 AS high_within FROM pixels WHERE value > 0 GROUP BY channel",
+    "pixels",
+)
+def _(spark, sf):
+    """Whether the merged sketches' windows have the ranks that exact counts give, within the sketch's error."""
+    px = pixels(spark, sf)
+    windows = intensity.finalise_sketches(intensity.range_sketches(px, ["channel", "chunk_id"]).drop("chunk_id"), ["channel"])
+    found = intensity.sketch_rank_errors(materialise(windows, "windows"), intensity.value_counts(px, ["channel"]), ["channel"])
+    within = lambda c: (F.col(f"{c}_error") <= intensity.SKETCH_ERROR).cast("int").alias(f"{c}_within")
+    return found.select("channel", "n", within("low"), within("high"))
+
+
 @query(
     "cell_p95",
     "SELECT channel, id, round(quantile_cont(value, 0.95), 6) AS value FROM pixels GROUP BY ALL",
@@ -244,8 +258,24 @@ _CELLKDE = (
     "pixels regions",
 )
 def _(spark, sf):
-    curves, _reps = densities.compare_regions(pixels(spark, sf), features(spark, sf), regions(spark, sf))
-    return _curve(curves)
+    return _curve(densities.cell_density(pixels(spark, sf), densities.last_two_regions(regions(spark, sf))))
+
+
+@query(
+    "region_comparison",
+    "WITH " + _CELLKDE + _KDE.format(k="region, channel", g=192) + """,
+       gm AS (SELECT "group", list(m ORDER BY i) AS m FROM (SELECT "group", i, avg(x) AS m FROM
+       (SELECT region AS "group", unnest(v) AS x, unnest(range(1, len(v) + 1)) AS i FROM regions JOIN centred USING (id)) GROUP BY ALL) GROUP BY "group"),
+       gc AS (SELECT "group", list_transform(m, lambda x: x / sqrt(list_dot_product(m, m))) AS c FROM gm),
+       s AS (SELECT "group", id, list_distance(v, c) AS distance, list_dot_product(v, c) AS similarity FROM regions JOIN centred USING (id) JOIN gc ON gc."group" = region),
+       b AS (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY round(distance, 9), id) AS r FROM s),
+       a AS (SELECT "group", count(*) AS size, round(avg(distance), 6) AS compactness FROM s GROUP BY ALL)
+       SELECT region, channel, size, compactness, b.id AS representative, round(b.similarity, 6) AS representative_similarity, """
+    + _CURVE + ' JOIN a ON a."group" = region JOIN b ON b."group" = region AND r = 1',
+    "pixels regions centred",
+)
+def _(spark, sf):
+    return _curve(densities.compare_regions(pixels(spark, sf), features(spark, sf), regions(spark, sf)))
 
 
 @query(
