@@ -9,25 +9,32 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import regex
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesselar.llm.common import cut, held_out
 
-# Documents per language that are counted (in expectation), words kept, n-gram lengths from long to short.
-TRAIN_DOCS, VOCABULARY, GRAM_LENGTHS = 3_000, 100_000, (5, 4, 3, 2, 1)
+# Documents per language that are counted (in expectation), words and n-grams kept over all languages, n-gram lengths
+# from long to short.
+TRAIN_DOCS, VOCABULARY, GRAMS, GRAM_LENGTHS = 3_000, 200_000, 200_000, (5, 4, 3, 2, 1)
 SMOOTHING = 0.1
 CACHE_WORDS = 300_000
 UNDETERMINED = "und"
 
-_WORD = re.compile(r"[^\W\d_]+")
+# Letters by Unicode category; the characters that str counts as word characters include signs of numbers.
+_WORD = regex.compile(r"\p{L}+")
+_PLAIN_WORD = re.compile(r"[^\W\d_]+")
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Lower-cased runs of letters."""
+    found = _PLAIN_WORD.findall(text.lower())
+    return found if text.isascii() else [w for f in found for w in ((f,) if f.isalpha() else _WORD.findall(f))]
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -36,28 +43,23 @@ def grams(word: str, n: int) -> list[str]:
     return [padded[i : i + n] for i in range(len(padded) - n + 1)]
 
 
-class Model:
-    """Log frequencies of words and n-grams, one column per language."""
+class Logs:
+    """Log frequencies of strings: a row number per string and one matrix with a column per language."""
+
+    def __init__(self, keys: list[str], counts: np.ndarray, totals: np.ndarray, entries: np.ndarray):
+        """``totals`` and ``entries`` are a language's sum of counts and number of different strings, kept or not."""
+        self.row = {k: i for i, k in enumerate(keys)}
+        self.logs = (np.log(counts + SMOOTHING) - np.log(totals + SMOOTHING * np.maximum(entries, 1))).astype(np.float32)
+
+    def get(self, key: str) -> np.ndarray | None:
+        at = self.row.get(key)
+        return None if at is None else self.logs[at]
 
-    def __init__(self, languages: list[str], counts: dict[str, np.ndarray]):
-        self.languages = languages
-        self.word = counts
-        self.gram: dict[str, np.ndarray] = {}
-        for w, n in counts.items():
-            for length in GRAM_LENGTHS:
-                for g in grams(w, length):
-                    # The length is part of the key: a boundary mark never meets a longer n-gram.
-                    old = self.gram.get(g)
-                    self.gram[g] = n.copy() if old is None else old + n
-        self.word = self._logs(self.word)
-        self.gram = self._logs(self.gram)
 
-    def _logs(self, counts: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-        if not counts:
-            return {}
-        matrix = np.array(list(counts.values()), dtype=np.float64)
-        logs = np.log(matrix + SMOOTHING) - np.log(matrix.sum(axis=0) + SMOOTHING * len(matrix))
-        return dict(zip(counts, logs.astype(np.float32)))
+class Model(NamedTuple):
+    languages: list[str]
+    word: Logs
+    gram: Logs
 
 
 class Scorer:
@@ -104,11 +106,29 @@ class Scorer:
         return self.model.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
-def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, vocabulary: int = VOCABULARY) -> Model:
+def _table(counted: DataFrame, key: str, languages: list[str], bound: int) -> Logs:
+    """The most frequent strings of every language, with their counts in all languages.
+
+    Each language has an equal share of ``bound``, so a rare one keeps its words; ties go by a hash of the string.
+    """
+    share = max(1, bound // max(1, len(languages)))
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), F.xxhash64(key), key)
+    chosen = counted.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= share).select(key).distinct()
+    kept = counted.join(chosen, key, "left_semi").select(key, "lang", "n").toPandas()
+    about = {r["lang"]: r for r in counted.groupBy("lang").agg(F.sum("n").alias("total"), F.count("*").alias("entries")).collect()}
+    keys, row = np.unique(kept[key].to_numpy(dtype=object), return_inverse=True) if len(kept) else (np.array([], dtype=object), [])
+    counts = np.zeros((len(keys), len(languages)))
+    counts[row, kept["lang"].map({name: i for i, name in enumerate(languages)}).to_numpy(dtype=np.int64)] = kept["n"]
+    number = lambda c: np.array([float(about[name][c]) if name in about else 0.0 for name in languages])
+    return Logs(list(keys), counts, number("total"), number("entries"))
+
+
+def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, vocabulary: int = VOCABULARY, grams_kept: int = GRAMS) -> Model:
     """Fit on ``docs(doc_id, text, lang)``: rows without id, text or lang and held-out rows never train.
 
-    About ``train_docs`` documents of each language are counted (a fixed hash of the id decides), and the
-    ``vocabulary`` most frequent words are kept, so the model has a fixed bound.  Ties of frequency go by the word.
+    About ``train_docs`` documents of each language are counted (a fixed hash of the id decides).  n-grams are counted over
+    all words of the sample.  ``vocabulary`` words and ``grams_kept`` n-grams are kept, in equal shares per language, so the
+    model has a fixed bound.
     """
     usable = docs.select("doc_id", "text", "lang").filter(
         F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id"), 5, 0)
@@ -118,26 +138,33 @@ def train(docs: DataFrame, train_docs: int = TRAIN_DOCS, vocabulary: int = VOCAB
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     sample = usable.join(sizes, "lang").filter(place < share).select("text", F.col("lang").cast("string").alias("lang"))
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(key: str, by: dict[str, Counter]) -> Iterator[pd.DataFrame]:
+        for lang, found in by.items():
+            if found:
+                yield pd.DataFrame({"lang": [lang] * len(found), key: list(found), "n": list(found.values())})
+
+    def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             by: dict[str, Counter] = {}
             for text, lang in zip(batch["text"], batch["lang"]):
                 by.setdefault(lang, Counter()).update(words(text))
-            for lang, found in by.items():
-                if found:
-                    yield pd.DataFrame({"lang": [lang] * len(found), "word": list(found), "n": list(found.values())})
-
-    counted = sample.mapInPandas(count, "lang string, word string, n bigint").groupBy("word", "lang").agg(F.sum("n").alias("n"))
-    kept = (
-        counted.groupBy("word").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-        .orderBy(F.desc("total"), "word").limit(vocabulary).select("word", F.explode("by").alias("b")).select("word", "b.lang", "b.n")
-    ).toPandas()
-    languages = sorted(kept["lang"].unique())
-    column = {name: i for i, name in enumerate(languages)}
-    counts: dict[str, np.ndarray] = {}
-    for word, lang, n in zip(kept["word"], kept["lang"], kept["n"]):
-        counts.setdefault(word, np.zeros(len(languages), dtype=np.float32))[column[lang]] = n
-    return Model(languages, counts)
+            yield from rows("word", by)
+
+    def count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            by: dict[str, Counter] = {}
+            for word, lang, n in zip(batch["word"], batch["lang"], batch["n"]):
+                here = by.setdefault(lang, Counter())
+                for length in GRAM_LENGTHS:
+                    # The length is part of the key: a boundary mark never meets a longer n-gram.
+                    for g in grams(word, length):
+                        here[g] += n
+            yield from rows("gram", by)
+
+    counted = cut(sample.mapInPandas(count_words, "lang string, word string, n bigint").groupBy("word", "lang").agg(F.sum("n").alias("n")), "word-counts")
+    by_gram = cut(counted.mapInPandas(count_grams, "lang string, gram string, n bigint").groupBy("gram", "lang").agg(F.sum("n").alias("n")), "gram-counts")
+    languages = sorted(r[0] for r in counted.select("lang").distinct().collect())
+    return Model(languages, _table(counted, "word", languages, vocabulary), _table(by_gram, "gram", languages, grams_kept))
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
