@@ -186,3 +186,46 @@ def composite_pixels(pixels: DataFrame, params: DataFrame) -> DataFrame:
         tone("red").alias("r"), tone("green").alias("g"), tone("blue").alias("b"),
         F.floor(F.round(F.least(F.lit(255.0), F.max("v") * 255.0), 6)).cast("int").alias("a"),
     )
+
+
+def packed_signal(tiles: DataFrame) -> DataFrame:
+    """``tile_signal`` of packed tiles; a row needs nothing but itself."""
+    total = F.aggregate("pixels", F.lit(0).cast("bigint"), lambda a, v: a + v)
+    return tiles.select("channel", "id", (total / F.nullif(F.size("pixels"), F.lit(0)) / scalars.FULL_RANGE).alias("mean01"))
+
+
+def packed_percentile(tiles: DataFrame, p: float = 0.95) -> DataFrame:
+    """``cell_intensity`` of packed tiles, by linear interpolation between sorted pixels; no shuffle."""
+    at = (F.size("pixels") - 1) * F.lit(p)
+    sorted_ = tiles.filter(F.size("pixels") > 0).select("channel", "id", F.array_sort("pixels").alias("s"), F.floor(at).cast("int").alias("lo"), at.alias("at"))
+    low, high = F.get("s", F.col("lo")), F.get("s", F.ceil("at").cast("int"))
+    return sorted_.select("channel", "id", (low + (high - low) * (F.col("at") - F.col("lo"))).cast("double").alias("value"))
+
+
+def packed_composite(tiles: DataFrame, params: DataFrame) -> DataFrame:
+    """``composite_pixels`` of packed tiles: ``(id, pixels)`` with one ``(r, g, b, a)`` per pixel place.
+
+    Only packed tiles are shuffled, one row per channel and cell; a cell's channels meet by id and are blended as arrays.
+    """
+    settings = params.agg(
+        F.map_from_entries(F.collect_list(F.struct("channel", F.struct("min", "max", "alpha", "red", "green", "blue")))).alias("m")
+    ).scalar()  # a tile stack has few channels
+    known = tiles.withColumn("set", settings[F.col("channel")]).filter("set IS NOT NULL")
+    cells = known.groupBy("id").agg(F.collect_list(F.struct("set", "pixels")).alias("parts"))
+
+    def coloured(part):
+        def one(value):
+            t = scalars.norm01(value.cast("double"), part["set"]["min"], part["set"]["max"])
+            v = t * scalars.clip(F.coalesce(part["set"]["alpha"], F.lit(1.0)), 0.0, 1.0)
+            tone = lambda c: scalars.clip(part["set"][c] * v, 0.0, 255.0)
+            return F.struct(tone("red").alias("r"), tone("green").alias("g"), tone("blue").alias("b"), (v * 255.0).alias("a"))
+
+        return F.transform(part["pixels"], one)
+
+    zero = F.lit(0.0)
+    had = lambda x, c: F.coalesce(x[c], zero)
+    added = lambda x, y: F.struct(*[(had(x, c) + had(y, c)).alias(c) for c in "rgb"], F.greatest(had(x, "a"), had(y, "a")).alias("a"))
+    none = F.array().cast("array<struct<r:double,g:double,b:double,a:double>>")
+    blended = F.aggregate(F.transform("parts", coloured), none, lambda acc, part: F.zip_with(acc, part, added))
+    byte = lambda x, c: F.floor(F.round(F.least(F.lit(255.0), x[c]), 6)).cast("int").alias(c)
+    return cells.select("id", F.transform(blended, lambda x: F.struct(*[byte(x, c) for c in "rgba"])).alias("pixels"))

@@ -82,13 +82,19 @@ def write_tiles(pixels: DataFrame, path: str, per_chunk: int, row_group_bytes: i
     tiles.write.option("maxRecordsPerFile", TILES_PER_FILE).option("parquet.block.size", row_group_bytes).parquet(path)
 
 
-def scan_tiles(spark: SparkSession, path: str, width: int, channels=None, chunks=None) -> DataFrame:
-    """Long pixel form ``(channel, id, y, x, value)``; row groups without a listed channel and chunk are not read."""
+def packed_tiles(spark: SparkSession, path: str, channels=None, chunks=None) -> DataFrame:
+    """``(channel, chunk_id, id, pixels)``; row groups without a listed channel and chunk are not read."""
     t = spark.read.parquet(path)
     if channels is not None:
         t = t.filter(F.col("channel").isin(list(channels)))
     if chunks is not None:
         t = t.filter(F.col("chunk_id").isin(list(chunks)))
+    return t.select("channel", "chunk_id", "id", "pixels")
+
+
+def scan_tiles(spark: SparkSession, path: str, width: int, channels=None, chunks=None) -> DataFrame:
+    """Long pixel form ``(channel, id, y, x, value)`` of ``packed_tiles``."""
+    t = packed_tiles(spark, path, channels, chunks)
     return t.select("channel", "id", "chunk_id", F.posexplode("pixels").alias("_i", "value")).select(
         "channel",
         "id",

@@ -164,6 +164,22 @@ def _(spark, sf):
     return intensity.composite_pixels(pixels(spark, sf), _params(spark, sf, True))
 
 
+@query(
+    "packed_composite",
+    f"""WITH {_PARAMS}, t AS (SELECT channel, id, value, row_number() OVER (PARTITION BY channel, id ORDER BY y, x, value) - 1 AS i FROM pixels),
+        v AS (SELECT id, i, channel, greatest(0, least(1, (value - lo) / greatest(hi - lo, 1e-8))) * a AS v FROM t JOIN pr USING (channel))
+        SELECT id, i, floor(round(least(255, sum(greatest(0, least(255, ((channel * 40) % 256) * v)))), 6))::INT AS r,
+        floor(round(least(255, sum(greatest(0, least(255, 128 * v)))), 6))::INT AS g, floor(round(least(255, sum(greatest(0, least(255, (255 - channel * 30) * v)))), 6))::INT AS b,
+        floor(round(least(255, max(v) * 255), 6))::INT AS a FROM v GROUP BY ALL""",
+    "pixels",
+)
+def _(spark, sf):
+    from tesselar.workload.source_queries import _tiles
+
+    blended = intensity.packed_composite(_tiles(spark, sf), materialise(_params(spark, sf, True), "params"))
+    return blended.select("id", F.posexplode("pixels").alias("i", "p")).select("id", "i", "p.*")
+
+
 @query(
     "display_windows",
     """WITH r AS (SELECT channel, quantile_cont(value::DOUBLE, 0.01) FILTER (WHERE value > 0) AS a, quantile_cont(value::DOUBLE, 0.99) FILTER (WHERE value > 0) AS b FROM pixels WHERE channel < 6 GROUP BY channel),

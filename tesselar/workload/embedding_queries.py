@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tesselar.functions import scalars, vectors
 from tesselar.operators import groups, histograms, neighbours, seriation
+from tesselar.operators.pairwise import nearest
 from tesselar.plans import similarity
 from tesselar.scale import materialise
 from tesselar.workload.registry import query
@@ -63,6 +64,13 @@ def _(spark, sf):
     return rounded(neighbours.neighbours_of(f, None, f, 8).select("query", "id", "similarity", "rank"))
 
 
+@query("knn_cosine_blocks", "SELECT query, id, round(similarity, 6) + 0.0 AS similarity, rank FROM nn", "nn")
+def _(spark, sf):
+    """The form for query sets of any size: blocks, their bounds, and only the pairs of blocks that can matter."""
+    units = vectors.representation(features(spark, sf))
+    return rounded(nearest(units, units, 8, limit=0).select("query", "id", F.col("score").alias("similarity"), "rank"))
+
+
 @query(
     "knn_cosine_centred",
     """SELECT query, id, round(similarity, 6) + 0.0 AS similarity, rank FROM (SELECT *, row_number() OVER

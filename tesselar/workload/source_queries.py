@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tesselar import schemas
 from tesselar.functions import scalars
-from tesselar.operators import clusters
+from tesselar.operators import clusters, intensity
 from tesselar.plans import profiles
 from tesselar.scale import shared_dir
 from tesselar.sources import annotations as ann_source
@@ -61,6 +61,22 @@ def _(spark, sf):
     )
 
 
+def _tiles(spark, sf):
+    path = _folder(spark, "tiles")
+    cell_source.write_tiles(pixels(spark, sf), path, 64)
+    return cell_source.packed_tiles(spark, path)
+
+
+@query("packed_tile_signal", "SELECT channel, id, round(avg(value) / 65535, 6) AS mean01 FROM pixels GROUP BY ALL", "pixels")
+def _(spark, sf):
+    return rounded(intensity.packed_signal(_tiles(spark, sf)))
+
+
+@query("packed_cell_p95", "SELECT channel, id, round(quantile_cont(value, 0.95), 6) AS value FROM pixels GROUP BY ALL", "pixels")
+def _(spark, sf):
+    return rounded(intensity.packed_percentile(_tiles(spark, sf)))
+
+
 def _channel_rows(spark, sf):
     k, size = F.col("p_partkey"), F.col("p_size")
     ident = F.floor(k / 2).cast("bigint").cast("string")
