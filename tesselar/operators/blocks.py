@@ -143,8 +143,7 @@ def _search(pairs: DataFrame, queries: DataFrame, targets: DataFrame, k: int) ->
 
 def block_pairs(queries: DataFrame, targets: DataFrame, k: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Blocked queries and targets, the hits of every query block's first target block, and the other pairs to read."""
-    rows = targets.count()
-    pivots = _pivots(targets, rows) if rows else np.zeros((1, 1))
+    pivots = _pivots(targets, targets.count())
     q, t = _blocks(queries, pivots), _blocks(targets, pivots)
     about_q, about_t = _summaries(q), _summaries(t)
     best = pairwise(about_q, about_t, _home_kernel(k), _HITS).groupBy("query").agg(F.max_by("id", "score").alias("t_block"))
@@ -160,5 +159,7 @@ def block_pairs(queries: DataFrame, targets: DataFrame, k: int) -> tuple[DataFra
 
 def nearest_by_blocks(queries: DataFrame, targets: DataFrame, k: int) -> DataFrame:
     """(query, id, score) with the top-k of every query among them, self excluded; more rows may be there."""
+    if targets.isEmpty():
+        return targets.sparkSession.createDataFrame([], _HITS)
     q, t, hits, pairs = block_pairs(queries, targets, k)
     return hits.unionByName(_search(pairs, q, t, k))

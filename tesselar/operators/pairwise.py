@@ -151,18 +151,6 @@ def keep_topk(k: int) -> Callable[[pa.Table], pa.Table]:
     return run
 
 
-def matvec_kernel() -> Kernel:
-    """Rows of clip(XXᵀ, 0, 1)·v; the target vector carries its entry of v as last component."""
-
-    def run(qid, q, vid, v):
-        total = np.zeros(len(q))
-        for s in range(0, len(q), QUERY_SLICE):
-            total[s:s + QUERY_SLICE] = np.clip(q[s:s + QUERY_SLICE] @ v[:, :-1].T, 0.0, 1.0) @ v[:, -1]
-        return pa.RecordBatch.from_arrays([pa.array(qid), pa.array(total)], names=["id", "value"])
-
-    return run
-
-
 def gathered(
     results: Iterator[pa.RecordBatch], combine: Callable[[pa.Table], pa.Table] | None
 ) -> Iterator[pa.RecordBatch]:

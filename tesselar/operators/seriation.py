@@ -4,16 +4,25 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
-from tesselar.operators.pairwise import matvec_kernel, pairwise
+from tesselar.functions import vectors
+from tesselar.functions.vectors import matrix
+from tesselar.operators.pairwise import BLOCK_ROWS
 from tesselar.scale import materialise, ranked
 
 DENSE_LIMIT = 1500  # members up to which one task solves a group exactly
 STEPS = 40  # Lanczos steps before the process starts again from the best vector so far
 RESTARTS = 50
 RESIDUAL = 1e-9
+TINY = 1e-12  # of the largest eigenvalue: a vector this short is rounding
+COS_45 = 0.7071067811865476
 
 
 def _dense(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -26,75 +35,152 @@ def _dense(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"group": pdf["group"], "id": pdf["id"], "fiedler": f})
 
 
-def _lanczos(m: DataFrame) -> DataFrame:
-    """Fiedler vector of one large group ``(id, vec)`` as ``(id, fiedler)``.
+def _free_groups(members: DataFrame) -> DataFrame:
+    """Groups whose similarities need no clipping: every member within 45 degrees of the group's direction."""
+    centre = materialise(members.groupBy("group").agg(vectors.mean_vector(F.col("vec")).alias("mean")).select("group", vectors.unit(F.col("mean")).alias("centre")), "centres")
+    inside = members.join(centre, "group").select("group", vectors.dot("vec", "centre").alias("c"))
+    return materialise(inside.groupBy("group").agg((F.min("c") >= COS_45).alias("free")), "free")
 
-    Lanczos on (2·max degree)·I − L, orthogonal to the constant null vector.  All n-vectors are columns
-    of a written table; the driver sees a few dot products per step.
+
+class _Products:
+    """Products of the groups' similarity matrices with one vector per group, all groups in one plan.
+
+    Where nothing is clipped the matrix is X·Xᵀ, and the product is one sum of vectors per group.  Elsewhere the members
+    meet block by block inside their group; the packed blocks are written once.
+    """
+
+    def __init__(self, members: DataFrame, sizes: DataFrame):
+        kind = _free_groups(members)
+        self.free = members.join(kind.filter("free"), "group", "left_semi")
+        bound = members.join(kind.filter("NOT free"), "group", "left_semi")
+        blocks = sizes.select("group", F.ceil(F.col("n") / BLOCK_ROWS).cast("bigint").alias("blocks"))
+        placed = bound.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        packed = placed.groupBy("group", "block", "blocks").agg(F.sort_array(F.collect_list(F.struct("id", "vec"))).alias("rows"))
+        self.packed = materialise(packed, "packed")
+        self.home = materialise(placed.select("group", "id", "block"), "home")
+
+    def times(self, table: DataFrame, column: str) -> DataFrame:
+        """(group, id, value) of the product with ``column`` of ``table(group, id, …)``."""
+        q = table.select("group", "id", F.col(column).alias("q"))
+        own = self.free.join(q, ["group", "id"])
+        scaled = F.transform("vec", lambda x: x * F.col("q"))
+        total = own.groupBy("group").agg(vector_to_array(Summarizer.sum(array_to_vector(scaled))).alias("total"))
+        free = self.free.join(total, "group").select("group", "id", vectors.dot("vec", "total").alias("value"))
+        # The numbers of a block, in the order of its packed rows.
+        entries = q.join(self.home, ["group", "id"]).groupBy("group", "block").agg(F.sort_array(F.collect_list(F.struct("id", "q"))).alias("q"))
+        theirs = self.packed.join(entries, ["group", "block"]).select("group", "block", F.col("rows.vec").alias("there"), F.col("q.q").alias("q"))
+        mine = self.packed.select("group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.col("rows.id").alias("ids"), F.col("rows.vec").alias("here"))
+
+        def work(batches):
+            for b in batches:
+                for i in range(b.num_rows):
+                    ids = b.column(1)[i].values.to_numpy()
+                    x, y, w = matrix(b.column(2)[i].values), matrix(b.column(3)[i].values), b.column(4)[i].values.to_numpy()
+                    value = np.concatenate([np.clip(x[s : s + 512] @ y.T, 0.0, 1.0) @ w for s in range(0, len(x), 512)])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(ids), b.column(0)[i].as_py())), pa.array(ids), pa.array(value)], names=["group", "id", "value"],
+                    )
+
+        met = mine.join(theirs, ["group", "block"]).select("group", "ids", "here", "there", "q")
+        part = met.mapInArrow(work, "group bigint, id bigint, value double").groupBy("group", "id").agg(F.sum("value").alias("value"))
+        return free.unionByName(part)
+
+
+_RITZ = T.StructType([T.StructField("y", T.ArrayType(T.DoubleType())), T.StructField("rest", T.DoubleType())])
+
+
+@arrow_udf(_RITZ)
+def _ritz(alphas: pa.Array, betas: pa.Array) -> pa.Array:
+    """Leading eigenvector of each tridiagonal matrix, and what the last step leaves of it."""
+    ys, rests = [], []
+    for a, b in zip(alphas.to_pylist(), betas.to_pylist()):
+        y = np.linalg.eigh(np.diag(a) + np.diag(b[:-1], 1) + np.diag(b[:-1], -1))[1][:, -1]
+        ys.append(y.tolist())
+        rests.append(float(b[-1] * abs(y[-1])))
+    return pa.StructArray.from_arrays([pa.array(ys, pa.list_(pa.float64())), pa.array(rests, pa.float64())], names=["y", "rest"])
+
+
+def _in_order(steps: list[DataFrame], name: str) -> DataFrame:
+    """One array per group from the numbers ``(group, value, j)`` of all steps."""
+    rows = steps[0]
+    for more in steps[1:]:
+        rows = rows.unionByName(more)
+    pairs = F.array_sort(F.collect_list(F.struct("j", F.coalesce("value", F.lit(0.0)).alias("value"))))
+    return rows.groupBy("group").agg(F.transform(pairs, lambda x: x["value"]).alias(name))
+
+
+def _lanczos(members: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Fiedler values ``(group, id, fiedler)`` of all given groups together.
+
+    Lanczos on (2·max degree)·I − L, orthogonal to the constant null vector.  All vectors are columns of a written table,
+    the few numbers per group and step are written tables too; the driver sees how many groups have not settled.
     """
-    def times(base: DataFrame, col: str) -> DataFrame:
-        target = base.select("id", F.concat("vec", F.array(F.col(col))).alias("vec"))
-        return pairwise(m, target, matvec_kernel(), "id bigint, value double").groupBy("id").agg(F.sum("value").alias("sv"))
-
-    n = m.count()
-    table = materialise(m.withColumn("one", F.lit(1.0)), "members")
-    table = materialise(table.join(times(table, "one").withColumnRenamed("sv", "degree"), "id").drop("one"), "degree")
-    c = 2.0 * table.agg(F.max("degree")).first()[0]
-
-    def orthonormal(df: DataFrame, w: str, cols: list[str], out: str) -> tuple[DataFrame, float]:
-        """Remove the constant and the earlier columns from ``w`` twice, then normalise it."""
-        for _ in range(2):
-            dots = df.agg(F.avg(w), *[F.sum(F.col(w) * F.col(q)) for q in cols]).first()
-            value = F.col(w) - dots[0]
-            for q, d in zip(cols, dots[1:]):
-                value = value - F.col(q) * d
-            df = df.withColumn(w, value)
-        norm = df.agg(F.sqrt(F.sum(F.col(w) * F.col(w)))).first()[0]
-        return df.withColumn(out, F.col(w) / (norm or 1.0)).drop(w), norm
-
-    seed = (F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003.0)
-    table, _ = orthonormal(table.withColumn("w", seed), "w", [], "q0")
-    table = materialise(table, "basis")
+    products = _Products(members, sizes)
+    base = members.select("group", "id").withColumn("one", F.lit(1.0))
+    degree = products.times(base, "one").withColumnRenamed("value", "degree")
+    top = degree.groupBy("group").agg((2.0 * F.max("degree")).alias("c"))
+    table = materialise(degree.join(materialise(top, "top"), "group").join(sizes, "group"), "degree")
+
+    def orthonormal(df: DataFrame, columns: list[str], out: str) -> tuple[DataFrame, DataFrame]:
+        """Frees ``w`` of the constant and of earlier columns, twice, and scales it; also the norms per group."""
+        norms = None
+        for last in (False, True):
+            sums = [F.sum("w").alias("m"), *[F.sum(F.col("w") * F.col(q)).alias(f"d_{q}") for q in columns], F.sum(F.col("w") * F.col("w")).alias("w2")]
+            dots = materialise(df.groupBy("group", "n").agg(*sums), "dots").withColumn("m", F.col("m") / F.col("n"))
+            value = F.col("w") - F.col("m") - sum((F.col(q) * F.col(f"d_{q}") for q in columns), F.lit(0.0))
+            if last:
+                left = F.col("w2") - F.col("n") * F.col("m") * F.col("m") - sum((F.col(f"d_{q}") * F.col(f"d_{q}") for q in columns), F.lit(0.0))
+                dots = dots.withColumn("beta", F.sqrt(F.greatest(F.lit(0.0), left)))
+                norms = dots.select("group", "beta")
+                value = F.when(F.col("beta") > TINY * F.col("c"), value / F.col("beta")).otherwise(F.lit(0.0))
+            kept = [c for c in df.columns if c not in ("w", out)]
+            df = df.join(dots.drop("n"), "group").select(*kept, value.alias(out if last else "w"))
+            df = materialise(df, "basis")
+        return df, norms
+
+    seed = F.pmod(F.xxhash64("id"), F.lit(1_000_003)) / 1_000_003.0
+    table, _ = orthonormal(table.withColumn("w", F.when(F.col("n") > 1, seed).otherwise(F.lit(0.0)) * F.col("c")), [], "q0")
+    done = None
     for _ in range(RESTARTS):
         alphas, betas = [], []
-        for j in range(min(STEPS, n - 1)):
-            cols = [f"q{i}" for i in range(j + 1)]
+        for j in range(STEPS):
+            columns = [f"q{i}" for i in range(j + 1)]
             q = F.col(f"q{j}")
-            step = materialise(table.join(times(table, f"q{j}"), "id").withColumn("w", (F.lit(c) - F.col("degree")) * q + F.col("sv")).drop("sv"), "step")
-            alphas.append(step.agg(F.sum(F.col("w") * q)).first()[0])
-            table, beta = orthonormal(step, "w", cols, f"q{j + 1}")
-            table = materialise(table, "basis")
-            tri = np.diag(alphas) + np.diag(betas, 1) + np.diag(betas, -1)
-            y = np.linalg.eigh(tri)[1][:, -1]
-            betas.append(beta)
-            settled = beta * abs(y[-1]) <= RESIDUAL * c or beta <= 1e-12 * c
-            if settled:
-                break
-        f = sum((F.col(f"q{i}") * float(v) for i, v in enumerate(y)), F.lit(0.0))
-        if settled or n < 2:
+            with_s = table.join(products.times(table, f"q{j}"), ["group", "id"])
+            step = materialise(with_s.withColumn("w", (F.col("c") - F.col("degree")) * q + F.col("value")).drop("value"), "step")
+            alphas.append(materialise(step.groupBy("group").agg(F.sum(F.col("w") * q).alias("value")).withColumn("j", F.lit(j)), "alpha"))
+            table, beta = orthonormal(step, columns, f"q{j + 1}")
+            betas.append(beta.select("group", F.col("beta").alias("value"), F.lit(j).alias("j")))
+        found = _in_order(alphas, "a").join(_in_order(betas, "b"), "group").select("group", _ritz("a", "b").alias("r")).select("group", "r.*")
+        f = sum((F.col(f"q{i}") * F.col("y")[i] for i in range(STEPS)), F.lit(0.0))
+        ritz = materialise(
+            table.join(materialise(found, "ritz"), "group").select("group", "id", "degree", "c", "n", f.alias("w"), (F.col("rest") <= RESIDUAL * F.col("c")).alias("settled")), "vectors",
+        )
+        settled = ritz.filter("settled").select("group", "id", F.col("w").alias("f"))
+        done = settled if done is None else done.unionByName(settled)
+        rest = ritz.filter("NOT settled").drop("settled")
+        if rest.isEmpty():
             break
-        table, _ = orthonormal(table.select("id", "vec", "degree", f.alias("w")), "w", [], "q0")
-        table = materialise(table, "basis")
+        table, _ = orthonormal(rest, [], "q0")
     else:
-        raise RuntimeError(f"the order of a group of {n} members did not settle in {RESTARTS} restarts")
-    out = table.select("id", f.alias("f"))
-    sign = out.agg(F.min_by("f", "id")).first()[0]
-    return out.select("id", (F.col("f") * (-1.0 if sign < 0 else 1.0)).alias("fiedler"))
+        raise RuntimeError(f"the order of {rest.select('group').distinct().count()} groups did not settle in {RESTARTS} restarts")
+    sign = done.groupBy("group").agg(F.min_by("f", "id").alias("first"))
+    return done.join(sign, "group").select("group", "id", (F.col("f") * F.when(F.col("first") < 0, -1.0).otherwise(1.0)).alias("fiedler"))
 
 
 def seriation(group_members: DataFrame, dense_limit: int = DENSE_LIMIT) -> DataFrame:
     """``(group, id, position)`` by Fiedler value, ties by id; sign fixed so the lowest id is not negative.
 
-    Groups up to ``dense_limit`` members are solved whole, each in one task; a larger one is solved
-    by distributed matrix–vector products.
+    Groups up to ``dense_limit`` members fit in a task and are solved whole, each in one; larger ones are solved together
+    by distributed matrix–vector products, to the same residual whatever their number.
     """
     members = materialise(group_members.select(F.col("group").cast("bigint").alias("group"), "id", "vec"), "members")
     sizes = materialise(members.groupBy("group").agg(F.count("*").alias("n")), "sizes")
     small = members.join(sizes.filter(F.col("n") <= dense_limit), "group", "left_semi")
     values = small.groupBy("group").applyInPandas(_dense, "group bigint, id bigint, fiedler double")
-    for (g,) in sizes.filter(F.col("n") > dense_limit).select("group").collect():
-        one = _lanczos(members.filter(F.col("group") == g).select("id", "vec"))
-        values = values.unionByName(one.select(F.lit(g).cast("bigint").alias("group"), "id", "fiedler"))
+    large = sizes.filter(F.col("n") > dense_limit)
+    if not large.isEmpty():
+        values = values.unionByName(_lanczos(members.join(large, "group", "left_semi"), large))
     values = values.withColumn("_f", F.round("fiedler", 9))
     return ranked(values, ["group"], ["_f", "id"], "position").drop("_f")
 
