@@ -1,8 +1,11 @@
 """Toxicity by a factorization machine over hashed terms.
 
-Terms are words and word beginnings, hashed into buckets.  A document is the set of its buckets, so the length of a text
-does not dilute an insult.  Buckets that tell the classes apart become features; the machine learns a weight and a short
-vector for each, and the products of vectors score pairs of terms that stand in one text.
+Terms are words and word beginnings, hashed into buckets.  A document is the set of its buckets.  The machine learns a
+weight and a short vector for every bucket of its training rows; products of vectors score pairs of terms that stand in
+one text, so a pair can tell what neither term tells alone.
+
+Weights move by Adam, each as fast as its bucket alone speaks for a class, so chance finds among rare words stay near
+zero; vectors move by plain gradient steps of bounded length and decay, which only pairs that recur outgrow.
 """
 
 from __future__ import annotations
@@ -10,6 +13,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -18,9 +22,16 @@ from pyspark.sql import functions as F
 
 from tesselar.llm.common import AZ_LOWER, cut, held_out
 
-# Labelled rows that the machine is fitted on at most (the first in hash order), the hash space and the features kept.
-TRAIN_ROWS, BUCKETS, FEATURES = 30_000, 1 << 20, 2048
-FACTORS, EPOCHS, BATCH, RATE, PENALTY, SEED = 8, 12, 256, 0.02, 1e-5, 7
+# Labelled rows that the machine is fitted on at most (the first in hash order), and the hash space.
+TRAIN_ROWS, BUCKETS = 8_000, 1 << 20
+FACTORS, EPOCHS, BATCH, SEED, SPREAD = 8, 30, 256, 7, 0.02
+# Steps of weights and vectors, how both fade, and how much more a toxic row counts.
+WEIGHT_RATE, VECTOR_RATE, SLOWING, WEIGHT_DECAY, VECTOR_DECAY, TOXIC_SHARE = 0.05, 0.3, 0.05, 1e-4, 0.03, 4.0
+# z of the log odds ratio at which a weight moves at full speed, and how steeply speed falls below it.
+TRUSTED, STEEPNESS = 3.5, 6
+# Terms of a text up to which its pairs count in full, the share of rows that tells when to stop, and for how many passes
+# they may show no progress.
+PAIR_TERMS, CHECKED, PATIENCE = 200, 0.1, 4
 PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.7
 CACHE_WORDS = 1_000_000
@@ -34,27 +45,26 @@ def word_buckets(word: str) -> list[int]:
 
 
 class Terms:
-    """Text → sorted different buckets; with ``chosen`` (bucket → feature) only the features, by their number."""
+    """Text → sorted different buckets; with ``place`` (bucket → row of the model, −1 for none) the model's rows."""
 
-    def __init__(self, chosen: dict[int, int] | None = None):
-        self.chosen, self.known = chosen, {}
+    def __init__(self, place: np.ndarray | None = None):
+        self.place, self.known = place, {}
 
     def of_word(self, word: str) -> tuple[int, ...]:
         found = self.known.get(word)
         if found is None:
             found = word_buckets(word)
-            if self.chosen is not None:
-                found = [self.chosen[b] for b in found if b in self.chosen]
+            if self.place is not None:
+                found = [r for r in self.place[found].tolist() if r >= 0]
             if len(self.known) >= CACHE_WORDS:
                 self.known.clear()
             self.known[word] = found = tuple(found)
         return found
 
     def __call__(self, text: str | None) -> np.ndarray:
-        some: set[int] = set()
-        for word in set(_WORD.findall((text or "").translate(AZ_LOWER))):
-            some.update(self.of_word(word))
-        return np.array(sorted(some), dtype=np.int32)
+        of_word = self.of_word
+        some = {b for word in set(_WORD.findall((text or "").translate(AZ_LOWER))) for b in of_word(word)}
+        return np.sort(np.fromiter(some, dtype=np.int32, count=len(some)))
 
 
 def training_labels(labels: DataFrame, train_rows: int) -> DataFrame:
@@ -64,99 +74,127 @@ def training_labels(labels: DataFrame, train_rows: int) -> DataFrame:
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
 
 
-def choose_features(sample: DataFrame, features: int) -> dict[int, int]:
-    """The buckets whose presence differs most between the classes, by z of the log odds ratio."""
+class Machine(NamedTuple):
+    """Bias, and the bucket, weight and vector of every row of the model."""
+
+    bias: float
+    buckets: np.ndarray
+    weights: np.ndarray
+    vectors: np.ndarray
+
+    def margins(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Log odds of texts given by rows of the model."""
+        size = np.array([len(r) for r in rows], dtype=np.int64)
+        at = np.concatenate([*rows, [len(self.weights)]]).astype(np.int64)  # one row more, so that a text may be empty
+        w, v = np.append(self.weights, 0.0), np.concatenate((self.vectors, np.zeros((1, self.vectors.shape[1]))))
+        return _margins(self.bias, w[at], v[at], size)[0]
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms = Terms()
-        for batch in batches:
-            parts = [(terms(t), y) for t, y in zip(batch["text"], batch["toxic"])]
-            for y in (0, 1):
-                got = [p for p, z in parts if z == y and len(p)]
-                if got:
-                    bucket, n = np.unique(np.concatenate(got), return_counts=True)
-                    yield pd.DataFrame({"bucket": bucket, "neg": n * (1 - y), "pos": n * y})
-
-    counted = sample.select("text", "toxic").mapInPandas(count, "bucket int, neg bigint, pos bigint").groupBy("bucket").agg(
-        F.sum("neg").alias("neg"), F.sum("pos").alias("pos"),
-    )
-    total = sample.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("p")).first()
-    rest_p, rest_n = F.lit(total["p"]) - F.col("pos"), F.lit(total["n"] - total["p"]) - F.col("neg")
-    half = lambda c: c + F.lit(0.5)
-    odds = F.log(half(F.col("pos")) / half(rest_p)) - F.log(half(F.col("neg")) / half(rest_n))
-    z = F.abs(odds / F.sqrt(1 / half(F.col("pos")) + 1 / half(F.col("neg"))))
-    top = counted.filter(F.col("pos") + F.col("neg") >= 3).orderBy(F.desc(z), "bucket").limit(features).select("bucket").toPandas()
-    return {int(b): i for i, b in enumerate(top["bucket"])}
-
-
-def _margin(x: np.ndarray, bias: float, w: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    s = x @ v
-    return bias + x @ w + 0.5 * (s * s - x @ (v * v)).sum(axis=1), s
-
-
-def fit(rows: list[np.ndarray], y: np.ndarray, features: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """Adam on the logistic loss; 0/1 features make x² = x."""
-    rng = np.random.default_rng(SEED)
-    share = np.clip(y.mean() if len(y) else 0.0, 1e-3, 1 - 1e-3)
-    params = [np.array([np.log(share / (1 - share))]), np.zeros(features), rng.normal(0, 0.01, (features, FACTORS))]
-    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    step = 0
-    for _ in range(EPOCHS):
-        order = rng.permutation(len(rows))
-        for at in range(0, len(order), BATCH):
-            some = order[at : at + BATCH]
-            x = np.zeros((len(some), features))
-            for i, r in enumerate(some):
-                x[i, rows[r]] = 1.0
-            m, s = _margin(x, params[0][0], params[1], params[2])
-            g = (1 / (1 + np.exp(-np.clip(m, -30, 30))) - y[some]) / len(some)
-            xg = x.T @ g
-            grads = [np.array([g.sum()]), xg + PENALTY * params[1], x.T @ (g[:, None] * s) - xg[:, None] * params[2] + PENALTY * params[2]]
-            step += 1
-            for p, a, b, d in zip(params, first, second, grads):
-                a += 0.1 * (d - a)
-                b += 0.001 * (d * d - b)
-                p -= RATE * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
-    return float(params[0][0]), params[1], params[2]
 
+def _margins(bias: float, w: np.ndarray, v: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Margins, sums of vectors and weight of the pairs per text; ``w`` and ``v`` have one row more than the texts."""
+    first = np.cumsum(size) - size
+    some = size > 0
+    sums = lambda x: np.add.reduceat(x, first, axis=0) * (some[:, None] if x.ndim == 2 else some)
+    s, pairs = sums(v), 1.0 / np.maximum(1.0, size / PAIR_TERMS)
+    return bias + sums(w) + 0.5 * pairs * ((s * s).sum(axis=1) - sums((v * v).sum(axis=1))), s, pairs
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, features: int = FEATURES) -> tuple:
-    """Fit on ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``: (bucket → feature, bias, weights, vectors).
 
-    The sample has at most ``train_rows`` labels, which bounds what is broadcast and what the one fitting task reads:
-    each row brings at most ``features`` small numbers.  Without any usable label every score is one half.
+def _speeds(place: np.ndarray, row: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """How fast each weight may move: by the z of the bucket's log odds ratio, never quite zero."""
+    pos, neg = (np.bincount(place, weights=(y[row] == c).astype(np.float64), minlength=n) for c in (1, 0))
+    rest_p, rest_n = y.sum() - pos, (y == 0).sum() - neg
+    odds = np.log((pos + 0.5) / (rest_p + 0.5)) - np.log((neg + 0.5) / (rest_n + 0.5))
+    return np.minimum(1.0, (np.abs(odds) / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5)) / TRUSTED) ** STEEPNESS)
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS) -> Machine:
+    """Logistic loss over sparse rows of buckets; 0/1 features make x² = x.  The best pass by rows set aside counts."""
+    rng = np.random.default_rng(SEED)
+    size = np.array([len(r) for r in rows])
+    buckets, place = np.unique(np.concatenate(rows), return_inverse=True)
+    n, ends = len(buckets), np.cumsum(size)
+    speed = _speeds(place, np.repeat(np.arange(len(rows)), size), y, n)
+    rows = [place[e - s : e].astype(np.int32) for s, e in zip(size, ends)]
+    order = rng.permutation(len(rows))
+    aside, used = order[: int(CHECKED * len(rows))], order[int(CHECKED * len(rows)) :]
+    batches = []
+    for at in range(0, len(used), BATCH):
+        some = used[at : at + BATCH]
+        here, inverse = np.unique(np.concatenate([rows[i] for i in some]), return_inverse=True)
+        batches.append((some, here, inverse.astype(np.int32)))
+    share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+    bias, w, v = np.log(share / (1 - share)), np.zeros(n), rng.normal(0, SPREAD, (n, factors))
+    # Adam's running means, of the bias last.
+    mean, square, step = np.zeros(n + 1), np.zeros(n + 1), 0
+    best, kept, idle = np.inf, None, 0
+
+    def move(at: np.ndarray, g: np.ndarray) -> np.ndarray:
+        mean[at] += 0.1 * (g - mean[at])
+        square[at] += 0.001 * (g * g - square[at])
+        return mean[at] / (1 - 0.9**step) / (np.sqrt(square[at] / (1 - 0.999**step)) + 1e-8)
+
+    for epoch in range(EPOCHS):
+        pace = 1.0 / (1.0 + SLOWING * epoch)
+        for b in rng.permutation(len(batches)):
+            some, here, inverse = batches[b]
+            count, wide = size[some], len(here)
+            m, s, pairs = _margins(bias, np.append(w[here][inverse], 0.0), np.concatenate((v[here][inverse], np.zeros((1, factors)))), count)
+            g = (1 / (1 + np.exp(-np.clip(m, -30, 30))) - y[some]) * np.where(y[some] > 0, TOXIC_SHARE, 1.0) / len(some)
+            text = np.repeat(np.arange(len(some)), count)
+            total = lambda x: np.bincount(inverse, weights=x[text], minlength=wide)  # noqa: B023, E731
+            of_pairs = g * pairs
+            gv = np.stack([total(of_pairs * s[:, f]) for f in range(factors)], axis=1) if factors else np.zeros((wide, 0))
+            gv -= total(of_pairs)[:, None] * v[here]
+            step += 1
+            bias -= pace * WEIGHT_RATE * move(np.array([n]), np.array([g.sum()]))[0]
+            w[here] -= WEIGHT_DECAY * w[here] + pace * WEIGHT_RATE * speed[here] * move(here, total(g))
+            v[here] -= pace * VECTOR_RATE * gv / max(1.0, np.sqrt((gv * gv).sum()))
+            v *= 1.0 - pace * VECTOR_RATE * VECTOR_DECAY
+        now = Machine(float(bias), buckets, w, v)
+        if len(aside):
+            z = now.margins([rows[i] for i in aside])
+            loss = np.logaddexp(0, np.where(y[aside] > 0, -z, z)).mean()
+            idle = 0 if loss < best else idle + 1
+        if not len(aside) or loss < best:
+            best, kept = loss if len(aside) else best, Machine(float(bias), buckets, w.copy(), v.copy())
+        if idle > PATIENCE:
+            break
+    return kept
+
+
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, factors: int = FACTORS) -> Machine:
+    """Fit on ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``.
+
+    The sample has at most ``train_rows`` documents, one row each (the least text of a repeated id); it is the only bound.
+    One task fits the machine on the different buckets of those rows.  Without any usable label every score is one half.
     """
     chosen_rows = cut(training_labels(labels, train_rows), "toxic-labels")
     # At most train_rows pairs of numbers.
-    sample = cut(docs.select("doc_id", "text").join(F.broadcast(chosen_rows), "doc_id").select("text", "toxic"), "toxic-sample")
-    chosen = choose_features(sample, features)
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen_rows), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic"))
+    sample = cut(found.select("text", "toxic"), "toxic-sample")
 
     def reduce(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms = Terms(chosen)
+        terms = Terms()
         for batch in batches:
-            yield pd.DataFrame({"x": [terms(t) for t in batch["text"]], "y": batch["toxic"]})
+            yield pd.DataFrame({"x": [terms(t).tobytes() for t in batch["text"]], "y": batch["toxic"]})
 
     def learn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows, ys = [], []
-        for batch in batches:
-            rows += [np.asarray(x, dtype=np.int32) for x in batch["x"]]
-            ys += list(batch["y"])
-        if not rows:
-            yield pd.DataFrame({"bias": [0.0], "w": [b""], "v": [b""]})
-            return
-        # The rows arrive in any order; sorting makes the fit repeatable.
-        order = sorted(range(len(rows)), key=lambda i: (rows[i].tobytes(), ys[i]))
-        bias, w, v = fit([rows[i] for i in order], np.array([float(ys[i]) for i in order]), max(1, len(chosen)))
-        yield pd.DataFrame({"bias": [bias], "w": [w.tobytes()], "v": [v.tobytes()]})
-
-    small = sample.mapInPandas(reduce, "x array<int>, y int")
-    model = small.repartition(1).mapInPandas(learn, "bias double, w binary, v binary").first()
-    if model is None or not model["w"]:
-        return {}, 0.0, np.zeros(1), np.zeros((1, FACTORS))
-    return chosen, model["bias"], np.frombuffer(model["w"]), np.frombuffer(model["v"]).reshape(-1, FACTORS)
-
-
-def score(docs: DataFrame, model: tuple) -> DataFrame:
+        rows = [row for batch in batches for row in zip(batch["x"], batch["y"])]
+        if rows:
+            # The rows arrive in any order; sorting makes the fit repeatable.
+            rows.sort()
+            m = fit([np.frombuffer(x, dtype=np.int32) for x, _ in rows], np.array([float(y) for _, y in rows]), factors)
+            yield pd.DataFrame({"bias": [m.bias], "b": [m.buckets.astype(np.int32).tobytes()], "w": [m.weights.astype(np.float32).tobytes()], "v": [m.vectors.astype(np.float32).tobytes()]})
+
+    small = sample.mapInPandas(reduce, "x binary, y int")
+    got = small.repartition(1).mapInPandas(learn, "bias double, b binary, w binary, v binary").collect()
+    if not got:
+        return Machine(0.0, np.zeros(0, dtype=np.int32), np.zeros(0), np.zeros((0, factors)))
+    number = lambda c, kind: np.frombuffer(got[0][c], dtype=kind)
+    return Machine(got[0]["bias"], number("b", np.int32), number("w", np.float32), number("v", np.float32).reshape(-1, factors) if factors else np.zeros((len(number("b", np.int32)), 0)))
+
+
+def score(docs: DataFrame, model: Machine) -> DataFrame:
     """All columns of ``docs`` plus toxicity (double, 0 to 1), which replaces a column of that name.
 
     Whole texts are read; NULL and empty texts get the score of a text without any term.  Nothing but the text enters
@@ -167,15 +205,12 @@ def score(docs: DataFrame, model: tuple) -> DataFrame:
 
     @F.pandas_udf("double")
     def toxicity(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        chosen, bias, w, v = shared.value
-        terms = Terms(chosen)
+        machine = shared.value
+        place = np.full(BUCKETS, -1, dtype=np.int32)
+        place[machine.buckets] = np.arange(len(machine.buckets))
+        terms = Terms(place)
         for batch in texts:
-            out = np.empty(len(batch))
-            for i, text in enumerate(batch):
-                x = terms(text)
-                s = v[x].sum(axis=0)
-                m = bias + w[x].sum() + 0.5 * (s * s - (v[x] ** 2).sum(axis=0)).sum()
-                out[i] = 1 / (1 + np.exp(-np.clip(m, -500, 500)))
-            yield pd.Series(out)
+            z = [machine.margins([terms(t) for t in batch.iloc[i : i + 256]]) for i in range(0, len(batch), 256)]
+            yield pd.Series(1 / (1 + np.exp(-np.clip(np.concatenate(z), -500, 500))) if z else [], dtype=np.float64)
 
     return docs.withColumn("toxicity", toxicity(F.col("text")))
