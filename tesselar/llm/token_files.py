@@ -13,6 +13,7 @@ size); magic.
 from __future__ import annotations
 
 import array
+import itertools
 import os
 import re
 import uuid
@@ -21,6 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,11 +33,13 @@ from tesselar.scale import shared_dir
 MAGIC = b"TSLIDS01"
 BLOCK = 4096
 # Ids after which a file is closed, blocks decoded at once, bytes of texts encoded at once, ids per batch of rows.
-FILE_IDS, BLOCKS_AT_ONCE, TEXT_BYTES, ROW_IDS = 8 << 20, 256, 1 << 20, 1 << 20
+FILE_IDS, BLOCKS_AT_ONCE, TEXT_BYTES, ROW_IDS = 8 << 20, 256, 12 << 20, 1 << 20
 # Files per run of the two-level offset sum, and most tasks that read files.
 RUN, READERS = 1024, 16_384
-# Encoded pieces that a worker remembers, and the longest one worth remembering.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
+# Pieces per call of the library.
+PIECES_AT_ONCE = 500
+# Mark at the end of the last entry of a word (a fixed value of the vocabulary's format).
+PIECE_END = "</w>"
 
 # Ids per word by selector (fixed values of the code); the width is what 60 bits give each, none for runs of zeros.
 COUNTS = np.array([240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -52,44 +56,69 @@ class Packed(NamedTuple):
     escape_offsets: np.ndarray
 
 
-def pack(ids: np.ndarray, block: int = BLOCK) -> Packed:
-    """Code of unsigned 32-bit ids.  A word takes the selector with the fewest bits per id, escapes included."""
-    n = len(ids)
-    ids = ids.astype(np.int64)
-    place = np.arange(n)
-    block_end = np.minimum((place // block + 1) * block, n)
-    best, chosen = np.full(n, np.inf, dtype=np.float32), np.zeros(n, dtype=np.int8)
-    for s, (count, largest) in enumerate(zip(COUNTS, LARGEST)):
-        over = np.concatenate(([0], np.cumsum(ids > largest)))
-        end = np.minimum(place + count, block_end)
+def _selectors(rows: np.ndarray, block: int) -> np.ndarray:
+    """For a word that begins at each id: the selector with the fewest bits per id, escapes included.
+
+    ``rows`` has one block per row, with zeros behind it for as many ids as a word may hold.  Widths that fit fewer than
+    one id in four are not tried.
+    """
+    own = rows[:, :block]
+    best = np.full((len(rows), block), np.inf, dtype=np.float32)
+    chosen = np.zeros((len(rows), block), dtype=np.int8)
+    before = np.zeros((len(rows), rows.shape[1] + 1), dtype=np.int16 if rows.shape[1] < 1 << 15 else np.int32)
+    for s, (count, largest) in enumerate(zip(COUNTS.tolist(), LARGEST.tolist())):
+        if 4 * np.count_nonzero(own <= min(largest, 2**32 - 1)) < own.size:
+            continue
+        np.cumsum(rows > min(largest, 2**32 - 1), axis=1, dtype=before.dtype, out=before[:, 1:])
+        escapes = before[:, count : count + block] - before[:, :block]
         # A run of zeros has no escape mark.
-        cost = (64 + 32 * (over[end] - over[:-1])) / (end - place) if WIDTHS[s] else np.where(over[end] == over[:-1], 64 / (end - place), np.inf)
+        bits = escapes.astype(np.float32) * np.float32(32 / count) + np.float32(64 / count)
+        cost = bits if WIDTHS[s] else np.where(escapes, np.float32(np.inf), bits)
         better = cost < best
-        best[better], chosen[better] = cost[better], s
-    step = COUNTS[chosen]
-    starts, at = [], np.arange(0, n, block)
-    stop = block_end[at]
-    while len(at):  # all blocks go on together, one word each
-        starts.append(at)
-        at = at + step[at]
-        live = at < stop
-        at, stop = at[live], stop[live]
-    start = np.sort(np.concatenate(starts)) if starts else place
-    selector = chosen[start]
-    end = np.minimum(start + COUNTS[selector], block_end[start]) if n else start
-    escaped = ids > LARGEST[np.repeat(selector, end - start)]
+        np.copyto(best, cost, where=better)
+        np.copyto(chosen, np.int8(s), where=better)
+    return chosen
+
+
+def _pack_blocks(ids: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, escapes, and the number of both per block."""
+    blocks = -(-len(ids) // block)
+    rows = np.zeros((blocks, block + int(COUNTS[0])), dtype=np.uint32)
+    whole = np.zeros(blocks * block, dtype=np.uint32)
+    whole[: len(ids)] = ids
+    rows[:, :block] = whole.reshape(blocks, block)
+    size = np.minimum(block, len(ids) - np.arange(blocks) * block)
+    chosen = _selectors(rows, block)
+    starts, row, at = [], np.arange(blocks), np.zeros(blocks, dtype=np.int64)
+    while len(row):  # all blocks go on together, one word each
+        starts.append(row * block + at)
+        at = at + COUNTS[chosen[row, at]]
+        live = at < size[row]
+        row, at = row[live], at[live]
+    start = np.sort(np.concatenate(starts))
+    row, at = start // block, start % block
+    selector = chosen[row, at]
     words = selector.astype(np.uint64) << np.uint64(60)
-    padded = np.concatenate((ids, np.zeros(COUNTS[0], dtype=np.int64)))
+    there = np.minimum(COUNTS[selector], size[row] - at)
+    escaped = ids > LARGEST[np.repeat(selector, there)]
+    flat, place = rows.ravel(), row * rows.shape[1] + at
     for s in range(2, len(COUNTS)):
         mine = np.flatnonzero(selector == s)
         if len(mine):
-            lane = start[mine][:, None] + np.arange(COUNTS[s])
-            value = np.where(lane < end[mine][:, None], padded[lane], 0)
-            value = np.where(value > LARGEST[s], (1 << int(WIDTHS[s])) - 1, value).astype(np.uint64)
+            value = flat[place[mine][:, None] + np.arange(COUNTS[s])].astype(np.uint64)
+            if LARGEST[s] < 2**32 - 1:
+                value[value > np.uint64(LARGEST[s])] = (1 << int(WIDTHS[s])) - 1
             words[mine] |= np.bitwise_or.reduce(value << (np.arange(COUNTS[s]) * WIDTHS[s]).astype(np.uint64), axis=1)
-    blocks = np.arange(0, n + block, block) if n else np.zeros(1, dtype=np.int64)
-    before = np.concatenate(([0], np.cumsum(escaped)))
-    return Packed(words, ids[escaped].astype(np.uint32), np.searchsorted(start, blocks), before[np.minimum(blocks, n)])
+    of_block = np.arange(len(ids)) // block
+    return words, ids[escaped], np.bincount(row, minlength=blocks), np.bincount(of_block[escaped], minlength=blocks)
+
+
+def pack(ids: np.ndarray, block: int = BLOCK) -> Packed:
+    """Code of unsigned 32-bit ids."""
+    step = block * max(1, BLOCKS_AT_ONCE * BLOCK // block)
+    parts = [_pack_blocks(ids[i : i + step], block) for i in range(0, len(ids), step)] or [(np.zeros(0, dtype=np.uint64), ids, *[np.zeros(0, dtype=np.int64)] * 2)]
+    words, escapes, n_words, n_escapes = (np.concatenate(c) for c in zip(*parts))
+    return Packed(words, escapes, np.concatenate(([0], np.cumsum(n_words))), np.concatenate(([0], np.cumsum(n_escapes))))
 
 
 def unpack(words: np.ndarray, escapes: np.ndarray, word_offsets: np.ndarray, ids_in_block: np.ndarray) -> np.ndarray:
@@ -171,41 +200,107 @@ class TokenFile:
             held = held[n:]
 
 
+def _latin_classes() -> tuple[np.ndarray, np.ndarray]:
+    """Class of each Latin-1 character (white space, letter, digit, sign, other), and its lower case.
+
+    Apostrophes may join the letters behind them, "<" and "|" may begin a special token: they are not plain signs.
+    """
+    kind = np.full(256, OTHER, dtype=np.uint8)
+    for i in [*range(0x20, 0x7F), 0x09, 0x0A, 0x0D, *range(0xC0, 0x100)]:
+        c = chr(i)
+        if c not in "'<|×÷":
+            kind[i] = SPACE if c.isspace() else LETTER if c.isalpha() else DIGIT if c.isdigit() else SIGN
+    return kind, np.array([ord(chr(i).lower()) if kind[i] == LETTER else i for i in range(256)], dtype=np.uint8)
+
+
+SPACE, LETTER, DIGIT, SIGN, OTHER = range(5)
+_KIND, _LOWER = _latin_classes()
+
+
+def _latin(text: str) -> bytes:
+    """Latin-1 bytes; one that is not plain stands for a text without them."""
+    try:
+        return text.encode("latin-1")
+    except UnicodeEncodeError:
+        return b"'"
+
+
 class WordEncoder:
     """Ids of whole texts by a word-level BPE file, little-endian unsigned 32-bit.
 
     The vocabulary lower-cases, splits letters, digits and signs and drops white space, so a text is encoded piece by
-    piece and each piece once.  Texts of Latin-1 letters, digits and plain signs are cut into those pieces here; any
-    other text is cut at white space only, and the library does the rest.
+    piece and each piece once per batch.  Texts of Latin-1 letters, digits and plain signs are cut into those pieces here, a whole
+    batch at once; any other text is cut at white space only, and the library does the rest.
     """
 
-    # Apostrophes may join the letters behind them, "<" and "|" may begin a special token: not plain.
-    _plain = re.compile("[ \t\n\r!-&(-;=-{}~À-ÖØ-öø-ÿ]*").fullmatch
-    _pieces = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^ \t\n\ra-zß-öø-ÿ0-9]+").findall
     _chunks = re.compile("[^ \t\n\r]+").findall
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        # The same model for pieces that are already what the vocabulary's own steps make of a text.
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = normalizers.Sequence([])
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        words = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_piece = np.zeros(max(words.values()) + 1, dtype=bool)
+        self.ends_piece[[i for w, i in words.items() if w.endswith(PIECE_END)]] = True
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [array.array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _entries(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different simple pieces behind each other, and where each piece's end.
+
+        Some hundred pieces go to the library in one call; each ends with an id that marks its end.
+        """
+        cuts = pa.array([*range(0, len(pieces), PIECES_AT_ONCE), len(pieces)], pa.int32())
+        texts = [t.decode("latin-1") for t in pc.binary_join(pa.ListArray.from_arrays(cuts, pieces), b" ").to_pylist()]
+        found = self.bare.encode_batch_fast(texts, add_special_tokens=False)
+        ids = np.frombuffer(b"".join([array.array("I", e.ids).tobytes() for e in found]), dtype=np.uint32)
+        ends = np.flatnonzero(self.ends_piece[ids]) + 1
+        if len(ends) != len(pieces) or ends[-1] != len(ids):
+            alone = self._ids([p.decode("latin-1") for p in pieces.to_pylist()])
+            return np.frombuffer(b"".join(alone), dtype=np.uint32), np.cumsum([len(a) // 4 for a in alone])
+        return ids, ends
+
+    def _plain(self, texts: list[bytes]) -> list[bytes | None]:
+        """Ids of texts of Latin-1 bytes; None for one with a character of another class."""
+        sizes = np.array([len(t) + 1 for t in texts])
+        ends = np.cumsum(sizes)
+        raw = np.frombuffer(b"\n".join([*texts, b""]), dtype=np.uint8)
+        kind = _KIND[raw]
+        odd = np.add.reduceat(kind == OTHER, ends - sizes) > 0
+        if odd.any():
+            kind[np.repeat(odd, sizes)] = SPACE
+        solid = kind != SPACE
+        begins = solid.copy()
+        begins[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        start = np.flatnonzero(begins)
+        if not len(start):
+            return [None if o else b"" for o in odd]
+        # Without white space the pieces touch: one begins where the one before it ends.
+        offsets = np.append(np.flatnonzero(begins[solid]), np.count_nonzero(solid)).astype(np.int32)
+        letters = _LOWER[raw[solid]]
+        pieces = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+        flat, upto = self._entries(pieces.dictionary)
+        which = pieces.indices.to_numpy()
+        length = np.diff(upto, prepend=0)[which]
+        total = np.cumsum(length)
+        ids = flat[np.arange(total[-1]) + np.repeat(upto[which] - total, length)].tobytes()
+        cuts = (4 * np.append(0, total)[np.searchsorted(start, np.append(0, ends))]).tolist()
+        return [None if o else ids[i:j] for o, (i, j) in zip(odd, itertools.pairwise(cuts))]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut_up = [self._pieces(t.lower()) if self._plain(t) else self._chunks(t) for t in texts]
-        wanted = set().union(*cut_up)
-        missing = [p for p in wanted if p not in self.known]
-        if len(self.known) + len(missing) > CACHE_ENTRIES:
-            self.known, missing = {}, list(wanted)
-        found = self.known
-        long = []
-        for piece, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)):
-            found[piece] = array.array("I", e.ids).tobytes()
-            if len(piece) > CACHE_CHARS:
-                long.append(piece)
-        out = [b"".join([found[p] for p in pieces]) for pieces in cut_up]
-        for piece in long:
-            del found[piece]
+        out = self._plain([_latin(t) for t in texts]) if texts else []
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        cut_up = [self._chunks(texts[i]) for i in rest]
+        wanted = list(set().union(*cut_up))
+        found = dict(zip(wanted, self._ids(wanted)))
+        for i, chunks in zip(rest, cut_up):
+            out[i] = b"".join(map(found.__getitem__, chunks))
         return out
 
 
