@@ -109,3 +109,20 @@ def test_chat(spark):
     assert [tuple(a) for a in got[1].attachments] == [("audio", "a", 25), ("image", "r1", 1152)] and got[1].expanded_tokens == 1177
     assert got[None].loss == "<|turn|>" and got[1].loss == ""
     assert chat.format_conversations(turns.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("columns", [["doc_id", "text", "lang", "source", "n_chars"], ["doc_id", "text", "hit", "root", "label"]])
+def test_pipeline_stages(docs, spark, small_dir, tmp_path, columns):
+    """Odd and empty documents through all stages: each keeps the columns, clean rows and ids."""
+    import corpus_pipeline
+
+    now = docs.select(*columns)
+    for n, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, now, small_dir).write.parquet(str(tmp_path / str(n)))
+        out = spark.read.parquet(str(tmp_path / str(n)))
+        ids = {r.doc_id for r in out.collect()}
+        assert ids <= {r.doc_id for r in now.collect()} and (out.columns == columns or name == "byte_bpe")
+        if name in ("simhash", "suffix_dedup") and now.count():
+            assert {None, 1, 3, 5, 9007199254740993} <= ids
+        now = out
+    assert now.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
