@@ -141,7 +141,8 @@ def fit(rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS) -> Machin
             m, s, pairs = _margins(bias, np.append(w[here][inverse], 0.0), np.concatenate((v[here][inverse], np.zeros((1, factors)))), count)
             g = (1 / (1 + np.exp(-np.clip(m, -30, 30))) - y[some]) * np.where(y[some] > 0, TOXIC_SHARE, 1.0) / len(some)
             text = np.repeat(np.arange(len(some)), count)
-            total = lambda x: np.bincount(inverse, weights=x[text], minlength=wide)  # noqa: B023, E731
+            # Without any term in the batch the counts would be whole numbers.
+            total = lambda x: np.bincount(inverse, weights=x[text], minlength=wide).astype(np.float64)  # noqa: B023, E731
             of_pairs = g * pairs
             gv = np.stack([total(of_pairs * s[:, f]) for f in range(factors)], axis=1) if factors else np.zeros((wide, 0))
             gv -= total(of_pairs)[:, None] * v[here]

@@ -55,3 +55,10 @@ def test_one_row_per_id_and_every_bucket(spark):
     words = {1: "aaa", 3: "bbb", 9: "ccc"}
     want = {b for d in used for w in (words[d], "same") for b in tx.word_buckets(w)}
     assert set(model.buckets.tolist()) == want and model.vectors.shape == (len(want), tx.FACTORS)
+
+
+def test_samples_without_terms():
+    none = np.zeros(0, dtype=np.int32)
+    for rows in ([none], [none, none, none], [none, np.array([3, 5], dtype=np.int32), none]):
+        m = tx.fit(rows, np.array([1.0, 0.0, 1.0][: len(rows)]))
+        assert np.isfinite(m.margins([none, np.arange(len(m.buckets))])).all()
