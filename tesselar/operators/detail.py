@@ -16,7 +16,7 @@ from tesselar.scale import first_by_hash, materialise, one_row, ranked
 SUBSET_THRESHOLD = 200_000
 DISPLAY_CAP = 200_000
 OVERLAP_RATIO = 0.8
-BLOCK_CELLS = 64  # block edge, in cells of one radius
+BLOCK_CELLS = 128  # block edge, in cells of one radius
 CELL_LIST = 32  # items of a cell that a round looks at
 GONE, OPEN, DOUBTFUL, KEPT = range(4)
 
@@ -89,29 +89,43 @@ def _settle_block(pdf: pd.DataFrame, radius: float) -> pd.DataFrame:
     rank[where], state[where] = np.arange(n), OPEN
     x[where], y[where] = items["x"], items["y"]
     own[where], last[where] = items["inner"], items["cut"]
+    around = [(di, dj) for di in (-1, 0, 1) for dj in (-1, 0, 1)]
+    # Cells whose best open item may be decided now: at first all, then those near a cell that has changed.
+    look = np.ones(shape[:2], dtype=bool)
     while True:
-        open_ = state == OPEN
-        i, j = np.nonzero(open_.any(axis=2))
-        if not len(i):
+        i, j = np.nonzero(look)
+        open_ = state[i, j] == OPEN
+        some = open_.any(axis=1)
+        if not some.any():
             break
-        k = open_[i, j].argmax(axis=1)
+        i, j, k = i[some], j[some], open_[some].argmax(axis=1)
         mine, px, py = rank[i, j, k][:, None], x[i, j, k][:, None], y[i, j, k][:, None]
         seen = {s: np.zeros(len(i), dtype=bool) for s in (OPEN, DOUBTFUL, KEPT)}
-        for di in (-1, 0, 1):
-            for dj in (-1, 0, 1):
-                at = i + di, j + dj
-                better, now = rank[at] < mine, state[at]
-                touches = better & (np.abs(x[at] - px) < radius) & (np.abs(y[at] - py) < radius)
-                # Behind the last item of a cut list there may be others that touch.
-                matters = touches | (better & last[at])
-                seen[KEPT] |= (touches & (now == KEPT)).any(axis=1)
-                for s in (OPEN, DOUBTFUL):
-                    seen[s] |= (matters & (now == s)).any(axis=1)
+        for di, dj in around:
+            at = i + di, j + dj
+            better, now = rank[at] < mine, state[at]
+            touches = better & (np.abs(x[at] - px) < radius) & (np.abs(y[at] - py) < radius)
+            # Behind the last item of a cut list there may be others that touch.
+            matters = touches | (better & last[at])
+            seen[KEPT] |= (touches & (now == KEPT)).any(axis=1)
+            for s in (OPEN, DOUBTFUL):
+                seen[s] |= (matters & (now == s)).any(axis=1)
         fine = own[i, j, k] & ~last[i, j, k] & ~seen[DOUBTFUL]
         state[i, j, k] = np.select([seen[KEPT], seen[OPEN], fine], [GONE, OPEN, KEPT], DOUBTFUL)
         won = ~seen[KEPT] & ~seen[OPEN] & fine
-        rest = state[i[won], j[won]]
-        state[i[won], j[won]] = np.where(rest == OPEN, GONE, rest)
+        changed = np.zeros(shape[:2], dtype=bool)
+        decided = seen[KEPT] | ~seen[OPEN]
+        changed[i[decided], j[decided]] = True
+        for di, dj in around:  # what a kept item covers is gone at once
+            at = i[won] + di, j[won] + dj
+            covered = (state[at] == OPEN) & (np.abs(x[at] - px[won]) < radius) & (np.abs(y[at] - py[won]) < radius)
+            r, c = np.nonzero(covered)
+            state[at[0][r], at[1][r], c] = GONE
+            changed[at[0][r], at[1][r]] = True
+        look[:] = False
+        i, j = np.nonzero(changed)
+        for di, dj in around:
+            look[np.clip(i + di, 1, shape[0] - 2), np.clip(j + dj, 1, shape[1] - 2)] = True
     return items.loc[state[where] == KEPT, ["id", "x", "y", "cx", "cy"]]
 
 
