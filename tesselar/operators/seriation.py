@@ -19,6 +19,7 @@ from tesselar.scale import materialise, ranked
 
 DENSE_LIMIT = 1500  # members up to which one task solves a group exactly
 STEPS = 40  # Lanczos steps before the process starts again from the best vector so far
+CHECK_EVERY = 8  # steps between looks at whether all groups have settled
 RESTARTS = 50
 RESIDUAL = 1e-9
 TINY = 1e-12  # of the largest eigenvalue: a vector this short is rounding
@@ -118,8 +119,8 @@ def _lanczos(members: DataFrame, sizes: DataFrame) -> DataFrame:
     products = _Products(members, sizes)
     base = members.select("group", "id").withColumn("one", F.lit(1.0))
     degree = products.times(base, "one").withColumnRenamed("value", "degree")
-    top = degree.groupBy("group").agg((2.0 * F.max("degree")).alias("c"))
-    table = materialise(degree.join(materialise(top, "top"), "group").join(sizes, "group"), "degree")
+    top = materialise(degree.groupBy("group").agg((2.0 * F.max("degree")).alias("c")), "top")
+    table = materialise(degree.join(top, "group").join(sizes, "group"), "degree")
 
     def orthonormal(df: DataFrame, columns: list[str], out: str) -> tuple[DataFrame, DataFrame]:
         """Frees ``w`` of the constant and of earlier columns, twice, and scales it; also the norms per group."""
@@ -151,11 +152,13 @@ def _lanczos(members: DataFrame, sizes: DataFrame) -> DataFrame:
             alphas.append(materialise(step.groupBy("group").agg(F.sum(F.col("w") * q).alias("value")).withColumn("j", F.lit(j)), "alpha"))
             table, beta = orthonormal(step, columns, f"q{j + 1}")
             betas.append(beta.select("group", F.col("beta").alias("value"), F.lit(j).alias("j")))
-        found = _in_order(alphas, "a").join(_in_order(betas, "b"), "group").select("group", _ritz("a", "b").alias("r")).select("group", "r.*")
-        f = sum((F.col(f"q{i}") * F.col("y")[i] for i in range(STEPS)), F.lit(0.0))
-        ritz = materialise(
-            table.join(materialise(found, "ritz"), "group").select("group", "id", "degree", "c", "n", f.alias("w"), (F.col("rest") <= RESIDUAL * F.col("c")).alias("settled")), "vectors",
-        )
+            if (j + 1) % CHECK_EVERY == 0 or j + 1 == STEPS:
+                pairs = _in_order(alphas, "a").join(_in_order(betas, "b"), "group").select("group", _ritz("a", "b").alias("r"))
+                found = materialise(pairs.join(top, "group").select("group", "r.y", (F.col("r.rest") <= RESIDUAL * F.col("c")).alias("settled")), "ritz")
+                if found.filter("NOT settled").isEmpty():
+                    break
+        f = sum((F.col(f"q{i}") * F.col("y")[i] for i in range(len(alphas))), F.lit(0.0))
+        ritz = materialise(table.join(found, "group").select("group", "id", "degree", "c", "n", f.alias("w"), "settled"), "vectors")
         settled = ritz.filter("settled").select("group", "id", F.col("w").alias("f"))
         done = settled if done is None else done.unionByName(settled)
         rest = ritz.filter("NOT settled").drop("settled")
