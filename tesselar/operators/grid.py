@@ -144,13 +144,13 @@ def _candidates(grid: _Grid, k: int) -> DataFrame:
     while True:
         at = open_.select("*", steps("bx").alias("cx")).select("*", steps("by").alias("cy"))
         ring = at.join(grid.squares.filter(F.col("level") == level), ["cx", "cy"])
-        # Every square beyond the ring is at least RING sides away; at level 0 there is none.
-        edge = RING * grid.side / (1 << level)
-        bounded = materialise(_bounded(ring, k).withColumn("closed", F.lit(level == 0) | F.coalesce(F.col("radius") + SLACK < edge, F.lit(False))), "ring")
+        # Every square beyond the ring is at least RING sides away; a ring as wide as the grid leaves none.
+        edge, whole = RING * grid.side / (1 << level), (1 << level) <= RING + 1
+        bounded = materialise(_bounded(ring, k).withColumn("closed", F.lit(whole) | F.coalesce(F.col("radius") + SLACK < edge, F.lit(False))), "ring")
         inside = bounded.filter(F.col("closed") & (F.col("radius").isNull() | (_distance(True) <= F.col("radius") + SLACK)))
         inside = inside.select(*_QUERY, "level", "cx", "cy", "ids", *_BOX, "leaf")
         found = inside if found is None else found.unionByName(inside)
-        if level == 0:
+        if whole:
             break
         open_ = open_.join(bounded.filter("closed").select("block").distinct(), "block", "left_anti")
         open_ = materialise(open_.withColumns({"bx": _up("bx", STEP), "by": _up("by", STEP)}), "open")
