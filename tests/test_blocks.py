@@ -90,3 +90,26 @@ def test_task_state_is_handed_over(spark, monkeypatch):
     monkeypatch.setattr(histograms, "HELD_BYTES", 1024)
     for got, base in zip(results(), want):
         assert got.keys() == base.keys() and all(abs(got[k] - base[k]) < 1e-8 for k in got)
+
+
+def test_rows_sent_do_not_follow_the_pairs_of_blocks(spark, small_blocks):
+    """All pairs of 28 blocks are wanted, yet a row is sent to three tiles and not to every block."""
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(900, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id bigint, vec array<double>")
+    q, t, _, pairs = blocks.block_pairs(df, df, 5)
+    n = t.select("block").distinct().count()
+    assert pairs.count() > 0.9 * n * (n - 1)
+    sent = {r["side"]: r["count"] for r in blocks._dealt(pairs, q, t, blocks._tiles(t)).groupBy("side").count().collect()}
+    assert sent[1] <= 3 * 900 and sent[2] <= 3 * 900
+    got, want = rows(nearest(df, df, 5)), rows(nearest(df, df, 5, limit=1 << 30))
+    assert [g[:3] for g in got] == [w[:3] for w in want]
+
+
+def test_queries_of_middle_size_do_not_pass_the_driver(spark, monkeypatch):
+    """10,000 vectors of 64 numbers are searched by blocks, not from the closure of every task."""
+    seen = []
+    monkeypatch.setattr(blocks, "nearest_by_blocks", lambda q, t, k: seen.append(k) or spark.createDataFrame([], blocks._HITS))
+    wide = spark.range(10_000).select("id", F.array_repeat(F.lit(0.125), 64).alias("vec"))
+    assert nearest(wide, wide, 8).count() == 0 and seen == [8]
