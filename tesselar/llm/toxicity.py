@@ -34,7 +34,10 @@ TRUSTED, STEEPNESS = 3.5, 6
 PAIR_TERMS, CHECKED, PATIENCE = 200, 0.1, 4
 PREFIXES = (3, 4, 5, 6)
 THRESHOLD = 0.7
-CACHE_WORDS = 1_000_000
+# Words that a task remembers the buckets of; a forgotten word is hashed again.
+CACHE_WORDS = 1 << 18
+# Texts whose margins are taken together.
+CHUNK = 256
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -84,10 +87,14 @@ class Machine(NamedTuple):
 
     def margins(self, rows: list[np.ndarray]) -> np.ndarray:
         """Log odds of texts given by rows of the model."""
-        size = np.array([len(r) for r in rows], dtype=np.int64)
-        at = np.concatenate([*rows, [len(self.weights)]]).astype(np.int64)  # one row more, so that a text may be empty
-        w, v = np.append(self.weights, 0.0), np.concatenate((self.vectors, np.zeros((1, self.vectors.shape[1]))))
-        return _margins(self.bias, w[at], v[at], size)[0]
+        parts = [np.zeros(0)]
+        for i in range(0, len(rows), CHUNK):
+            some = rows[i : i + CHUNK]
+            at = np.concatenate(some)
+            # One row more, so that a text may be empty.
+            w, v = np.append(self.weights[at], 0.0), np.concatenate((self.vectors[at], np.zeros((1, self.vectors.shape[1]))))
+            parts.append(_margins(self.bias, w, v, np.array([len(r) for r in some], dtype=np.int64))[0])
+        return np.concatenate(parts)
 
 
 def _margins(bias: float, w: np.ndarray, v: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,9 +106,12 @@ def _margins(bias: float, w: np.ndarray, v: np.ndarray, size: np.ndarray) -> tup
     return bias + sums(w) + 0.5 * pairs * ((s * s).sum(axis=1) - sums((v * v).sum(axis=1))), s, pairs
 
 
-def _speeds(place: np.ndarray, row: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+def _speeds(rows: list[np.ndarray], y: np.ndarray, n: int) -> np.ndarray:
     """How fast each weight may move: by the z of the bucket's log odds ratio, never quite zero."""
-    pos, neg = (np.bincount(place, weights=(y[row] == c).astype(np.float64), minlength=n) for c in (1, 0))
+    pos, neg, other = np.zeros(n), np.zeros(n), np.zeros(n)
+    for row, label in zip(rows, y):
+        # A bucket stands once in a row.
+        (pos if label == 1 else neg if label == 0 else other)[row] += 1
     rest_p, rest_n = y.sum() - pos, (y == 0).sum() - neg
     odds = np.log((pos + 0.5) / (rest_p + 0.5)) - np.log((neg + 0.5) / (rest_n + 0.5))
     return np.minimum(1.0, (np.abs(odds) / np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5)) / TRUSTED) ** STEEPNESS)
@@ -111,10 +121,15 @@ def fit(rows: list[np.ndarray], y: np.ndarray, factors: int = FACTORS) -> Machin
     """Logistic loss over sparse rows of buckets; 0/1 features make x² = x.  The best pass by rows set aside counts."""
     rng = np.random.default_rng(SEED)
     size = np.array([len(r) for r in rows])
-    buckets, place = np.unique(np.concatenate(rows), return_inverse=True)
-    n, ends = len(buckets), np.cumsum(size)
-    speed = _speeds(place, np.repeat(np.arange(len(rows)), size), y, n)
-    rows = [place[e - s : e].astype(np.int32) for s, e in zip(size, ends)]
+    # One entry per bucket of the hash space; no array has one per term of all rows.
+    place = np.zeros(BUCKETS, dtype=np.int32)
+    for row in rows:
+        place[row] = 1
+    buckets = np.flatnonzero(place)
+    n = len(buckets)
+    place[buckets] = np.arange(n)
+    rows = [place[row] for row in rows]
+    speed = _speeds(rows, y, n)
     order = rng.permutation(len(rows))
     aside, used = order[: int(CHECKED * len(rows))], order[int(CHECKED * len(rows)) :]
     batches = []
@@ -211,7 +226,7 @@ def score(docs: DataFrame, model: Machine) -> DataFrame:
         place[machine.buckets] = np.arange(len(machine.buckets))
         terms = Terms(place)
         for batch in texts:
-            z = [machine.margins([terms(t) for t in batch.iloc[i : i + 256]]) for i in range(0, len(batch), 256)]
+            z = [machine.margins([terms(t) for t in batch.iloc[i : i + CHUNK]]) for i in range(0, len(batch), CHUNK)]
             yield pd.Series(1 / (1 + np.exp(-np.clip(np.concatenate(z), -500, 500))) if z else [], dtype=np.float64)
 
     return docs.withColumn("toxicity", toxicity(F.col("text")))

@@ -62,3 +62,23 @@ def test_samples_without_terms():
     for rows in ([none], [none, none, none], [none, np.array([3, 5], dtype=np.int32), none]):
         m = tx.fit(rows, np.array([1.0, 0.0, 1.0][: len(rows)]))
         assert np.isfinite(m.margins([none, np.arange(len(m.buckets))])).all()
+
+
+def test_fit_and_margins_hold_no_array_of_all_terms():
+    """1,500 rows of 1,000 terms: peaks of the fit and of the margins, in bytes per term and per row."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    rows = [np.sort(rng.choice(20_000, 1000, replace=False)).astype(np.int32) for _ in range(1500)]
+    tracemalloc.start()
+    try:
+        m = tx.fit(rows, (np.arange(1500) % 5 == 0).astype(float))
+        fitted = tracemalloc.get_traced_memory()[1]
+        tracemalloc.reset_peak()
+        before = tracemalloc.get_traced_memory()[0]
+        whole = m.margins(rows)
+        scored = tracemalloc.get_traced_memory()[1] - before
+    finally:
+        tracemalloc.stop()
+    assert fitted < 100e6 and scored < 60e6
+    assert np.allclose(whole, np.concatenate([m.margins([r]) for r in rows]), atol=1e-9)
