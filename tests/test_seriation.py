@@ -1,7 +1,10 @@
 """Seriation: the distributed form against a full solve, all large groups in one plan."""
 
+import re
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tesselar.operators import seriation
 from tesselar.scale import materialise
@@ -40,3 +43,17 @@ def test_unsettled_groups_are_an_error(spark, monkeypatch):
     monkeypatch.setattr(seriation, "RESTARTS", 1)
     with pytest.raises(RuntimeError):
         seriation.seriation(groups_of(spark, [5, 30]), dense_limit=10)
+
+
+def test_members_are_not_broadcast(spark):
+    """Joins on members or their blocks send nothing through the driver; sides with one row per group may."""
+    members = materialise(groups_of(spark, [12, 12, 11]), "m")
+    sizes = members.groupBy("group").agg(F.count("*").alias("n"))
+    product = seriation._Products(members, sizes).times(members.withColumn("one", F.lit(1.0)), "one")
+    scores = members.select("group", "id", F.lit(0.5).alias("similarity"))
+    order = materialise(members.select("group", "id", F.col("id").alias("position")), "order")
+    for df in (product, seriation.similarity_field(scores, order)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan
+        for keys in re.findall(r"BroadcastHashJoin \[([^\]]*)\]", plan):
+            assert not re.search(r"\b(id|block)#", keys), keys
