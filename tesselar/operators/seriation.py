@@ -15,7 +15,7 @@ from pyspark.sql.functions import arrow_udf
 from tesselar.functions import vectors
 from tesselar.functions.vectors import matrix
 from tesselar.operators.pairwise import BLOCK_ROWS
-from tesselar.scale import materialise, ranked
+from tesselar.scale import by_rows, materialise, ranked
 
 DENSE_LIMIT = 1500  # members up to which one task solves a group exactly
 STEPS = 40  # Lanczos steps before the process starts again from the best vector so far
@@ -36,11 +36,6 @@ def _dense(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"group": pdf["group"], "id": pdf["id"], "fiedler": f})
 
 
-def _by_rows(df: DataFrame) -> DataFrame:
-    """A side of a join that has as many rows, or packed rows, as there are members: it is never sent through the driver."""
-    return df.hint("merge")
-
-
 def _free_groups(members: DataFrame) -> DataFrame:
     """Groups whose similarities need no clipping: every member within 45 degrees of the group's direction."""
     centre = materialise(members.groupBy("group").agg(vectors.mean_vector(F.col("vec")).alias("mean")).select("group", vectors.unit(F.col("mean")).alias("centre")), "centres")
@@ -68,13 +63,13 @@ class _Products:
     def times(self, table: DataFrame, column: str) -> DataFrame:
         """(group, id, value) of the product with ``column`` of ``table(group, id, …)``."""
         q = table.select("group", "id", F.col(column).alias("q"))
-        own = self.free.join(_by_rows(q), ["group", "id"])
+        own = self.free.join(by_rows(q), ["group", "id"])
         scaled = F.transform("vec", lambda x: x * F.col("q"))
         total = own.groupBy("group").agg(vector_to_array(Summarizer.sum(array_to_vector(scaled))).alias("total"))
         free = self.free.join(total, "group").select("group", "id", vectors.dot("vec", "total").alias("value"))
         # The numbers of a block, in the order of its packed rows.
-        entries = q.join(_by_rows(self.home), ["group", "id"]).groupBy("group", "block").agg(F.sort_array(F.collect_list(F.struct("id", "q"))).alias("q"))
-        theirs = self.packed.join(_by_rows(entries), ["group", "block"]).select("group", "block", F.col("rows.vec").alias("there"), F.col("q.q").alias("q"))
+        entries = q.join(by_rows(self.home), ["group", "id"]).groupBy("group", "block").agg(F.sort_array(F.collect_list(F.struct("id", "q"))).alias("q"))
+        theirs = self.packed.join(by_rows(entries), ["group", "block"]).select("group", "block", F.col("rows.vec").alias("there"), F.col("q.q").alias("q"))
         mine = self.packed.select("group", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.col("rows.id").alias("ids"), F.col("rows.vec").alias("here"))
 
         def work(batches):
@@ -87,7 +82,7 @@ class _Products:
                         [pa.array(np.full(len(ids), b.column(0)[i].as_py())), pa.array(ids), pa.array(value)], names=["group", "id", "value"],
                     )
 
-        met = mine.join(_by_rows(theirs), ["group", "block"]).select("group", "ids", "here", "there", "q")
+        met = mine.join(by_rows(theirs), ["group", "block"]).select("group", "ids", "here", "there", "q")
         part = met.mapInArrow(work, "group bigint, id bigint, value double").groupBy("group", "id").agg(F.sum("value").alias("value"))
         return free.unionByName(part)
 
@@ -152,7 +147,7 @@ def _lanczos(members: DataFrame, sizes: DataFrame) -> DataFrame:
         for j in range(STEPS):
             columns = [f"q{i}" for i in range(j + 1)]
             q = F.col(f"q{j}")
-            with_s = table.join(_by_rows(products.times(table, f"q{j}")), ["group", "id"])
+            with_s = table.join(by_rows(products.times(table, f"q{j}")), ["group", "id"])
             step = materialise(with_s.withColumn("w", (F.col("c") - F.col("degree")) * q + F.col("value")).drop("value"), "step")
             alphas.append(materialise(step.groupBy("group").agg(F.sum(F.col("w") * q).alias("value")).withColumn("j", F.lit(j)), "alpha"))
             table, beta = orthonormal(step, columns, f"q{j + 1}")
@@ -196,7 +191,7 @@ def seriation(group_members: DataFrame, dense_limit: int = DENSE_LIMIT) -> DataF
 def similarity_field(scores: DataFrame, order: DataFrame) -> DataFrame:
     """Members as points: seriation position and similarity, both on [0, 1]."""
     sizes = materialise(order.groupBy("group").agg(F.max("position").alias("top")), "sizes")
-    placed = scores.select(F.col("group").cast("bigint").alias("group"), "id", "similarity").join(_by_rows(order.select("group", "id", "position")), ["group", "id"])
+    placed = scores.select(F.col("group").cast("bigint").alias("group"), "id", "similarity").join(by_rows(order.select("group", "id", "position")), ["group", "id"])
     return placed.join(sizes, "group").select(
         "group", "id", (F.col("position") / F.greatest(F.lit(1), F.col("top"))).alias("x"),
         F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("similarity") + 1.0) * 0.5)).alias("y"),
