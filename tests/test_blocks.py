@@ -2,12 +2,15 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tesselar.functions import vectors
-from tesselar.operators import blocks, groups, histograms
+from tesselar.operators import blocks, groups, histograms, pairwise
 from tesselar.operators.pairwise import nearest
 from tesselar.workload import tables
+from tests.compare import differences, spark_table
 
 SF = "/root/testdata/sf0.001"
 
@@ -113,3 +116,41 @@ def test_queries_of_middle_size_do_not_pass_the_driver(spark, monkeypatch):
     monkeypatch.setattr(blocks, "nearest_by_blocks", lambda q, t, k: seen.append(k) or spark.createDataFrame([], blocks._HITS))
     wide = spark.range(10_000).select("id", F.array_repeat(F.lit(0.125), 64).alias("vec"))
     assert nearest(wide, wide, 8).count() == 0 and seen == [8]
+
+
+BY_BLOCKS = [
+    "single_cell_analysis",
+]
+
+
+@pytest.fixture(scope="module")
+def vector_table(spark, tmp_path_factory):
+    """600 vectors of 16 numbers without groups, so bounds skip few pairs of blocks."""
+    folder = tmp_path_factory.mktemp("vectors")
+    v = np.random.default_rng(7).normal(size=(600, 16))
+    made = spark.createDataFrame([(i, x.tolist(), i % 5) for i, x in enumerate(v)], "vec_id bigint, embedding array<float>, label int")
+    made.write.parquet(f"{folder}/embeddings.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", BY_BLOCKS)
+def test_queries_send_a_row_to_each_lot_and_part_at_most(spark, small_blocks, vector_table, monkeypatch, name):
+    """The whole query set goes by blocks, into searches of 3 x 600 target and 3 x 600 query rows at most, with the same result."""
+    build, frame, sent = entry.queries()[name], type(spark.range(1)), []
+    want = spark_table(build(spark, vector_table))
+    plain = frame.mapInArrow
+
+    def counted(df, work, schema, *more, **options):
+        if schema == blocks._HITS and "side" in df.columns:
+            sent.append(Observation())
+            df = df.observe(sent[-1], F.count_if(F.col("side") == 1).alias("targets"), F.count_if(F.col("side") == 2).alias("queries"))
+        return plain(df, work, schema, *more, **options)
+
+    monkeypatch.setattr(frame, "mapInArrow", counted)
+    monkeypatch.setattr(pairwise, "SEARCH_LIMIT_BYTES", 32 << 10)
+    got = spark_table(build(spark, vector_table))
+    assert differences(got, want) == ""
+    # The search in one target block per query block, then that in all others.
+    home, rest = (o.get for o in sent)
+    assert home["queries"] == 600 and 0 < home["targets"] <= 3 * 600
+    assert rest["queries"] <= 3 * 600 and 0 < rest["targets"] <= 3 * 600
