@@ -121,6 +121,7 @@ def test_queries_of_middle_size_do_not_pass_the_driver(spark, monkeypatch):
 BY_BLOCKS = [
     "single_cell_analysis",
     "knn_cosine_centred",
+    "similarity_ranks",
 ]
 
 
