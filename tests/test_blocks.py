@@ -122,6 +122,7 @@ BY_BLOCKS = [
     "single_cell_analysis",
     "knn_cosine_centred",
     "similarity_ranks",
+    "knn_cosine",
 ]
 
 
