@@ -125,6 +125,7 @@ BY_BLOCKS = [
     "knn_cosine",
     "displayable_neighbours",
     "knn_within_allow_list",
+    "similarity01",
 ]
 
 
