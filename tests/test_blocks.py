@@ -126,6 +126,7 @@ BY_BLOCKS = [
     "displayable_neighbours",
     "knn_within_allow_list",
     "similarity01",
+    "local_histogram",
 ]
 
 
