@@ -17,7 +17,10 @@ from tesselar.functions.vectors import matrix
 from tesselar.operators.pairwise import BLOCK_ROWS
 from tesselar.scale import by_rows, materialise, ranked
 
-DENSE_LIMIT = 1500  # members up to which one task solves a group exactly
+DENSE_LIMIT = 32_768  # members up to which one task solves a group
+FULL_LIMIT = 1500  # members up to which it solves the whole matrix; beyond, Davidson steps
+BLOCK_NUMBERS = 1 << 23  # of the matrix that are held at once
+START, WIDTH, MOST, PRODUCTS = 24, 4, 96, 400  # columns at the start, per step and at most, and matrix products at most
 STEPS = 40  # Lanczos steps before the process starts again from the best vector so far
 CHECK_EVERY = 8  # steps between looks at whether all groups have settled
 RESTARTS = 50
@@ -26,12 +29,69 @@ TINY = 1e-12  # of the largest eigenvalue: a vector this short is rounding
 COS_45 = 0.7071067811865476
 
 
+def _product(x: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """The similarity matrix times the columns of ``t``; each block of the matrix is made once and serves both sides."""
+    out = np.zeros_like(t)
+    rows = max(64, min(512, BLOCK_NUMBERS // len(x)))
+    for i in range(0, len(x), rows):
+        s = x[i : i + rows] @ x[i:].T
+        np.clip(s, 0.0, 1.0, out=s)
+        out[i : i + rows] += s @ t[i:]
+        out[i + rows :] += s[:, rows:].T @ t[i : i + rows]
+    return out
+
+
+def _orthonormal(t: np.ndarray, basis: np.ndarray | None) -> np.ndarray:
+    """The columns of ``t`` without the constant, those of the basis and what is left of them only by rounding."""
+    t = t / np.maximum(np.linalg.norm(t, axis=0), 1e-300)
+    for _ in range(2):
+        t = t - t.mean(axis=0)
+        if basis is not None:
+            t = t - basis @ (basis.T @ t)
+        q, r = np.linalg.qr(t)
+        t = q[:, np.abs(np.diag(r)) > 1e-10]
+    return t
+
+
+def _davidson(x: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The Fiedler vector of a group, to RESIDUAL.
+
+    The matrix is the degrees less a product of few strong directions, so residuals divided by the degrees' distance from
+    the Ritz value point at what the basis lacks; the basis starts from those directions and a fixed random vector.
+    """
+    degree = _product(x, np.ones((len(x), 1)))
+    top = 2.0 * float(degree.max())
+    directions = np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :START]
+    seed = np.random.default_rng(len(ids)).random((len(ids), 1))
+    v = _orthonormal(np.concatenate([x @ directions, seed], axis=1), None)
+    w = degree * v - _product(x, v)
+    for _ in range(PRODUCTS):
+        values, y = np.linalg.eigh((h := v.T @ w) + h.T)
+        values = values / 2
+        u = v @ y[:, :WIDTH]
+        r = w @ y[:, :WIDTH] - u * values[:WIDTH]
+        if np.linalg.norm(r[:, 0]) <= RESIDUAL * top:
+            return u[:, 0]
+        if v.shape[1] + WIDTH > MOST:
+            v, w = v @ y[:, :START], w @ y[:, :START]
+        away = degree - values[:WIDTH]
+        near = 1e-3 * top
+        t = _orthonormal(r / np.where(np.abs(away) < near, near, away), v)
+        if not t.shape[1]:
+            break
+        v, w = np.concatenate([v, t], axis=1), np.concatenate([w, degree * t - _product(x, t)], axis=1)
+    raise RuntimeError(f"the order of a group of {len(x)} members did not settle in {PRODUCTS} products")
+
+
 def _dense(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values("id")
     x = np.stack(pdf["vec"].to_numpy())
-    s = np.clip(x @ x.T, 0.0, 1.0)
-    _, v = np.linalg.eigh(np.diag(s.sum(axis=1)) - s)
-    f = v[:, 1] if len(x) > 1 else v[:, 0]
+    if len(x) > FULL_LIMIT:
+        f = _davidson(x, pdf["id"].to_numpy())
+    else:
+        s = np.clip(x @ x.T, 0.0, 1.0)
+        _, v = np.linalg.eigh(np.diag(s.sum(axis=1)) - s)
+        f = v[:, 1] if len(x) > 1 else v[:, 0]
     f = -f if f[0] < 0 else f
     return pd.DataFrame({"group": pdf["group"], "id": pdf["id"], "fiedler": f})
 
@@ -174,13 +234,14 @@ def _lanczos(members: DataFrame, sizes: DataFrame) -> DataFrame:
 def seriation(group_members: DataFrame, dense_limit: int = DENSE_LIMIT) -> DataFrame:
     """``(group, id, position)`` by Fiedler value, ties by id; sign fixed so the lowest id is not negative.
 
-    Groups up to ``dense_limit`` members fit in a task and are solved whole, each in one; larger ones are solved together
+    Groups up to ``dense_limit`` members fit in a task and are solved there, each in one; larger ones are solved together
     by distributed matrix–vector products, to the same residual whatever their number.
     """
     members = materialise(group_members.select(F.col("group").cast("bigint").alias("group"), "id", "vec"), "members")
     sizes = materialise(members.groupBy("group").agg(F.count("*").alias("n")), "sizes")
     small = members.join(sizes.filter(F.col("n") <= dense_limit), "group", "left_semi")
-    values = small.groupBy("group").applyInPandas(_dense, "group bigint, id bigint, fiedler double")
+    # Written, as the ranks read them twice.
+    values = materialise(small.groupBy("group").applyInPandas(_dense, "group bigint, id bigint, fiedler double"), "fiedler")
     large = sizes.filter(F.col("n") > dense_limit)
     if not large.isEmpty():
         values = values.unionByName(_lanczos(members.join(large, "group", "left_semi"), large))

@@ -57,3 +57,18 @@ def test_members_are_not_broadcast(spark):
         assert "SortMergeJoin" in plan
         for keys in re.findall(r"BroadcastHashJoin \[([^\]]*)\]", plan):
             assert not re.search(r"\b(id|block)#", keys), keys
+
+
+def test_groups_above_the_full_solve_settle_in_their_task(spark, monkeypatch):
+    """1,600 members, tight and spread over all directions: the order of a full solve, without distributed steps."""
+    monkeypatch.setattr(seriation, "_lanczos", lambda *_: pytest.fail("distributed steps for a group that fits in a task"))
+    members = groups_of(spark, [1600, 1600])
+    found = order(seriation.seriation(members))
+    for g, rows in members.toPandas().sort_values("id").groupby("group"):
+        x = np.stack(rows["vec"].to_numpy())
+        s = np.clip(x @ x.T, 0.0, 1.0)
+        f = np.linalg.eigh(np.diag(s.sum(axis=1)) - s)[1][:, 1]
+        f = np.round(-f if f[0] < 0 else f, 9)
+        # Numbers that differ by rounding may change places.
+        placed = f[np.argsort([found[g, i] for i in rows["id"]])]
+        assert (np.diff(placed) >= -2e-8).all() and sorted(found[g, i] for i in rows["id"]) == list(range(len(f)))
